@@ -7,6 +7,17 @@ import math
 from vecloom.llm import percentiles
 from vecloom.llm.queries import PERCENTILES, TIMES
 
+P2 = """
+WITH k AS (SELECT DISTINCT cache_id, layer, kv_head, pos, CAST(key_vec AS DOUBLE[]) AS v FROM kv
+    WHERE len(key_vec) = 32 AND len(list_filter(key_vec, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(key_vec, lambda x: x <> 0)) > 0),
+  q AS (SELECT q_row, cache_id, layer, kv_head, CAST(q AS DOUBLE[]) AS v FROM decode_rows
+    WHERE len(q) = 32 AND len(list_filter(q, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(q, lambda x: x <> 0)) > 0)
+SELECT q_row, top_ix FROM (
+  SELECT q_row, pos AS top_ix, row_number() OVER (PARTITION BY q_row ORDER BY list_inner_product(k.v, q.v) DESC, pos) AS place
+  FROM q JOIN k USING (cache_id, layer, kv_head))
+WHERE place <= 10
+"""
+
 P3 = """
 SELECT layer, kv_head, p_row, CAST(place AS INTEGER) AS place, top_ix FROM (
   SELECT *, row_number() OVER (PARTITION BY layer, kv_head, p_row ORDER BY sc DESC, top_ix) AS place FROM (
@@ -46,6 +57,7 @@ def _p5() -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": P2,
         "p3_found": P3,
         "p5_percentiles": _p5(),
         "p5_sketch": f"SELECT config, day, metric, CAST(bin AS INTEGER) AS bin, count(*) AS n FROM ({_p5_counts()}) GROUP BY ALL",

@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import packing, percentiles, tokens, topn
+from vecloom.llm import nearest, packing, percentiles, tokens, topn
 from vecloom.sources import table
 
 TIMES = ["gen_seconds", "retrieval_seconds"]
 PERCENTILES = [0.5, 0.9, 0.95, 0.99]
 
 
+CELL = ["cache_id", "layer", "kv_head"]
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    found = nearest.top_k(table(spark, d, "decode_rows"), table(spark, d, "kv"), CELL, "q_row", "q", "pos", "key_vec", 32)
+    return found.select("q_row", F.col("pos").alias("top_ix"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "scan_hits")
     return topn.top_n_per_group(hits, ["layer", "kv_head", "p_row"], "top_sc", "top_ix", 8).select("layer", "kv_head", "p_row", "place", "top_ix")
@@ -64,4 +72,4 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p5_percentiles, p5_sketch, p6_ids, p7_containers, p7_report)}
+    return {f.__name__: f for f in (p2_found, p3_found, p5_percentiles, p5_sketch, p6_ids, p7_containers, p7_report)}
