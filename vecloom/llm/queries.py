@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import nearest, packing, percentiles, tokens, topn
+from vecloom.llm import garbled, nearest, packing, percentiles, tokens, topn
 from vecloom.sources import table
 
 TIMES = ["gen_seconds", "retrieval_seconds"]
@@ -71,5 +71,14 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.report(p7_containers(spark, d), table(spark, d, "tiers"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.garbled(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled documents with their original text where it can be had."""
+    return garbled.restored(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p5_percentiles, p5_sketch, p6_ids, p7_containers, p7_report)}
+    return {f.__name__: f for f in (p2_found, p3_found, p5_percentiles, p5_sketch, p6_ids, p7_containers, p7_report, p8_found, p8_restored)}
