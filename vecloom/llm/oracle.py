@@ -45,7 +45,8 @@ def _p5() -> str:
     return f"""
     WITH v AS ({_p5_counts()}),
     b AS (SELECT 'config' AS "by", config, CAST(NULL AS INTEGER) AS run_bucket, CAST(NULL AS DATE) AS day, metric, bin FROM v
-      UNION ALL SELECT 'config, bucket', config, run_bucket, NULL, metric, bin FROM v
+      UNION ALL SELECT 'config, run_bucket', config, run_bucket, NULL, metric, bin FROM v
+      UNION ALL SELECT 'config, run_bucket, day', config, run_bucket, day, metric, bin FROM v
       UNION ALL SELECT 'config, day', config, NULL, day, metric, bin FROM v),
     r AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY "by", config, run_bucket, day, metric) AS n
       FROM b WINDOW w AS (PARTITION BY "by", config, run_bucket, day, metric ORDER BY bin))

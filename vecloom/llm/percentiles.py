@@ -68,6 +68,17 @@ def merge(sketches: list[DataFrame], keys: list[str]) -> DataFrame:
     return all_.groupBy(*keys, "column", "bucket").agg(F.sum("count").alias("count"))
 
 
+def roll_up(counts: DataFrame, keys: list[str], groupings: list[list[str]]) -> DataFrame:
+    """by, keys, column, bucket, count: the sketch merged for each grouping of its keys in one shuffle.
+
+    by names the keys of the grouping, joined by a comma; keys outside the grouping are null.
+    """
+    types = {k: counts.schema[k].dataType for k in keys}
+    of = F.explode(F.array(*[F.struct(F.lit(", ".join(g)).alias("by"), *[(F.col(k) if k in g else F.lit(None).cast(types[k])).alias(k) for k in keys]) for g in groupings]))
+    each = counts.select(of.alias("of"), "column", "bucket", "count").select("of.*", "column", "bucket", "count")
+    return each.groupBy("by", *keys, "column", "bucket").agg(F.sum("count").alias("count"))
+
+
 def percentiles(counts: DataFrame, keys: list[str], ps: list[float], alpha: float = ALPHA) -> DataFrame:
     """keys, column, n, p, value: for each p the value at rank floor(p (n - 1)) of the n counted values.
 

@@ -27,34 +27,25 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n_per_group(hits, ["layer", "kv_head", "p_row"], "top_sc", "top_ix", 8).select("layer", "kv_head", "p_row", "place", "top_ix")
 
 
+KEYS = ["config", "run_bucket", "day"]
+
+
 def _time_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Sketches by (config, bucket) and by (config, day), of one pass over eval_rows."""
-    rows = table(spark, d, "eval_rows").select("config", "bucket", F.to_date("started_at").alias("day"), *TIMES)
-    none = F.lit(None)
-    of = F.explode(
-        F.array(
-            F.struct(F.lit("config, bucket").alias("by"), F.col("bucket").alias("bucket_"), none.cast("date").alias("day_")),
-            F.struct(F.lit("config, day").alias("by"), none.cast("int").alias("bucket_"), F.col("day").alias("day_")),
-        )
-    )
-    rows = rows.withColumn("of", of).select("of.by", "config", F.col("of.bucket_").alias("run_bucket"), F.col("of.day_").alias("day"), *TIMES)
-    return percentiles.sketch(rows, ["by", "config", "run_bucket", "day"], TIMES)
+    """Sketches by config, bucket and day, the finest that are asked for; all others are sums of these."""
+    rows = table(spark, d, "eval_rows").select("config", F.col("bucket").alias("run_bucket"), F.to_date("started_at").alias("day"), *TIMES)
+    return percentiles.sketch(rows, KEYS, TIMES)
 
 
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of both times by config, by config and bucket, by config and day; the first combine the days' counts."""
-    keys = ["by", "config", "run_bucket", "day"]
-    counts = _time_counts(spark, d)
-    days = counts.where(F.col("by") == "config, day")
-    whole = days.withColumn("by", F.lit("config")).withColumn("day", F.lit(None).cast("date"))
-    all_ = counts.unionByName(percentiles.merge([whole], keys))
-    out = percentiles.percentiles(all_, keys, PERCENTILES)
+    """Percentiles of both times by config, with and without bucket and day, all read off combined sketches of days."""
+    out = percentiles.percentiles(percentiles.roll_up(_time_counts(spark, d), KEYS, [KEYS[:1], KEYS[:2], ["config", "day"], KEYS]), ["by", *KEYS], PERCENTILES)
     return out.withColumn("value", F.round("value", 6)).withColumnRenamed("column", "metric")
 
 
 def p5_sketch(spark: SparkSession, d: str) -> DataFrame:
     """The counts by config and day, as they would be stored to be combined later."""
-    return _time_counts(spark, d).where(F.col("by") == "config, day").select("config", "day", F.col("column").alias("metric"), F.col("bucket").alias("bin"), F.col("count").alias("n"))
+    days = percentiles.merge([_time_counts(spark, d)], ["config", "day"])
+    return days.select("config", "day", F.col("column").alias("metric"), F.col("bucket").alias("bin"), F.col("count").alias("n"))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
