@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import garbled, nearest, packing, percentiles, tokens, topn
+from vecloom.llm import garbled, nearest, packing, percentiles, tokens, topn, truncated
 from vecloom.sources import table
 
 TIMES = ["gen_seconds", "retrieval_seconds"]
@@ -27,6 +27,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n_per_group(hits, ["layer", "kv_head", "p_row"], "top_sc", "top_ix", 8).select("layer", "kv_head", "p_row", "place", "top_ix")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated.truncated(table(spark, d, "eval_rows"), "row_id", "gen", "runner", "label", "gen_tokens")
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """The share of truncated rows of every runner."""
+    return truncated.by_source(table(spark, d, "eval_rows"), p4_found(spark, d), "row_id", "runner").withColumn("share", F.round("share", 6))
+
+
 KEYS = ["config", "run_bucket", "day"]
 
 
@@ -72,4 +81,4 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p5_percentiles, p5_sketch, p6_ids, p7_containers, p7_report, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_report, p5_percentiles, p5_sketch, p6_ids, p7_containers, p7_report, p8_found, p8_restored)}
