@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +22,23 @@ def session(app: str = "vecloom", master: str | None = None, **conf: str) -> Spa
     return b.config(map=defaults | conf).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, for clusters on which it isn't installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_vecloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="vecloom-code-")) / "vecloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(archive))  # the driver serves it to every executor, also to later ones
+    sc._vecloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, as stored."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
