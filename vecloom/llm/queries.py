@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import garbled, nearest, packing, percentiles, tokens, topn, truncated
+from vecloom.llm import garbled, nearest, packing, pairs, percentiles, tokens, topn, truncated
 from vecloom.sources import table
 
 TIMES = ["gen_seconds", "retrieval_seconds"]
 PERCENTILES = [0.5, 0.9, 0.95, 0.99]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "eval_rows"), table(spark, d, "eval_examples"), table(spark, d, "documents"))
+
+
 CELL = ["cache_id", "layer", "kv_head"]
 
 
@@ -81,4 +85,4 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_report, p5_percentiles, p5_sketch, p6_ids, p7_containers, p7_report, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_report, p5_percentiles, p5_sketch, p6_ids, p7_containers, p7_report, p8_found, p8_restored)}
