@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def log_ndtr(x: np.ndarray) -> np.ndarray:
@@ -33,7 +34,7 @@ def log_ndtr(x: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _log_ndtr(x: pd.Series) -> pd.Series:
     return pd.Series(log_ndtr(x.to_numpy(dtype=np.float64, na_value=np.nan)))
 
@@ -42,7 +43,7 @@ def log_ndtr_col(x: Column) -> Column:
     return _log_ndtr(x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode compatibility form NFKC; null stays null."""
     return s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
@@ -62,7 +63,7 @@ def lcs(a: list[str], b: list[str]) -> int:
     return int(row[-1])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """LCS of two arrays of strings; 0 where one is null or empty."""
     return pd.Series([0 if x is None or y is None else lcs(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")

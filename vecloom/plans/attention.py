@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vecloom.functions import vec
 from vecloom.operators import search
 from vecloom.plans.registry import KEYS, LIVE, QS, SCORED, TOP, query, usable
-from vecloom.sources import table, views
+from vecloom.sources import ensure_checkpoint_dir, table, views
 from vecloom.sources.views import CELL, SCALING, VALUE_DIM
 
 K = views.KEPT
@@ -184,6 +184,7 @@ def nprobe_recall_weight(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def kmeans_centroids(spark: SparkSession, d: str) -> DataFrame:
     """Lloyd's iterations: the centroids of each cell and how many keys are nearest to them."""
+    ensure_checkpoint_dir(spark)
     kv = views.keys(spark, d)
     cents = search.k_means(kv, CELL, 8, 3, 2000)
     n = search.nearest_centroid(kv, cents, CELL).groupBy(*CELL, "cid").agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecloom.plans import attention, logs  # noqa: F401  (modules register their queries)
+from vecloom.plans import attention, logs, tail  # noqa: F401  (modules register their queries)
 from vecloom.plans.registry import QUERIES, SQL, Query
 
 
