@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Relaxation of the bound, leaf size, keys of a band, keys of a shard, queries of a block.
-FACTOR, LEAF, BAND, SHARD_ROWS, BLOCK_ROWS = 0.8, 256, 2048, 32_768, 16_384
+FACTOR, LEAF, BAND, SHARD_ROWS, BLOCK_ROWS = 0.95, 256, 2048, 32_768, 16_384
 
 
 class Tree:
