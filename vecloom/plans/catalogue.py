@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecloom.plans import attention, logs, status, streams, tail, text  # noqa: F401  (modules register their queries)
+from vecloom.plans import attention, extras, logs, status, streams, tail, text  # noqa: F401  (modules register their queries)
 from vecloom.plans.registry import QUERIES, SQL, Query
 
 
