@@ -181,6 +181,47 @@ def nprobe_recall_weight(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("layer", "nprobe").agg(_r(F.avg("share")).alias("weight"))
 
 
+HEADS_KEPT = [2, 4, 8]
+
+
+@query(f"""WITH {IVF}, cv AS (SELECT cache_id, layer, kv_head, cid, i, avg(value[i + 1]) AS cv FROM a JOIN keys USING (cache_id, layer, kv_head, pos), (SELECT unnest(range({VALUE_DIM})) AS i) GROUP BY ALL),
+  top AS (SELECT r.q_row, r.layer, r.rank, r.score * {SCALING} AS lg, list_inner_product(qs.q, c.key) * {SCALING} AS clg, r.value, cv.i, cv.cv FROM ranked r JOIN qs ON qs.q_row = r.q_row JOIN a ON a.cache_id = r.cache_id AND a.layer = r.layer AND a.kv_head = r.kv_head AND a.pos = r.pos
+    JOIN c ON c.cache_id = r.cache_id AND c.layer = r.layer AND c.kv_head = r.kv_head AND c.cid = a.cid JOIN cv ON cv.cache_id = r.cache_id AND cv.layer = r.layer AND cv.kv_head = r.kv_head AND cv.cid = a.cid WHERE r.rank <= 16),
+  h AS (SELECT unnest({HEADS_KEPT}) AS h), s AS (SELECT h, layer, q_row, i, sum(exp(lg) * value[i + 1]) / sum(exp(lg)) AS f, sum(CASE WHEN rank <= h THEN exp(lg) * value[i + 1] ELSE exp(clg) * cv END) / sum(CASE WHEN rank <= h THEN exp(lg) ELSE exp(clg) END) AS ce,
+    sum(CASE WHEN rank <= h THEN exp(lg) * value[i + 1] ELSE 0 END) / sum(CASE WHEN rank <= h THEN exp(lg) ELSE 0 END) AS dr,
+    sum(CASE WHEN rank <= h THEN exp(lg) * value[i + 1] ELSE 0 END) / sum(exp(lg)) + sum(CASE WHEN rank <= h THEN 0 ELSE exp(lg) END) / sum(exp(lg)) * avg(value[i + 1]) FILTER (WHERE rank > h) AS me FROM top, h GROUP BY ALL)
+  SELECT CAST(h AS INTEGER) AS h, layer, round(avg(pow(f - ce, 2)), 6) + 0.0 AS mse_centroid, round(avg(pow(f - dr, 2)), 6) + 0.0 AS mse_drop, round(avg(pow(f - me, 2)), 6) + 0.0 AS mse_mean FROM s GROUP BY h, layer""")
+def centroid_mse(spark: SparkSession, d: str) -> DataFrame:
+    """Error when all but the h best of 16 keys are replaced by their clusters' centroids, dropped, or replaced by their mean."""
+    kv, q = views.keys(spark, d), views.queries(spark, d)
+    cents = search.sample_centroids(kv, CELL, 16)
+    assigned = search.nearest_centroid(kv, cents, CELL)
+    mean = assigned.groupBy(*CELL, "cid").agg(F.array(*[F.avg(F.col("value")[i]) for i in range(VALUE_DIM)]).alias("cval"))
+    top = _gathered(spark, d).join(q.select("q_row", "q"), "q_row").join(assigned.select(*CELL, "pos", "cid"), [*CELL, "pos"]).join(cents, [*CELL, "cid"]).join(mean, [*CELL, "cid"])
+    top = top.withColumn("clogit", vec.dot(F.col("q"), F.col("centroid")) * SCALING).withColumn("h", F.explode(F.array(*[F.lit(h) for h in HEADS_KEPT])))
+    kept = F.col("rank") <= F.col("h")
+    # Scaled logits of 16 keys are small; a common factor of all weights would cancel.
+    w, c = F.exp("logit"), F.exp("clogit")
+    v = lambda i: F.col("value")[i]
+    sums = top.groupBy("h", "layer", "q_row").agg(
+        F.sum(w).alias("d"), F.sum(F.when(kept, w).otherwise(c)).alias("dc"), F.sum(F.when(kept, w).otherwise(0.0)).alias("dk"),
+        *[F.sum(w * v(i)).alias(f"f{i}") for i in range(VALUE_DIM)], *[F.sum(F.when(kept, w * v(i)).otherwise(c * F.col("cval")[i])).alias(f"c{i}") for i in range(VALUE_DIM)],
+        *[F.sum(F.when(kept, w * v(i)).otherwise(0.0)).alias(f"k{i}") for i in range(VALUE_DIM)], *[F.avg(F.when(~kept, v(i))).alias(f"m{i}") for i in range(VALUE_DIM)],
+    )
+
+    def mse(part):
+        total = F.lit(0.0)
+        for i in range(VALUE_DIM):
+            e = F.col(f"f{i}") / F.col("d") - part(i)
+            total = total + e * e
+        return _r(F.avg(total / VALUE_DIM))
+
+    rest = 1 - F.col("dk") / F.col("d")
+    return sums.groupBy("h", "layer").agg(
+        mse(lambda i: F.col(f"c{i}") / F.col("dc")).alias("mse_centroid"), mse(lambda i: F.col(f"k{i}") / F.col("dk")).alias("mse_drop"), mse(lambda i: F.col(f"k{i}") / F.col("d") + rest * F.col(f"m{i}")).alias("mse_mean")
+    )
+
+
 @query()
 def kmeans_centroids(spark: SparkSession, d: str) -> DataFrame:
     """Lloyd's iterations: the centroids of each cell and how many keys are nearest to them."""
