@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -22,17 +24,33 @@ def session(app: str = "vecloom", master: str | None = None, **conf: str) -> Spa
     return b.config(map=defaults | conf).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and whatever all machines must see."""
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return (named or sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, for clusters on which it isn't installed."""
+    """Send this package to the executors once per application, for clusters on which it isn't installed.
+
+    The archive is written to the shared folder; executors that start later get it too.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_vecloom_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="vecloom-code-")) / "vecloom.zip"
-    with zipfile.ZipFile(archive, "w") as z:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(archive))  # the driver serves it to every executor, also to later ones
+    uri = f"{shared_folder(spark)}/vecloom-{uuid.uuid4().hex}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(uri)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(uri)
     sc._vecloom_shipped = True
 
 

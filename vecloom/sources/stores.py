@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.sources.session import ensure_checkpoint_dir
+from vecloom.sources.session import shared_folder
 
 KV_SCHEMA = "pos bigint, key array<float>, value array<float>, cache_id string, layer int, kv_head int"
 QUERY_SCHEMA = "q_row bigint, session_id string, step bigint, q_head int, q array<float>, layer int"
@@ -16,9 +16,7 @@ HEAD_SCHEMA = "kv_head int, weight array<array<double>>, bias array<double>, mea
 
 def scratch(spark: SparkSession) -> str:
     """A new folder in the shared folder that the cluster names for checkpoints."""
-    ensure_checkpoint_dir(spark)
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{root.rstrip('/')}/vecloom-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/vecloom-{uuid.uuid4().hex}"
 
 
 def save_cache(kv: DataFrame, path: str) -> None:
