@@ -159,7 +159,9 @@ def code_signatures(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "source", corpus.signatures_udf("text").alias("signatures"))
 
 
-FILLER, NEEDLE = "The grass is green. The sky is blue. ", "The special magic number for {} is: {}."
+# The filler and the sentence of a needle. A token counts as four characters here.
+FILLER = "The grass is green. The sky is blue. The sun is yellow. Here we go. There and back again. "
+NEEDLE = "The special magic number for {} is: {}."
 
 
 @query(f"""WITH e AS (SELECT DISTINCT bucket, idx, label, depth FROM eval_examples WHERE lang = 'niah' AND label IS NOT NULL), n AS (SELECT *, length('The special magic number for ' || idx || ' is: ' || label || '.') AS needle FROM e),
