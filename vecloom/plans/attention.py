@@ -222,14 +222,27 @@ def centroid_mse(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+def _k_means_sql(c: int, iters: int, fit: int) -> str:
+    cell = "cache_id, layer, kv_head"
+    near = lambda rel, cents: f"SELECT k.cache_id, k.layer, k.kv_head, k.pos, any_value(k.key) AS key, arg_min(cid, list_distance(k.key, c.v) * 1e6 + cid * 1e-9) AS cid FROM {rel} k JOIN {cents} c USING ({cell}) GROUP BY k.cache_id, k.layer, k.kv_head, k.pos"
+    parts = [KEYS, f"ranked AS (SELECT *, row_number() OVER (PARTITION BY {cell} ORDER BY md5(CAST(pos AS VARCHAR)), pos) AS rn FROM keys)", f"fit AS (SELECT * FROM ranked WHERE rn <= {fit})", f"c0 AS (SELECT {cell}, rn - 1 AS cid, key AS v FROM fit WHERE rn <= {c})"]
+    for i in range(iters):
+        parts.append(f"a{i} AS ({near('fit', f'c{i}')})")
+        parts.append(f"m{i} AS (SELECT {cell}, cid, list(x ORDER BY i) AS v FROM (SELECT {cell}, cid, i, avg(key[i + 1]) AS x FROM a{i}, (SELECT unnest(range({views.KEY_DIM})) AS i) GROUP BY {cell}, cid, i) GROUP BY {cell}, cid)")
+        parts.append(f"c{i + 1} AS (SELECT c.cache_id, c.layer, c.kv_head, c.cid, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING ({cell}, cid))")
+    parts.append(f"n AS (SELECT {cell}, cid, count(*) AS n FROM ({near('keys', f'c{iters}')}) GROUP BY {cell}, cid)")
+    return f"WITH {', '.join(parts)} SELECT {cell}, CAST(cid AS INTEGER) AS cid, coalesce(n, 0) AS n, CAST(i AS INTEGER) AS i, round(v[i + 1] + 1e-10, 5) + 0.0 AS x FROM c{iters} LEFT JOIN n USING ({cell}, cid), (SELECT unnest(range({views.KEY_DIM})) AS i)"
+
+
+@query(_k_means_sql(8, 3, 2000))
 def kmeans_centroids(spark: SparkSession, d: str) -> DataFrame:
     """Lloyd's iterations: the centroids of each cell and how many keys are nearest to them."""
     ensure_checkpoint_dir(spark)
     kv = views.keys(spark, d)
     cents = search.k_means(kv, CELL, 8, 3, 2000)
     n = search.nearest_centroid(kv, cents, CELL).groupBy(*CELL, "cid").agg(F.count("*").alias("n"))
-    return cents.join(n, [*CELL, "cid"], "left").select(*CELL, "cid", F.coalesce("n", F.lit(0)).alias("n"), "centroid")
+    both = cents.join(n, [*CELL, "cid"], "left").select(*CELL, "cid", F.coalesce("n", F.lit(0)).alias("n"), F.posexplode("centroid").alias("i", "x"))
+    return both.withColumn("x", _r(F.col("x") + 1e-10, 5))
 
 
 @query(f"""WITH {TOP}, nk AS (SELECT cache_id, layer + 4 AS nl, layer, kv_head, pos FROM keys),

@@ -58,7 +58,14 @@ def token_f1(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, d).select("row_id", _r(tx.token_f1(F.col("gt"), F.col("lt"))).alias("token_f1"))
 
 
-@query()
+#: Length of the longest common subsequence: one row of the table per word of the answer, folded; a row is the running
+#: maximum of what each place can reach.
+_BITS = "list_transform(gt, lambda t: list_transform(lt, lambda x: CASE WHEN x = t THEN 1 ELSE 0 END))"
+_CAND = "list_transform(range(1, len(b) + 1), lambda k: CASE WHEN b[k] = 1 THEN coalesce(p[k - 1], 0) + 1 ELSE p[k] END)"
+LCS = f"""list_reduce(list_prepend(list_transform(lt, lambda x: 0), {_BITS}), lambda p, b: list_transform(range(1, len(b) + 1), lambda j: CAST(list_max(({_CAND})[1:j]) AS INTEGER)))[-1]"""
+
+
+@query(f"WITH {NORM}, c AS (SELECT *, coalesce({LCS}, 0) AS lcs FROM t) SELECT row_id, round(CAST({_f1('gt', 'lt', 'lcs')} AS DOUBLE), 6) AS rouge_l FROM c")
 def rouge_l(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, d).select("row_id", _r(tx.rouge_l(F.col("gt"), F.col("lt"))).alias("rouge_l"))
 
