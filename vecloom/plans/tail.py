@@ -120,6 +120,38 @@ def tail_merge(spark: SparkSession, d: str) -> DataFrame:
     return both.select("q_row", F.posexplode(tail.combine(F.col("nt"), F.col("dt"), F.col("u"), z)).alias("i", "out")).withColumn("out", _r("out"))
 
 
+def _erfc_sql(y: str) -> str:
+    """erfc by its series near zero and by its continued fraction beyond 2.5, on both sides."""
+    series = f"1 - 2 / sqrt(pi()) * list_sum(list_transform(range(60), lambda n: pow(-1.0, n) * pow({y}, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1))))"
+    fraction = lambda a: f"exp(-({a}) * ({a})) / (sqrt(pi()) * list_reduce(list_transform(range(80), lambda k: CAST(80 - k AS DOUBLE)), lambda f, k: {a} + k / 2 / f, CAST({a} AS DOUBLE)))"
+    return f"CASE WHEN {y} >= 2.5 THEN {fraction(y)} WHEN {y} <= -2.5 THEN 2 - {fraction(f'(-{y})')} ELSE {series} END"
+
+
+@query(f"""WITH {BASE}, mo AS (SELECT q_row, count(*) AS n, avg(logit) AS mu, var_pop(logit) AS var FROM lg GROUP BY q_row), b AS (SELECT DISTINCT q_row, cut, bnd FROM s),
+  y AS (SELECT q_row, cut, ln(n) + mu + var / 2 AS base, -(bnd - mu - var) / sqrt(var) / sqrt(2.0) AS y FROM b JOIN mo USING (q_row))
+  SELECT q_row, cut, round(base + ln(({_erfc_sql('y')}) / 2), 5) + 0.0 AS ln_mass FROM y""")
+def tail_mass(spark: SparkSession, d: str) -> DataFrame:
+    """Log mass of the keys below the weakest kept one, at every cut."""
+    sums = tail.cut_sums(_gathered(spark, d), CUTS, VALUE_DIM).join(views.queries(spark, d).select("q_row", *CELL, "q"), "q_row").join(_moments(spark, d), CELL)
+    mu, var = tail.mass_terms(F.col("q"), F.col("mean"), F.col("cov"), SCALING)
+    rows = sums.withColumn("mu", mu).withColumn("var", var)
+    return rows.select("q_row", "cut", _r(tail.tail_mass(F.col("mu"), F.col("var"), F.col("n_keys"), F.col("bnd")), 5).alias("ln_mass"))
+
+
+@query(f"""WITH {BASE}, mo AS (SELECT q_row, exp(ln(count(*)) + avg(logit) + var_pop(logit) / 2) AS z FROM lg GROUP BY q_row), av AS (SELECT cache_id, layer, kv_head, i, avg(value[i + 1]) AS u FROM keys, i8 GROUP BY cache_id, layer, kv_head, i),
+  al AS (SELECT unnest({tail.ALPHAS}) AS alpha), r AS (SELECT layer, kv_head, q_row, alpha, sqrt(sum(pow((nt + alpha * z * exp(-m) * u) / (dt + alpha * z * exp(-m)) - nn / dd, 2))) / sqrt(sum(pow(nn / dd, 2))) AS err
+    FROM s JOIN mo USING (q_row) JOIN av USING (cache_id, layer, kv_head, i), al WHERE cut = {KEEP} GROUP BY ALL), g AS (SELECT layer, kv_head, alpha, avg(err) AS err FROM r GROUP BY ALL)
+  SELECT layer, kv_head, CAST(arg_min(alpha, err) AS DOUBLE) AS alpha, round(min(err), 6) + 0.0 AS err FROM g GROUP BY layer, kv_head""")
+def alpha_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The mass factor of least error when the tail's value is the cell's mean and its mass that of all keys."""
+    sums = tail.with_full(tail.cut_sums(_gathered(spark, d), [KEEP], VALUE_DIM), _full_out(spark, d)).join(views.queries(spark, d).select("q_row", *CELL, "q"), "q_row")
+    av = views.keys(spark, d).groupBy(*CELL).agg(F.array(*[F.avg(F.col("value")[i]) for i in range(VALUE_DIM)]).alias("uh"))
+    both = sums.join(_moments(spark, d), CELL).join(av, CELL)
+    mu, var = tail.mass_terms(F.col("q"), F.col("mean"), F.col("cov"), SCALING)
+    rows = both.withColumn("z", F.exp(tail.mass_base(mu, var, F.col("n_keys")) - F.col("m")))
+    return tail.fit_alpha(rows, ["layer", "kv_head"]).withColumn("err", _r("err"))
+
+
 def _maps(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
     return tail.ridge_map(tail.true_tail(rows.where("train")), [*CELL, "cut"], KEY_DIM, VALUE_DIM, 1e-2)
 
