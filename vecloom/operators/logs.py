@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecloom.sources import ensure_checkpoint_dir
+
 #: Steps in a block of a running sum or a sliding window.
 BLOCK = 4096
 SHARD = ["layer", "shard"]
@@ -33,7 +35,9 @@ def running_sum(rows: DataFrame, by: list[str], order: str, columns: list[str],
     no task needs more than a block or one row per block. order holds whole numbers; rows of equal order
     get the same sum.
     """
-    rows = rows.withColumn("blk", F.floor(F.col(order) / block))
+    # Both levels read the rows: what they are made from, often a whole table, is computed once.
+    ensure_checkpoint_dir(rows.sparkSession)
+    rows = rows.withColumn("blk", F.floor(F.col(order) / block)).checkpoint()
     sums = rows.groupBy(*by, "blk").agg(*[F.sum(c).alias(f"{c}_blk") for c in columns])
     before = Window.partitionBy(*by).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, "blk", *[F.coalesce(F.sum(f"{c}_blk").over(before), F.lit(0)).alias(f"{c}_blk") for c in columns])

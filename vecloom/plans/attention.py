@@ -234,12 +234,12 @@ def _k_means_sql(c: int, iters: int, fit: int) -> str:
     return f"WITH {', '.join(parts)} SELECT {cell}, CAST(cid AS INTEGER) AS cid, coalesce(n, 0) AS n, CAST(i AS INTEGER) AS i, round(v[i + 1] + 1e-10, 5) + 0.0 AS x FROM c{iters} LEFT JOIN n USING ({cell}, cid), (SELECT unnest(range({views.KEY_DIM})) AS i)"
 
 
-@query(_k_means_sql(8, 3, 2000))
+@query(_k_means_sql(8, 3, 1000))
 def kmeans_centroids(spark: SparkSession, d: str) -> DataFrame:
     """Lloyd's iterations: the centroids of each cell and how many keys are nearest to them."""
     ensure_checkpoint_dir(spark)
     kv = views.keys(spark, d)
-    cents = search.k_means(kv, CELL, 8, 3, 2000)
+    cents = search.k_means(kv, CELL, 8, 3, 1000)
     n = search.nearest_centroid(kv, cents, CELL).groupBy(*CELL, "cid").agg(F.count("*").alias("n"))
     both = cents.join(n, [*CELL, "cid"], "left").select(*CELL, "cid", F.coalesce("n", F.lit(0)).alias("n"), F.posexplode("centroid").alias("i", "x"))
     return both.withColumn("x", _r(F.col("x") + 1e-10, 5))
