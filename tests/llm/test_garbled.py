@@ -66,3 +66,20 @@ def test_documents(spark):
     out = {r.doc_id: r for r in G.restored(df, "doc_id", "text").where("doc_id is not null").collect()}
     assert out[102].restored == TEXT and out[100].restored == "Der Suchlauf fällt" and out[101].restored == "vor der Änderung" and out[103].restored is None
     assert G.garbled(df.where("false"), "doc_id", "text").count() == 0 == G.restored(df.where("false"), "doc_id", "text").count()
+
+
+def test_garbled_forms_that_are_frequent(spark):
+    """Copies count once; one source that garbles much and words of one text that stand for each other are heard."""
+    good = [(i, f"Satz {i}: der Wert {w} ab", "a") for i, w in enumerate(["fällt", "läuft", "Änderung"] * 10)]
+    copies = [(100 + i, "Der Suchlauf " + garble("fällt", "cp437", "cp1252"), "a") for i in range(15)]  # a third of all rows
+    # In source b some third of the texts with the word are garbled, one word in each.
+    source = [(200 + i, f"Satz {i}: der Kern " + garble("läuft", "cp1251", "cp1252"), "b") for i in range(5)]
+    df = spark.createDataFrame(good + copies + source, "doc_id bigint, text string, source string")
+    got = {r.doc_id for r in G.garbled(df, "doc_id", "text", "source").collect()}
+    assert got == {i for i, _, _ in copies + source}
+    out = {r.doc_id: r.restored for r in G.restored(df, "doc_id", "text", "source").collect()}
+    assert out[100] == "Der Suchlauf fällt" and out[200] == "Satz 0: der Kern läuft"
+    # Two words of a text that the same pair of encodings repairs, without a source; the good texts stay.
+    many = [(i, f"Satz {i}: er fällt und läuft", "a") for i in range(9)] + [(300 + i, f"Satz {i}: " + garble("er fällt und läuft", "cp437", "cp1252"), "a") for i in range(5)]
+    df = spark.createDataFrame(many, "doc_id bigint, text string, source string")
+    assert {r.doc_id for r in G.garbled(df, "doc_id", "text").collect()} == {300 + i for i in range(5)}

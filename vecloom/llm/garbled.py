@@ -8,7 +8,8 @@ Three kinds of evidence, all for spans of a text, never for the text as a whole:
    garbled more than once, and over entities such as &Atilde; that hide a garbled letter.
 2. Garbled words. One-byte text read in another one-byte encoding changes letters one by one, and each
    changed letter alone could be right. A word counts as garbled if, read back through a pair of encodings,
-   it becomes a word that far more documents hold. The counts come from the whole corpus.
+   it becomes a word that far more texts hold. The counts come from the whole corpus, copies counted once.
+   Where a garbled form is frequent itself, its source and the other words of the text are heard as well.
 3. Marks of a failed decoding (U+FFFD), and letters that can't stand inside a word of their script.
 
 A span that a text only quotes - it stands alone between quotation marks - is no case.
@@ -44,8 +45,10 @@ ONE_BYTE = {
     "mac_roman": ["cp1252", "latin-1", "cp437", "cp850"],
     "cp852": ["cp1252", "cp1250", "cp850"],
 }
-#: A right form must be held by so many times more documents than the garbled one, and by so many at least.
+#: A right form must be held by so many times more texts than the garbled one, and by so many at least.
 TIMES, LEAST = 4, 4
+#: So many words of a text that one pair of encodings repairs stand for each other, if each right form is the commoner one.
+TOGETHER = 2
 #: The same for a word of one character, which says less.
 TIMES_ONE = 20
 
@@ -255,82 +258,113 @@ def _pairs() -> list[dict[int, str]]:
     return out
 
 
-def readings(word: str) -> set[str]:
-    """What the word becomes through each pair of encodings that has all its characters outside ASCII."""
-    out = set()
+def readings_by_pair(word: str) -> list[tuple[int, str]]:
+    """(number of the pair, what the word becomes) for each pair of encodings that has all its characters outside ASCII."""
+    out = []
     outside = [ord(c) for c in word if c > "\x7f"]
-    for back, same in _pairs():
+    for k, (back, same) in enumerate(_pairs()):
         if all(c in back or c in same for c in outside) and any(c in back for c in outside):
-            out.add("".join(back.get(ord(c), c) if c > "\x7f" else c for c in word))
-    out.discard(word)
+            out.append((k, "".join(back.get(ord(c), c) if c > "\x7f" else c for c in word)))
     if len(word) == 1 and (word in _PLAIN or _CYRILLIC.match(word)):
-        out = {w for w in out if word not in _PLAIN and not _CYRILLIC.match(w)}
-    return {w for w in out if w.isprintable() or "\xa0" in w}
+        out = [(k, w) for k, w in out if word not in _PLAIN and not _CYRILLIC.match(w)]
+    return [(k, w) for k, w in out if w != word and (w.isprintable() or "\xa0" in w)]
+
+
+def readings(word: str) -> set[str]:
+    """What the word becomes through any pair of encodings."""
+    return {w for _, w in readings_by_pair(word)}
 
 
-def _evidence(documents: DataFrame, ident: str, text: str) -> DataFrame:
-    """k, sequences, marks, words for the documents that hold any of them."""
+def _evidence(documents: DataFrame, ident: str, text: str, source: str | None) -> DataFrame:
+    """k, source, h (hash of the text), sequences, marks, words for the documents that hold any of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [scan(t) for t in b.column(1).to_pylist()]
+            got = [scan(t) for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.list_(pa.string()))],
-                ["k", "sequences", "marks", "words"],
+                [*b.columns[:3], pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.list_(pa.string()))],
+                ["k", "source", "h", "sequences", "marks", "words"],
             )
 
-    rows = spread(documents.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(ident).alias("k"), F.col(text).cast("string").alias("t")))
-    made = rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, sequences int, marks int, words array<string>")
+    t = F.col(text).cast("string")
+    where = (F.col(source) if source else F.lit(None)).cast("string")
+    rows = spread(documents.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(ident).alias("k"), where.alias("source"), F.unhex(F.md5(t)).alias("h"), t.alias("t")))
+    made = rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, source string, h binary, sequences int, marks int, words array<string>")
     return made.where((F.col("sequences") > 0) | (F.col("marks") > 0) | (F.size("words") > 0))
 
 
-def garbled_words(words: DataFrame, times: int = TIMES, least: int = LEAST, times_one: int = TIMES_ONE) -> DataFrame:
-    """word, right, of a table with one row (word) per document and word: the garbled words of the corpus.
+def garbled_words(words: DataFrame, times: int = TIMES, least: int = LEAST, times_one: int = TIMES_ONE, together: int = TOGETHER) -> DataFrame:
+    """h, word, right, of a table with one row (h, source, copies, word) per distinct text and word: the garbled words of each text.
 
-    A word is garbled if one of its readings is in at least `least` and `times` times as many documents.
+    A reading of the word is taken for the right form if at least `least` texts hold it and
+    - it is in `times` times as many texts as the word, in all texts or in those of all sources but the one
+      that holds the word most, as one source may garble much of what it holds, or
+    - the same pair of encodings repairs at least `together` words of the text.
+    Unless it is in `times` times as many of all texts, it must at least be in more of them than the word, and the
+    word longer than one character; a text of good words would otherwise be judged by its own garbled copies.
+    Stored rows (copies counted each) decide only where no fewer texts hold the reading than the word.
     The counts are summed before they are shuffled; only distinct words meet.
     """
-    count = words.groupBy("word").agg(F.count("*").alias("n"))
+    # Texts that hold the word, and those of the source that holds it most.
+    by_source = words.groupBy("word", "source").agg(F.count("*").alias("n"), F.sum("copies").alias("rows"))
+    count = by_source.groupBy("word").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.max(F.struct("n", "source")).alias("most"))
+    count = count.select("word", "n", "rows", F.col("most.n").alias("n_most"), F.col("most.source").alias("most"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(w, n, r) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in readings(w)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["word", "n", "right"])
-
-    tried = count.mapInArrow(run, "word string, n bigint, right string")
-    known = count.select(F.col("word").alias("right"), F.col("n").alias("m"))
-    both = tried.join(known, "right").where((F.col("m") >= least) & (F.col("m") >= F.when(F.length("word") > 1, times).otherwise(times_one) * F.col("n")))
-    return both.groupBy("word").agg(F.max_by("right", F.struct("m", "right")).alias("right"))
-
-
-def _judged(documents: DataFrame, ident: str, text: str) -> DataFrame:
-    """k, sequences, marks, wrong (map of garbled word to right word) of the garbled documents, one row each."""
+            rows = [(k, w, r) for k, w in enumerate(b.column(0).to_pylist()) for r in readings_by_pair(w)]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns), pa.array([r[2][0] for r in rows], pa.int32()), pa.array([r[2][1] for r in rows], pa.string())], ["word", "n", "rows", "n_most", "most", "pair", "right"])
+
+    tried = count.mapInArrow(run, "word string, n bigint, rows bigint, n_most bigint, most string, pair int, right string")
+    known = count.select(F.col("word").alias("right"), F.col("n").alias("m"), F.col("rows").alias("m_rows"))
+    factor = F.when(F.length("word") > 1, times).otherwise(times_one)
+    far = (F.col("m") >= least) & (F.col("m") >= factor * F.col("n"))
+    far = far | (F.col("m_rows") >= least) & (F.col("m_rows") >= factor * F.col("rows")) & (F.col("m") >= F.col("n"))
+    both = tried.join(known, "right").where(far | (F.length("word") > 1) & (F.col("m") >= least) & (F.col("m") > F.col("n")))
+    # How many of the right form's texts are of the source that holds the word most.
+    there = by_source.select(F.col("word").alias("right"), F.col("source").alias("most"), F.col("n").alias("m_most"))
+    both = both.join(there, ["right", "most"], "left").withColumn("m_out", F.col("m") - F.coalesce("m_most", F.lit(0)))
+    apart = F.col("most").isNotNull() & (F.col("m_out") >= least) & (F.col("m_out") >= times * (F.col("n") - F.col("n_most")))
+    both = both.select("word", "pair", "right", "m", (far | apart).alias("alone"))
+
+    met = words.select("h", "word").join(both, "word")
+    agree = met.groupBy("h", "pair").agg(F.collect_set(F.struct("word", "right", "m", "alone")).alias("found"))
+    agree = agree.select("h", F.size(F.array_distinct("found.word")).alias("with"), F.explode("found").alias("f")).select("h", "with", "f.*")
+    sure = agree.where(F.col("alone") | (F.col("with") >= together) & (F.length("word") > 1))
+    return sure.groupBy("h", "word").agg(F.max_by("right", F.struct("alone", "with", "m", "right")).alias("right"))
+
+
+def _judged(documents: DataFrame, ident: str, text: str, source: str | None) -> DataFrame:
+    """k, sequences, marks, wrong (garbled word and right word) of the garbled documents, one row each."""
     ensure_checkpoint_dir(documents.sparkSession)
     # Used for the counts and for the verdict; written once, so that no text is scanned twice.
-    seen = _evidence(documents, ident, text).checkpoint()
-    words = seen.select("k", F.explode("words").alias("word"))
-    wrong = words.join(garbled_words(words), "word").groupBy("k").agg(F.collect_set(F.struct("word", "right")).alias("wrong"))
-    sure = seen.groupBy("k").agg(F.max("sequences").alias("sequences"), F.max("marks").alias("marks"))
-    both = sure.join(wrong, "k", "left")
-    return both.where((F.col("sequences") > 0) | (F.col("marks") > 0) | F.col("wrong").isNotNull())
+    seen = _evidence(documents, ident, text, source).checkpoint()
+    # A text that is stored many times counts once, for its first source.
+    once = seen.where(F.size("words") > 0).groupBy("h").agg(F.min("source").alias("source"), F.count("*").alias("copies"), F.first("words").alias("words"))
+    words = once.select("h", "source", "copies", F.explode("words").alias("word"))
+    wrong = garbled_words(words).groupBy("h").agg(F.collect_set(F.struct("word", "right")).alias("wrong"))
+    both = seen.select("k", "h", "sequences", "marks").join(wrong, "h", "left")
+    both = both.where((F.col("sequences") > 0) | (F.col("marks") > 0) | F.col("wrong").isNotNull())
+    return both.groupBy("k").agg(F.max("sequences").alias("sequences"), F.max("marks").alias("marks"), F.array_distinct(F.flatten(F.collect_list("wrong"))).alias("wrong"))
 
 
-def garbled(documents: DataFrame, ident: str, text: str) -> DataFrame:
+def garbled(documents: DataFrame, ident: str, text: str, source: str | None = None) -> DataFrame:
     """ident of every document that holds a wrongly decoded passage, once each.
 
-    Null, empty and plain ASCII texts are no case. Repeated rows count as documents for the counts and come
-    out once. Other columns are dropped.
+    Null, empty and plain ASCII texts are no case. Copies of a text count as one for the counts, repeated rows come
+    out once. `source` may name a column that says where a document is from. Other columns are dropped.
     """
-    return _judged(documents, ident, text).select(F.col("k").alias(ident))
+    return _judged(documents, ident, text, source).select(F.col("k").alias(ident))
 
 
-def restored(documents: DataFrame, ident: str, text: str) -> DataFrame:
+def restored(documents: DataFrame, ident: str, text: str, source: str | None = None) -> DataFrame:
     """ident, sequences, words, restored: the garbled documents with their original.
 
     sequences and words count what was replaced; the rest of the text is untouched. restored is null where
     characters are lost (U+FFFD), as no decoding brings them back.
     """
-    verdict = _judged(documents, ident, text)
+    verdict = _judged(documents, ident, text, source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

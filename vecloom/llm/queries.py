@@ -76,12 +76,12 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return garbled.garbled(table(spark, d, "documents"), "doc_id", "text")
+    return garbled.garbled(table(spark, d, "documents"), "doc_id", "text", "source")
 
 
 def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     """The garbled documents with their original text where it can be had."""
-    return garbled.restored(table(spark, d, "documents"), "doc_id", "text")
+    return garbled.restored(table(spark, d, "documents"), "doc_id", "text", "source")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
