@@ -83,3 +83,27 @@ def test_garbled_forms_that_are_frequent(spark):
     many = [(i, f"Satz {i}: er fällt und läuft", "a") for i in range(9)] + [(300 + i, f"Satz {i}: " + garble("er fällt und läuft", "cp437", "cp1252"), "a") for i in range(5)]
     df = spark.createDataFrame(many, "doc_id bigint, text string, source string")
     assert {r.doc_id for r in G.garbled(df, "doc_id", "text").collect()} == {300 + i for i in range(5)}
+
+
+def test_all_scripts_in_all_encodings():
+    for t in ("שלום עולם", "مرحبا بالعالم", "สวัสดีชาวโลก", "नमस्ते दुनिया", "გამარჯობა მსოფლიო", "Բարեւ աշխարհ", "안녕하세요 세계", "その後の最後の層", "𠀀𠀁 ğƏ"):
+        for read in G.READ_AS:
+            fixed, n = G.restore_sequences(f"plain: {garble(t, read)} end")
+            assert n > 2, (t, read)
+            if read in ("cp1252", "latin-1", "cp437", "koi8-r"):
+                assert fixed == f"plain: {t} end", (t, read, fixed)
+    good = ["Il dit « vérifié\xa0» et va à\xa0« Paris\xa0»", "Она же\xa0— театр\xa0—\xa0это", "zvlášť компанії Азії лінії дії", "█░█░ ╔═╗║ ██▓▒░ ────────", "ПРОВЕРКА КОДА последний слой", "使用中的联通公司提供服务", "最後の層は小さな窓", "안녕하세요"]
+    for t in good:
+        assert G.restore_sequences(t) == (t, 0), t
+
+
+def test_two_byte_passages():
+    for t, written in (("数据保存在服务器上", "gbk"), ("資料儲存在伺服器上面", "big5"), ("안녕하세요여러분", "euc_kr"), ("その後の最後の層", "shift_jis")):
+        for read in ("cp1252", "latin-1"):
+            line = f"A long English line holds “{t[:0]}this”: {garble(t, read, written)} and goes on – with more text 你"
+            assert G.restore_sequences(line)[0] == line.replace(garble(t, read, written), t), (t, read)
+    for read, t in (("gbk", "用户登录成功"), ("cp932", "最後の層は")):
+        wrong = t.encode().decode(read, "ignore")
+        if wrong.encode(read) == t.encode():
+            assert G.restore_sequences(f"x {wrong} y") == (f"x {t} y", 1), (read, t)
+    assert G.restore_sequences("the caf" + "é".encode().decode("gbk") + " is")[0] == "the café is"

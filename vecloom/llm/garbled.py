@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -64,17 +65,11 @@ def _table(name: str) -> list[str]:
 
 
 def _characters() -> Iterator[int]:
-    """Code points whose sequences are looked for: the scripts and signs of ordinary text."""
-    yield from range(0x80, 0x180)  # controls that a first misreading leaves for a second, Latin
-    yield from (0x192, *range(0x218, 0x21C), *range(0x2C6, 0x2DE))
-    yield from range(0x300, 0x460)  # combining accents, Greek, Cyrillic
-    yield from range(0x1E00, 0x2300)  # Latin, punctuation, currency, letter-like, arrows, operators
-    yield from range(0x2500, 0x2800)  # boxes, shapes, signs
-    yield from range(0x3000, 0x3100)  # kana
-    yield from range(0x4E00, 0xA000)  # ideographs
-    yield from range(0xAC00, 0xD7A4, 1)
-    yield from (0xFEFF, 0xFE0F, *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F))
-    yield from range(0x1F300, 0x1FB00)  # pictures
+    """Code points whose sequences are looked for: controls that a first misreading leaves for a second, and all letters, marks, numbers, signs and formats."""
+    yield from range(0x80, 0xA0)
+    for cp in range(0xA0, 0x32000):
+        if unicodedata.category(chr(cp)) not in ("Cn", "Co", "Cs"):
+            yield cp
 
 
 @functools.lru_cache(1)
@@ -85,12 +80,10 @@ def automaton() -> ahocorasick.Automaton:
     for cp in _characters():
         ch = chr(cp)
         data = ch.encode()
-        # Rare scripts are looked for in the usual misreadings only; this keeps the automaton small.
-        some = tables[:2] if 0xAC00 <= cp < 0xD7A4 else tables[:7] if cp >= 0x4E00 else tables
-        for t in some:
-            seq = "".join(t[b] for b in data)
+        value = (len(data), ch)
+        for seq in {"".join([t[b] for b in data]): None for t in tables}:
             if seq not in a:
-                a.add_word(seq, (len(seq), ch))
+                a.add_word(seq, value)
     a.make_automaton()
     return a
 
@@ -98,6 +91,18 @@ def automaton() -> ahocorasick.Automaton:
 #: Second characters of a sequence that also close a quotation, end a clause or stand for themselves in good text.
 _PLAIN_SECOND = set("»“”„’‘–—…•№ёЁ\xa0 ")
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
+_BOXES = re.compile("[─-▟]+")
+_OUTSIDE = re.compile(r"[^\x00-\x7f]+")
+#: Signs that may follow a letter in good text, as in "é\xa0»" or "же\xa0—".
+_LOOSE = _PLAIN_SECOND | set("«§°©®™·‹›‚¡¿")
+
+
+def _unsure(seq: str, ch: str) -> bool:
+    """Whether a sequence of three or four may be good text, as in "zvlášť", "Азії" or "é\xa0»": it counts only beside others."""
+    if all(c.islower() and c not in "ªºµ" for c in seq):
+        return True
+    usual = 0x1E00 <= ord(ch) < 0x2800 or 0x1F000 <= ord(ch) < 0x1FC00 or 0xFB00 <= ord(ch) < 0xFB07 or ch in "\ufeff\ufe0f"
+    return not usual and seq[0].isalpha() and all(c in _LOOSE or _CYRILLIC.match(c) or c.isalpha() and c not in "ªºµ" for c in seq[1:])
 
 
 def _quoted(text: str, start: int, end: int) -> bool:
@@ -118,6 +123,9 @@ def sequences(text: str) -> list[tuple[int, int, str]]:
             best.pop()
         if not best or best[-1][1] <= m[0]:
             best.append(m)
+    sure: set[int] = set()
+    if any(x[1] == y[0] for x, y in zip(best, best[1:])):
+        best, sure = _coherent(text, best)
     out = []
     for k, (s, e, ch) in enumerate(best):
         first, second = text[s], text[s + 1]
@@ -127,24 +135,85 @@ def sequences(text: str) -> list[tuple[int, int, str]]:
             latin = before.isascii() and before.isalpha() or after.isascii() and after.isalpha()
             if ord(ch) >= 0x370 or _CYRILLIC.match(first) and _CYRILLIC.match(second) and not latin:
                 continue  # Greek or Cyrillic comes in words: a single letter of it is good text read wrongly by us
+            if _rare(ch):
+                # Not two letters or a sign and a letter that may both be right, as in "«Ñ" and "CZĘŚĆ".
+                if not first.isalpha() or second.isalpha() and not (before.islower() and first.isupper()):
+                    continue
             if second in _PLAIN_SECOND:
                 # A letter and a mark that may both be right: sure only inside a word, or apart from any word.
                 inside = after.islower() and (before.islower() or second not in "’”»№ёЁ\xa0 ")
                 apart = not before.strip() and not after.strip() and second in "–—…\xa0" or first in "ÂÃ" and second == "\xa0"
                 if not inside and not apart:
                     continue
-        if not _run_quoted(text, best, k):
+        if e - s > 2 and _unsure(text[s:e], ch):
+            near = [best[j] for j in (k - 1, k + 1) if 0 <= j < len(best)]
+            if not any((y == s or x == e) and y - x > 2 for x, y, _ in near):
+                continue
+        i, j = _run(best, k)
+        whole = text[best[i][0] : best[j][1]]
+        if e - s == 2 and ord(ch) >= 0x180 and whole.isalpha() and (whole[1:].islower() or _rare(ch) and first.islower()):
+            continue  # letters of a word, as in one-byte text that was read in another one-byte encoding
+        if e - s == 2 and _rare(ch) and first.islower() and s not in sure:
+            continue
+        if ord(ch) >= 0x480 and _BOXES.fullmatch(text, best[i][0], best[j][1]):
+            continue  # a drawing
+        if not _quoted(text, best[i][0], best[j][1]):
             out.append((s, e, ch))
     return out
 
 
-def _run_quoted(text: str, found: list[tuple[int, int, str]], k: int) -> bool:
+@functools.lru_cache(1)
+def _ways_back() -> list[dict[str, int]]:
+    return [{c: b for b, c in enumerate(_table(n))} for n in READ_AS]
+
+
+def _rare(ch: str) -> bool:
+    """Letters of the Latin blocks that few languages write."""
+    return 0x180 <= ord(ch) < 0x218 and ord(ch) != 0x192 or 0x21C <= ord(ch) < 0x2C6 or 0x2DE <= ord(ch) < 0x300
+
+
+def _coherent(text: str, found: list[tuple[int, int, str]]) -> tuple[list[tuple[int, int, str]], set[int]]:
+    """The matches, those of a run outside ASCII replaced where one encoding explains the whole run (several characters).
+
+    With the positions of those that were replaced.
+    """
+    out, sure, k = [], set(), 0
+    for r in _OUTSIDE.finditer(text, found[0][0]):
+        own = k
+        while k < len(found) and found[k][0] < r.end():
+            k += 1
+        if k - own < 2:
+            out += found[own:k]
+            continue
+        for back in _ways_back():
+            data = [back.get(c) for c in r[0]]
+            if None in data:
+                continue
+            try:
+                got = bytes(data).decode()
+            except UnicodeDecodeError:
+                continue
+            if not any(unicodedata.category(c) in ("Cn", "Co") for c in got):
+                at = r.start()
+                for c in got:
+                    n = len(c.encode())
+                    out.append((at, at + n, c))
+                    sure.add(at)
+                    at += n
+                break
+        else:
+            out += found[own:k]
+    return out, sure
+
+
+def _run(found: list[tuple[int, int, str]], k: int) -> tuple[int, int]:
+    """First and last of the matches that follow each other without a gap round match k."""
     a = b = k
     while a and found[a - 1][1] == found[a][0]:
         a -= 1
     while b + 1 < len(found) and found[b + 1][0] == found[b][1]:
         b += 1
-    return _quoted(text, found[a][0], found[b][1])
+    return a, b
 
 
 #: Text in one of these was read in one of those: two bytes make a character, so whole lines are read back.
@@ -177,6 +246,115 @@ def two_byte_line(line: str) -> str | None:
     return None
 
 
+#: Text in one of these, read one byte at a time: bytes of its common characters, and a check of what comes out.
+WIDE = {"euc_kr": ("[가-힣]", 0.9), "gbk": (None, 0.8), "big5": (None, 0.8)}
+_LEVEL_ONE = {"gbk": (0xB0A1, 0xD7F9), "big5": (0xA440, 0xC67E)}
+#: UTF-8 was read in one of these: two bytes make a character.
+UTF8_READ_AS = ["gbk", "cp932", "big5", "cp949"]
+#: A passage that was read one byte at a time: characters outside ASCII with few ASCII ones between them.
+_PASSAGE = re.compile(r"[^\x00-\x7f\u3000-\u9fff\uac00-\ud7a3\uff00-\uffff](?:[\x20-\x7e]{0,2}[^\x00-\x7f\u3000-\u9fff\uac00-\ud7a3\uff00-\uffff])+[\x40-\x7e]?")
+_PARTS = re.compile(r"([\x20-\x2f\x3a-\x3f]+)")
+#: A passage of two-byte characters, and kana of half width.
+_EAST = re.compile(r"[\u2010-\u2312\u2460-\u266f\u3000-\u33ff\u3400-\u9fff\uac00-\ud7a3\ue000-\uf8ff\uff00-\uffef]+")
+_WIDE_LETTER = re.compile("[぀-ヿ㐀-鿿가-힣]")
+
+
+def _common(text: str, name: str) -> bool:
+    """Whether the wide characters of the text are mostly those that the encoding lists as common."""
+    wide = [c for c in text if c > "\x7f"]
+    if len(wide) < 4 or len(set(wide)) < 3:
+        return False
+    letters, share = WIDE[name]
+    if letters:
+        return sum(map(bool, map(re.compile(letters).match, wide))) >= share * len(wide)
+    low, high = _LEVEL_ONE[name]
+    found = [int.from_bytes(c.encode(name)) for c in wide if _WIDE_LETTER.match(c)]
+    return len(found) >= 4 and sum(low <= v <= high for v in found) >= share * len(wide)
+
+
+def two_byte_passage(run: str) -> str | None:
+    """A passage in a two-byte encoding that was read one byte at a time, read back; None if it is no such passage."""
+    outside = [c for c in run if c > "\x7f"]
+    if len(outside) < 6:
+        return None
+    # Good text of one script, drawings and typographic signs are no case: such bytes make many other signs. Kana need no such check.
+    boxes = sum(map(str.isalpha, outside)) < 2 or len(set(outside)) < 5
+    odd = sum(not c.isalpha() and c not in _LOOSE and not (boxes and _BOXES.match(c)) for c in outside)
+    names = TWO_BYTE if odd < max(1, 0.1 * len(outside)) else [*TWO_BYTE, *WIDE]
+    for back in _bytes_of():
+        data = [ord(c) if c < "\x80" else back.get(ord(c)) for c in run]
+        if None in data:
+            continue
+        for name in names:
+            try:
+                text = bytes(data).decode(name)
+            except UnicodeDecodeError:
+                continue
+            if name in TWO_BYTE:
+                n = sum(c > "\x7f" for c in text)
+                if len(_KANA.findall(text)) >= 3 and len(_WIDE.findall(text)) >= 0.95 * n:
+                    return text
+            elif _common(text, name) and not _mostly_utf8(run, len(outside)):
+                return text
+    return None
+
+
+def _mostly_utf8(run: str, outside: int) -> bool:
+    """Whether one encoding makes most characters outside ASCII bytes of UTF-8, which hardly arises from other text."""
+    read = (bytes([ord(c) if c < "\x80" else back.get(ord(c), 63) for c in run]).decode("utf-8", "ignore") for back in _bytes_of())
+    return any(sum(len(c.encode()) for c in t if c > "\x7f") >= 0.85 * outside for t in read)
+
+
+def east_passage(text: str, start: int, end: int) -> str | None:
+    """text[start:end] as UTF-8 that was read in a two-byte encoding, read back; None if it is no such passage."""
+    before, after = text[start - 1 : start], text[end : end + 1]
+    latin = any(c.isascii() and c.isalpha() for c in (before, after))
+    for name in UTF8_READ_AS:
+        try:
+            got = text[start:end].encode(name).decode()
+        except UnicodeError:
+            continue
+        long = sum(c > "\u07ff" for c in got)
+        # Two letters of three bytes hardly arise from good text; fewer only right beside a Latin letter.
+        fits = all(c.isascii() or unicodedata.category(c)[0] in "LMNPSZ" for c in got)
+        near = latin and all(c < "\u0250" or "\u2010" <= c < "\u2030" for c in got) and any("\xbf" < c < "\u0250" or "\u2010" <= c for c in got)
+        if fits and (long >= 2 or near):
+            return got
+    return None
+
+
+def passages(text: str) -> tuple[str, int]:
+    """The text with its passages of two-byte characters read back, and how many there were; without quoted ones."""
+    n = 0
+
+    def read(run: str) -> str | None:
+        got = two_byte_passage(run)
+        # Garbled UTF-8 that explains most of it is surer than a reading of two bytes as one character.
+        return None if got is None or sum(e - s for s, e, _ in sequences(run)) >= 0.6 * sum(c > "\x7f" for c in run) else got
+
+    def single(m: re.Match) -> str:
+        nonlocal n
+        if _quoted(m.string, m.start(), m.end()):
+            return m[0]
+        got = read(m[0])
+        if got is not None:
+            n += 1
+            return got
+        # Good characters may stand beside it; blanks and most punctuation are no byte of a two-byte character.
+        parts = [(p, read(p)) for p in _PARTS.split(m[0])]
+        n += sum(got is not None for _, got in parts)
+        return "".join(p if got is None else got for p, got in parts)
+
+    def double(m: re.Match) -> str:
+        nonlocal n
+        got = None if _quoted(m.string, m.start(), m.end()) else east_passage(m.string, m.start(), m.end())
+        n += got is not None
+        return m[0] if got is None else got
+
+    text = _PASSAGE.sub(single, text)
+    return _EAST.sub(double, text), n
+
+
 _ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}|#\d{2,4});")
 _RARE = re.compile(r"[^\x00-\x7f]")
 
@@ -210,6 +388,9 @@ def restore_sequences(text: str) -> tuple[str, int]:
                 pieces += [whole[last:p], ch if p in inside else raw]
                 last = p + 1
             text = "".join([*pieces, whole[last:]])
+    if not text.isascii():
+        text, n = passages(text)
+        total += n
     for _ in range(3):
         found = sequences(text)
         if not found:
