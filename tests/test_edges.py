@@ -73,3 +73,20 @@ def test_stores(spark, tmp_path):
     (tmp_path / "p.txt").write_text("hello\n\n/full\nworld\n")
     assert [(r.prompt, r.kind) for r in stores.read_prompts(spark, f"{tmp_path}/p.txt").collect()] == [("hello", "prompt"), ("/full", "control"), ("world", "prompt")]
     assert stores.read_context(spark, f"{tmp_path}/p.txt").first().text.startswith("hello")
+
+
+def test_fitted_mass_factor_is_applied(spark, data):
+    """tail_apply merges alpha * z, not z; no recorded output means no verdict on sanity."""
+    from pyspark.sql import functions as F
+
+    from vecloom.operators import search
+    from vecloom.plans import tail as plans
+
+    rows = plans._scored(spark, data).where(F.col("cut") == plans.KEEP)
+    rows = rows.join(plans.alpha_fit(spark, data).select("layer", "kv_head", "alpha"), ["layer", "kv_head"])
+    part = rows.select("q_row", (F.col("m") + F.log(F.col("dt") + F.col("alpha") * F.col("z"))).alias("lse"), "nt")
+    want = {r.q_row: r.lse for r in search.merge_partitions(part.withColumnRenamed("nt", "out"), plans._live_out(spark, data), ["q_row"]).collect()}
+    got = {r.q_row: r.lse for r in plans.tail_apply(spark, data).collect()}
+    assert got and all(abs(want[q] - v) < 1e-9 for q, v in got.items())
+    assert {r.alpha for r in rows.collect()} != {1.0}
+    assert {r.sanity_pass for r in plans.decode_validation(spark, data).collect()} == {None}
