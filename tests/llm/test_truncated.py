@@ -26,7 +26,12 @@ def test_shapes():
 def test_kinds():
     kind = lambda t: T.tail(t)[0]
     for t in ("Done.", "Really?", "“Done.”", "終わり。", "42", "Answer: oak", "**slate**\n", "<think>\n\n</think>", "```\ncode;\n```", "-", "[]"):
-        assert kind(t) == "done", t
+        assert kind(t) in ("done", "bare"), t
+    # Whatever stands at the end, a terminator too: something is open, or a character stops half-way.
+    for t in ("The committee (chaired by Dr.", 'He called it "a matter of approx.', "Run it:\n```python\nprint(1).", "<think> It is oak.", "see /wiki/%E3%81%82%E3%81", "see /wiki/%E3%8", "so happy \U0001f468\u200d", "ä\u00c3\u00a9 und \u00e2\u0082"):
+        assert kind(t) == "cut", t
+    for t in ("It costs 5 %.", "see /wiki/%E3%81%82", "50%", "Ünal met Zoé", "5' 3\" tall.", "(a) first. b) second."):
+        assert kind(t) != "cut", t
     for t in ("It is (as", "because “exact", "On the other hand,", "It is in `lib/cairn/sr", "path lib/cairn/", "caf\\u00", "5 &am"):
         assert kind(t) == "cut", t
     assert kind("moved to th [cut]") == "marked" == kind("it sees the val…") == kind("a le sp�") and kind("The roof was slate") == "open"
@@ -54,8 +59,13 @@ def test_rows(spark):
     assert out.count(5004) == 2
     got.discard(5004)
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.03 * len(want), (len(got), len(want), sorted(got - want)[:5])
-    share = {x.runner: (x.rows, x.cut) for x in T.by_source(df, T.truncated(df, "row_id", "gen", "runner", "label", "gen_tokens"), "row_id", "runner").collect()}
-    assert sum(v[0] for v in share.values()) == len(rows) and None in share
+    report = {x.runner: x for x in T.by_source(df, "row_id", "gen", "runner", "label", "gen_tokens").collect()}
+    assert sum(x.rows for x in report.values()) == len(rows) and None in report and sum(x.cut for x in report.values()) == len(out)
+    for x in report.values():
+        assert x.cut == x.by_structure + x.by_terminator + x.by_limit + x.by_word + x.by_length
+    # A seventh of the complete texts has no full stop; one in eleven was cut.
+    assert all(abs(report[f"r{k}"].baseline - 1 / 7) < 0.03 and abs(report[f"r{k}"].share - 0.07) < 0.04 for k in range(3))
+    assert T.by_source(df.where("false"), "row_id", "gen", "runner", "label", "gen_tokens").count() == 0
     assert T.truncated(df.where("false"), "row_id", "gen", "runner", "label", "gen_tokens").count() == 0
 
 

@@ -36,8 +36,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    """The share of truncated rows of every runner."""
-    return truncated.by_source(table(spark, d, "eval_rows"), p4_found(spark, d), "row_id", "runner").withColumn("share", F.round("share", 6))
+    """The share of truncated rows of every runner, its baseline of complete texts without a terminator, and the evidence."""
+    out = truncated.by_source(table(spark, d, "eval_rows"), "row_id", "gen", "runner", "label", "gen_tokens")
+    return out.withColumns({c: F.round(c, 6) for c in ("share", "baseline")})
 
 
 KEYS = ["config", "run_bucket", "day"]

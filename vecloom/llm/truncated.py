@@ -1,12 +1,19 @@
 """Problem 4: texts that were cut off, by a check of their structure and by how their sources end texts.
 
-A stack automaton reads a text once: quotation marks, brackets, code fences and markup that are still open
-at the end, an escape or character that stops half-way, or a mark that someone put behind a cut are
-structural evidence. A text without a terminator may still be complete; there the corpus decides: how often
-did its last words (up to three, names and numbers by their shape) end a sentence, of all the times that
-they occur? A rate near zero means that the text goes on. In between, the source's own limit decides: a
-length, in characters, bytes or tokens, at which a conspicuous part of the unterminated texts of that
-source stop. A text that is too short for the number of tokens that the model counted was cut on its way.
+A stack automaton reads every text once: quotation marks, brackets, code fences and markup that are still
+open at its end, whatever stands there, an escape or a multibyte character that stops half-way, a mark that
+someone put behind a cut, or a dangling comma are structural evidence.
+
+What has no terminator may still be complete. There each source's own baseline decides. How likely are the
+last words (up to three, names and numbers by their shape) to end a sentence? Complete texts end where
+sentences end, cuts fall anywhere; so an unterminated text whose last words end a sentence at rate p speaks
+for a cut by r / p, where r is that rate over all words. From these ratios follows, by maximum likelihood,
+which share of a source's unterminated texts was cut, and hence its baseline: the share of complete texts
+that it leaves without a terminator; lists, whose entries seldom have one, single sentences and longer prose have baselines
+of their own. A text is cut if the odds of its source times its own ratio exceed one. A length at
+which the source's cut texts pile up while its complete ones don't (a limit in characters, bytes or tokens)
+multiplies the odds. A text that is too short for the number of tokens that the model counted, and a last
+word that is broken off, count like words that never end a sentence.
 """
 
 from __future__ import annotations
@@ -22,18 +29,28 @@ from pyspark.sql import functions as F
 
 from vecloom.sources import ensure_checkpoint_dir, spread
 
-#: Below LOW the last words don't end a sentence. Above, they may, and the source's limits decide; at a limit in
-#: tokens, which many lengths share, only below HIGH.
-LOW, HIGH = 0.02, 0.9
+#: The least rate at which words are taken to end a sentence, for words that never did and for broken ones.
+LEAST_RATE = 1e-3
+#: Above this rate a last word says nothing by being the beginning of the right answer.
+USUAL = 0.9
+#: Odds of the words alone from which a text counts for the lengths at which its source cuts.
+SURE = 9.0
+#: Shares of cut texts among a source's unterminated ones that are tried, and the weight, in texts, of all sources in it.
+SHARES, BORROWED = [i / 50 for i in range(1, 50)], 10
 #: Complete texts have a narrow range of characters per token (the model's count, taken before a cut) in each script. A text
 #: shorter than MARGIN times what all but this SHARE of them reach was cut on its way.
 SHARE, MARGIN, LONG = 0.001, 0.95, 40
 #: A context that occurs less often than this is replaced by a shorter one.
 SEEN = 8
-#: A length is a limit of a source if so many unterminated texts stop at it, and this share of those at least as long.
-LIMIT_ROWS, LIMIT_SHARE = 8, 0.15
+#: Lengths on each side with which one is compared.
+NEAR = 10
+#: Sums that a task holds before it passes them on.
+HELD = 300_000
 
 TERMINATORS = ".!?。！？"
+_TERMINATOR_SET = set(TERMINATORS)
+#: Last characters that a mark behind a cut has.
+_MARK_ENDS = set("])>….�\x7f") | set(map(chr, [*range(9), *range(14, 32)]))
 _CLOSERS = "\"'”’»`*)]}」）"
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+(?:[-/.'’_:][^\W_぀-ヿ㐀-鿿]+)*(?:[ \xa0]?%)?")
 #: A token and what stands between it and the next.
@@ -84,8 +101,8 @@ def open_at_end(text: str) -> str:
         if s in ("```", "**", "`", '"'):
             if s in stack:
                 del stack[stack.index(s) :]
-            else:
-                stack.append(s)
+            elif s != '"' or not text[max(0, m.start() - 1) : m.start()].strip(" \t\n([{“«„—–-/=:>*"):
+                stack.append(s)  # behind a word or a number it can only close, as in 3"
         elif m[2]:
             if m[1] and m[2] in stack:
                 del stack[stack.index(m[2]) :]
@@ -122,23 +139,49 @@ def count_text(text: str, counts: Counter, known: Counter) -> None:
         a, b = ("^", "^") if end else (b, c)
 
 
-def tail(text: str) -> tuple[str, str, str, str, str]:
-    """Evidence of a text's end: (kind, three last shapes, last word).
+_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})*%[0-9A-Fa-f]{2}%?[0-9A-Fa-f]?$")
+_LEAD = re.compile("[\xc2-\xf4][\x80-\xbf]{0,2}$")
+_JOINED = re.compile("[\u200d\ud800-\udbff]$")
 
-    kind: "done" (a terminator, or nothing to judge), "cut" (structural evidence), "open" (the corpus decides).
+
+def broken_bytes(body: str) -> bool:
+    """Whether a multibyte character stops half-way at the end: percent-encoded, read byte by byte, or a joined one."""
+    if m := _PERCENT.search(body):
+        try:
+            bytes.fromhex(m[0].replace("%", "")[: 2 * m[0].count("%")]).decode()
+        except UnicodeDecodeError as e:
+            return e.reason == "unexpected end of data"
+        except ValueError:
+            return True  # half an escape
+    if _JOINED.search(body):
+        return True
+    m = _LEAD.search(body)
+    # The beginning of a longer sequence behind a whole one of the same kind.
+    return bool(m) and len(m[0]) < 4 and len(m[0]) < (2 + (m[0][0] >= "\xe0") + (m[0][0] >= "\xf0")) and bool(re.search("[\xc2-\xf4][\x80-\xbf]", body[: m.start()]))
+
+
+def tail(text: str) -> tuple[str, str, str, str, str, bool]:
+    """Evidence of a text's end: (kind, three last shapes, last word, whether a sentence precedes the last one).
+
+    kind: "done" (a terminator and nothing open, or nothing to judge), "bare" (a single value), "cut" or "marked"
+    (structural evidence), "open" (no terminator: the source's baseline decides).
     """
     body = text.rstrip()
     marked = False
-    if body.endswith("```") and body.count("```") % 2 == 0 or not re.search(r"\w", _TAGS.sub("", body)):
-        return "done", "", "", "", ""
-    while (m := _MARK.search(body)) and m.start() > 0:
-        remark = _REMARK.search(body)
-        if remark and not re.search("[A-Za-z]", remark[1]):
-            break
-        marked, body = True, body[: m.start()].rstrip()
+    if body.endswith("```") and body.count("```") % 2 == 0 or not re.search(r"\w", _TAGS.sub("", body) if "<" in body else body):
+        return "bare", "", "", "", "", False
+    if body[-1:] in _MARK_ENDS:
+        while (m := _MARK.search(body)) and m.start() > 0:
+            remark = _REMARK.search(body)
+            if remark and not re.search("[A-Za-z]", remark[1]):
+                break
+            marked, body = True, body[: m.start()].rstrip()
+    held = open_at_end(body)
+    if not held and body.rstrip(_CLOSERS + " \n")[-1:] in _TERMINATOR_SET:
+        return "done", "", "", "", "", False
     tokens = list(_TOKEN.finditer(body))
     if not tokens:
-        return "done", "", "", "", ""
+        return "bare", "", "", "", "", False
     end = body[tokens[-1].end() :]
     rest = end.strip(_CLOSERS + " \n")
     begin = 0
@@ -150,113 +193,181 @@ def tail(text: str) -> tuple[str, str, str, str, str]:
     last = [shape(t[0]) for t in tokens[max(begin, len(tokens) - 3) :]]
     a, b, c = ((["#", "#"] if begin == 0 else ["^", "^"]) + last)[-3:]
     word = tokens[-1][0]
-    if begin == 0 and not marked and _BARE.match(body[: tokens[-1].start()]):
-        return "done", a, b, c, word  # a bare value
-    held = open_at_end(body)
+    if begin == 0 and not marked and not held and _BARE.match(body[: tokens[-1].start()]):
+        return "bare", a, b, c, word, begin > 0
     if held and not (marked and rest and rest[-1] in TERMINATORS):
-        return "cut", a, b, c, word
+        return "cut", a, b, c, word, begin > 0
     if rest and rest[-1] in TERMINATORS:
-        return "done", a, b, c, word
-    if rest and rest not in ("%", "°", ";", "}", "-", "=") or _ESCAPE.search(body):
-        return "cut", a, b, c, word  # a comma, a colon, a dash: more was to come
+        return "done", a, b, c, word, begin > 0
+    if rest and rest not in ("%", "°", ";", "}", "-", "=") or _ESCAPE.search(body) or broken_bytes(body):
+        return "cut", a, b, c, word, begin > 0  # a comma, a colon, a dash: more was to come
     if end.strip(" \n") in (";", "}", "`;"):
-        return "done", a, b, c, word
-    return ("marked" if marked else "open"), a, b, c, word
+        return "done", a, b, c, word, begin > 0
+    return ("marked" if marked else "open"), a, b, c, word, begin > 0
+
+
+UNITS = ("chars", "bytes", "tokens")
+_LIST = re.compile(r"^[ \t]*(?:[-*+•–]|\d{1,3}[.)])[ \t]+\S", re.M)
+_SCANNED = ["kind", "a", "b", "c", "word", "part", "style", "chars", "bytes", "tokens", "script", "n", "ends"]
 
 
-def _counts(texts: DataFrame) -> DataFrame:
-    """a, b, c, word, n, ends: what the corpus says about ends of texts, from every text (t, tokens).
+def _scan(rows: DataFrame) -> DataFrame:
+    """One pass over all texts (k, source, t, label, tokens): their evidence, and sums of what the corpus says about ends.
 
-    c not null: how often three shapes occur in a row, and how often they end a sentence; with a, or a and b,
-    null by the last two or one. c and a null: how often a capitalised word was seen in full. a = "ratio": in
-    how many complete texts of script b the characters per token, in fiftieths, are word. All is counted in
-    each task first, so that what is shuffled are sums.
+    kind "cut", "marked" or "open": a row with the evidence of tail(). "count": n, ends say how often three shapes a, b, c
+    occur in a row and end a sentence, with a, or a and b, null by the last two or one. "word": how often a
+    capitalised word was seen in full. "ratio": n complete texts of a script have `chars` fiftieths of a character per
+    token. "size": n complete texts of a source have `chars` as their length in the unit `word`. Sums are
+    added up in each task, so that no text is shuffled.
     """
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("k", "source")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, known, ratios, sizes = Counter(), Counter(), Counter(), Counter()
+        types: dict[str, pa.DataType] = {}
+
+        def sums() -> pa.RecordBatch:
+            by: dict[tuple, list[int]] = {}
+            for (x, y, z, end), n in counts.items():
+                for key in ((x, y, z), (None, y, z), (None, None, z)):
+                    v = by.setdefault(key, [0, 0])
+                    v[0] += n
+                    v[1] += n * end
+            # source, kind, a, b, c, word, chars, script, n, ends
+            out = [(None, "count", *key, None, None, None, *v) for key, v in by.items()]
+            out += [(None, "word", None, None, None, w, None, None, n, None) for w, n in known.items()]
+            out += [(None, "ratio", None, None, None, None, r, k, n, None) for (k, r), n in ratios.items()]
+            out += [(s, "size", None, None, None, u, v, None, n, None) for (s, u, v), n in sizes.items()]
+            for c in (counts, known, ratios, sizes):
+                c.clear()
+            col = list(zip(*out)) if out else [[]] * 10
+            none = [None] * len(out)
+            text, int_, long = pa.string(), pa.int32(), pa.int64()
+            made = [pa.array(none, types["k"]), pa.array(col[0], types["source"]), *[pa.array(x, text) for x in col[1:6]], pa.array(none, pa.bool_()), pa.array(none, text), pa.array(col[6], int_), pa.array(none, int_), pa.array(none, int_), pa.array(col[7], text), pa.array(col[8], long), pa.array(col[9], long)]
+            return pa.RecordBatch.from_arrays(made, ["k", "source", *_SCANNED])
+
         for b in batches:
-            counts, known, ratios = Counter(), Counter(), Counter()
-            for t, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            types = {c: b.schema.field(c).type for c in ("k", "source")}
+            source, label, tokens = (b.column(c).to_pylist() for c in ("source", "label", "tokens"))
+            got, keep = [], []
+            for i, t in enumerate(b.column("t").to_pylist()):
                 count_text(t, counts, known)
-                if tokens and tokens > 0 and len(t) >= LONG and t.rstrip()[-1] in TERMINATORS:
-                    ratios[script(t), str(50 * len(t) // tokens)] += 1
-            sums: dict[tuple, list[int]] = {}
-            for (x, y, z, end), n in counts.items():
-                for k in ((x, y, z), (None, y, z), (None, None, z)):
-                    s = sums.setdefault(k, [0, 0])
-                    s[0] += n
-                    s[1] += n * end
-            rows = [(*k, None, *v) for k, v in sums.items()] + [(None, None, None, w, n, 0) for w, n in known.items()] + [("ratio", k, None, r, n, 0) for (k, r), n in ratios.items()]
-            kinds = [pa.string()] * 4 + [pa.int64()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], ["a", "b", "c", "word", "n", "ends"])
+                g = tail(t)
+                if g[0] == "done":
+                    sizes.update([(source[i], "chars", len(t)), (source[i], "bytes", len(t.encode("utf-8", "replace")))])
+                    if (n := tokens[i]) and n > 0:
+                        sizes[source[i], "tokens", n] += 1
+                        if len(t) >= LONG:
+                            ratios[script(t), 50 * len(t) // n] += 1
+                elif g[0] != "bare":
+                    part = bool(label[i]) and label[i] != g[4] and label[i].startswith(g[4])
+                    got.append((*g[:5], part, "list" if _LIST.match(t, t.rstrip().rfind("\n") + 1) else "prose" if g[5] else "single", len(t), len(t.encode("utf-8", "replace")), tokens[i], script(t)))
+                    keep.append(i)
+            at = pa.array(keep, pa.int64())
+            col = list(zip(*got)) if got else [[]] * 11
+            of = [*[pa.string()] * 5, pa.bool_(), pa.string(), *[pa.int32()] * 3, pa.string()]
+            none = pa.array([None] * len(got), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("k").take(at), b.column("source").take(at), *[pa.array(x, k) for x, k in zip(col, of)], none, none], ["k", "source", *_SCANNED])
+            if len(counts) + len(sizes) > HELD:
+                yield sums()
+        if types:
+            yield sums()
 
-    made = texts.mapInArrow(run, "a string, b string, c string, word string, n bigint, ends bigint")
-    return made.groupBy("a", "b", "c", "word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    return rows.mapInArrow(run, f"k {kinds['k']}, source {kinds['source']}, kind string, a string, b string, c string, word string, part boolean, style string, chars int, bytes int, tokens int, script string, n bigint, ends bigint")
 
 
-def _least_ratio(counts: DataFrame) -> DataFrame:
+def _least_ratio(scan: DataFrame) -> DataFrame:
     """script, least: the characters per token below which only SHARE of a script's complete texts lie."""
-    rows = counts.where("a = 'ratio'").select(F.col("b").alias("script"), (F.col("word").cast("double") / 50).alias("r"), "n")
+    rows = scan.where("kind = 'ratio'").groupBy("script", "chars").agg(F.sum("n").alias("n")).select("script", (F.col("chars") / 50).alias("r"), "n")
     by = Window.partitionBy("script")
     upto = F.sum("n").over(by.orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("upto", upto).withColumn("all", F.sum("n").over(by)).where(F.col("upto") >= SHARE * F.col("all")).groupBy("script").agg(F.min("r").alias("least"))
 
 
-def _tails(rows: DataFrame) -> DataFrame:
-    """The rows (k, source, t, label, tokens) whose end is open or cut, with the evidence of tail()."""
-    kind = {c: rows.schema[c].dataType.simpleString() for c in ("k", "source")}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, labels = b.column("t").to_pylist(), b.column("label").to_pylist()
-            got = [tail(t) for t in texts]
-            keep = [i for i, g in enumerate(got) if g[0] != "done"]
-            at = pa.array(keep, pa.int64())
-            cut = [got[i] for i in keep]
-            part = [bool(labels[i]) and labels[i] != g[4] and labels[i].startswith(g[4]) for i, g in zip(keep, cut)]
-            cols = [b.column("k").take(at), b.column("source").take(at), b.column("tokens").take(at)]
-            cols += [pa.array([g[j] for g in cut], pa.string()) for j in range(5)] + [pa.array(part, pa.bool_())]
-            cols += [pa.array([len(texts[i]) for i in keep], pa.int32()), pa.array([len(texts[i].encode()) for i in keep], pa.int32()), pa.array([script(texts[i]) for i in keep], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, ["k", "source", "tokens", "kind", "a", "b", "c", "word", "part", "chars", "bytes", "script"])
-
-    return rows.mapInArrow(run, f"k {kind['k']}, source {kind['source']}, tokens int, kind string, a string, b string, c string, word string, part boolean, chars int, bytes int, script string")
-
-
-def _scored(rows: DataFrame) -> DataFrame:
-    """The tails with p, the rate at which their last words end a sentence, and n_word, how often the word was seen."""
-    counts = _counts(rows.select("t", "tokens")).checkpoint()
-    ends = rf"(?s)[{TERMINATORS}][{re.escape(_CLOSERS)}\s]*$"
-    doubtful = ~F.col("t").rlike(ends) | F.col("t").rlike(r"(?s)(?:\.\.\.|…|[\])>])\s*$")
-    made = _tails(rows.where(doubtful))
-    by = counts.where(F.col("c").isNotNull() & (F.col("n") >= SEEN)).withColumn("p", F.col("ends") / F.col("n"))
+def _scored(scan: DataFrame) -> DataFrame:
+    """The tails with p, the rate at which their last words end a sentence (LEAST_RATE for broken ones), r, the rate of all words, and why."""
+    counts = scan.where("kind = 'count'").groupBy("a", "b", "c").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    all_ = counts.where("a is null and b is null").agg((F.sum("ends") / F.sum("n")).alias("r"))
+    by = counts.where(F.col("n") >= SEEN).withColumn("p", F.col("ends") / F.col("n"))
     three = by.where("a is not null").select("a", "b", "c", F.col("p").alias("p3"))
     two = by.where("a is null and b is not null").select("b", "c", F.col("p").alias("p2"))
-    one = by.where("b is null").select("c", F.col("p").alias("p1"))
-    words = counts.where("a is null and c is null").select("word", F.col("n").alias("n_word"))
-    made = made.join(_least_ratio(counts), "script", "left")
-    short = (F.col("tokens") > 0) & (F.col("chars") >= LONG) & (F.col("chars") < F.col("tokens") * F.col("least") * MARGIN)
-    made = made.withColumn("short", F.coalesce(short, F.lit(False)))
-    out = made.join(three, ["a", "b", "c"], "left").join(two, ["b", "c"], "left").join(one, "c", "left").join(words, "word", "left")
-    return out.withColumn("p", F.coalesce("p3", "p2", "p1", F.lit(0.0)))
-
-
-def _verdict(rows: DataFrame) -> DataFrame:
-    """k of the cut rows."""
+    one = by.where("a is null and b is null").select("c", F.col("p").alias("p1"))
+    words = scan.where("kind = 'word'").groupBy("word").agg(F.sum("n").alias("n_word"))
+    tails = scan.where("kind in ('cut', 'marked', 'open')").select("k", "source", "kind", "a", "b", "c", "word", "part", "style", *UNITS, "script")
+    out = tails.join(_least_ratio(scan), "script", "left").join(three, ["a", "b", "c"], "left").join(two, ["b", "c"], "left").join(one, "c", "left").join(words, "word", "left")
+    out = out.withColumn("p", F.coalesce("p3", "p2", "p1", F.lit(0.0))).join(F.broadcast(all_))  # one row
+    short = F.coalesce((F.col("tokens") > 0) & (F.col("chars") >= LONG) & (F.col("chars") < F.col("tokens") * F.col("least") * MARGIN), F.lit(False))
     name = F.col("c") == "Name"
     # The beginning of the label says little where such an end is usual: a number of another sentence may begin like it.
-    part = F.col("part") & (name | (F.col("p") < HIGH))
-    scored = _scored(rows).select("k", "source", "kind", "p", part.alias("part"), "short", "chars", "bytes", "tokens", (name & F.col("n_word").isNull()).alias("unseen")).checkpoint()
-    sure = (F.col("kind") != "open") | (F.col("p") < LOW) | F.col("part") | F.col("unseen") | F.col("short")
-    size = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("size")) for u in ("chars", "bytes", "tokens")]))
-    # The limits of each source: one row per source and length of its surely cut texts, few of which remain.
-    each = scored.where(sure).select("source", size.alias("v")).where("v.size > 0").groupBy("source", "v.unit", "v.size").agg(F.count("*").alias("n"))
-    each = each.withColumn("all", F.sum("n").over(Window.partitionBy("source", "unit")))
-    limits = each.where((F.col("n") >= LIMIT_ROWS) & (F.col("n") >= LIMIT_SHARE * F.col("all")))
-    limits = limits.groupBy(F.col("source").alias("of")).agg(F.collect_set(F.struct("unit", "size")).alias("limits"))
-    near = scored.where(~sure).join(limits, F.col("source").eqNullSafe(F.col("of")))
-    at = lambda u: F.array_contains(F.col("limits"), F.struct(F.lit(u).alias("unit"), F.col(u).alias("size")))
-    stopped = near.where(at("chars") | at("bytes") | (at("tokens") & (F.col("p") < HIGH)))
-    return scored.where(sure).select("k").unionByName(stopped.select("k"))
+    broken = F.col("part") & (name | (F.col("p") < USUAL)) | name & F.col("n_word").isNull()
+    why = F.when(F.col("kind") != "open", "structure").when(broken, "word").when(short, "length").otherwise("terminator")
+    p = F.when(broken | short, LEAST_RATE).otherwise(F.greatest("p", F.lit(LEAST_RATE)))
+    return out.select("k", "source", "style", "kind", p.alias("p"), F.greatest(F.coalesce("r", F.lit(0.0)), F.lit(LEAST_RATE)).alias("r"), why.alias("why"), *UNITS)
+
+
+def _odds(scored: DataFrame) -> DataFrame:
+    """source, style, odds: those of a cut for an unterminated text of the source, before its own words are heard.
+
+    The share x that makes the source's ratios likeliest: the sum of ln(x r / p + 1 - x). One row per source and
+    logarithmic bin of p is left of the texts before any share is tried; a source of few texts borrows from all.
+    """
+    bins = scored.where("kind = 'open'").groupBy("source", "style", F.round(8 * F.log("p")).alias("bin")).agg(F.count("*").alias("n"), F.first("r").alias("r"))
+    each = bins.withColumn("x", F.explode(F.array(*[F.lit(x) for x in SHARES])))
+    term = F.col("n") * F.log(F.col("x") * F.col("r") / F.exp(F.col("bin") / 8) + 1 - F.col("x"))
+    own = each.groupBy("source", "style", "x").agg(F.sum(term).alias("own"), F.sum("n").alias("n"))
+    everywhere = own.groupBy("style", "x").agg((BORROWED * F.sum("own") / F.sum("n")).alias("borrowed"))
+    fit = own.join(everywhere, ["style", "x"]).withColumn("fit", F.col("own") + F.col("borrowed"))
+    return fit.groupBy("source", "style").agg(F.max_by("x", F.struct("fit", -F.col("x"))).alias("x")).select("source", "style", (F.col("x") / (1 - F.col("x"))).alias("odds"), "x")
+
+
+def _limits(sure: DataFrame, scan: DataFrame) -> DataFrame:
+    """source, unit, size, gain: the lengths at which a source's cut texts pile up, and by how much they raise the odds.
+
+    n being the number of the source's surely cut texts of that length, less two standard errors, gain is the lesser
+    of two ratios: their share over the share of that length among its complete texts, and n over the mean of
+    the lengths around it, as a limit is a single length.
+    """
+    size = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("size")) for u in UNITS]))
+    cut = sure.select("source", size.alias("v")).where("v.size > 0").groupBy("source", "v.unit", "v.size").agg(F.count("*").alias("n"))
+    full = scan.where("kind = 'size'").groupBy("source", F.col("word").alias("unit"), F.col("chars").alias("size")).agg(F.sum("n").alias("m"))
+    both = cut.select("source", "unit", "size", "n", F.lit(0).cast("bigint").alias("m")).unionByName(full.select("source", "unit", "size", F.lit(0).cast("bigint").alias("n"), "m"))
+    both = both.groupBy("source", "unit", "size").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    of = Window.partitionBy("source", "unit")
+    both = both.withColumn("n_all", F.sum("n").over(of)).withColumn("m_all", F.sum("m").over(of))
+    around = Window.partitionBy("source", "unit").orderBy("size").rangeBetween(-NEAR, NEAR)
+    both = both.withColumn("near", (F.sum("n").over(around) - F.col("n")) / (2 * NEAR))
+    many = F.greatest(F.col("n") - 2 * F.sqrt("n"), F.lit(0.0))
+    gain = F.least(many / F.col("n_all") * (F.col("m_all") + 1) / (F.col("m") + 1), many / (F.col("near") + 1))
+    return both.where("n > 4").withColumn("gain", gain).where("gain > 1").select("source", "unit", "size", "gain")
+
+
+def _judged(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The unterminated and broken texts (k, source, kind, why, odds) with the final odds of a cut, the odds of the sources, and the scan."""
+    # Written once: everything below reads these rows, which hold no texts.
+    scan = _scan(rows).checkpoint()
+    scored = _scored(scan).checkpoint()
+    prior = _odds(scored)
+    here = scored.alias("s").join(prior.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")) & (F.col("s.style") == F.col("p.style")), "left").select("s.*", F.coalesce("p.odds", F.lit(1.0)).alias("prior"))
+    words = F.col("prior") * F.col("r") / F.col("p")
+    structure = F.col("kind") != "open"
+    sure = here.where(structure | (words >= SURE))
+    out = here.withColumn("words", words)
+    gains = _limits(sure, scan).select(F.col("source").alias("of"), "unit", "size", "gain")
+    gained = [F.lit(1.0)]
+    for u in UNITS:
+        g = gains.where(F.col("unit") == u).select("of", F.col("size").alias(f"{u}_at"), F.col("gain").alias(f"{u}_gain"))
+        out = out.join(g, F.col("source").eqNullSafe(F.col("of")) & (F.col(u) == F.col(f"{u}_at")), "left").drop("of", f"{u}_at")
+        gained.append(F.coalesce(f"{u}_gain", F.lit(1.0)))
+    odds = F.when(structure, F.lit(float("inf"))).otherwise(F.col("words") * F.greatest(*gained))
+    why = F.when((F.col("why") == "terminator") & (F.col("words") < 1), "limit").otherwise(F.col("why"))
+    return out.select("k", "source", "kind", why.alias("why"), odds.alias("odds")), prior, scan
+
+
+def _texts(df: DataFrame, ident: str, text: str, source: str, label: str, tokens: str) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    t = F.col(text).cast("string")
+    rows = df.where(t.isNotNull() & t.rlike(r"\S")).select(F.col(ident).alias("k"), F.col(source).alias("source"), t.alias("t"), F.col(label).cast("string").alias("label"), F.col(tokens).cast("int").alias("tokens"))
+    return spread(rows)
 
 
 def truncated(df: DataFrame, ident: str, text: str, source: str, label: str, tokens: str) -> DataFrame:
@@ -268,13 +379,28 @@ def truncated(df: DataFrame, ident: str, text: str, source: str, label: str, tok
     the model's own count, for limits in tokens. Repeated rows come out as often as they come in. Other
     columns are dropped.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    t = F.col(text).cast("string")
-    rows = df.where(t.isNotNull() & t.rlike(r"\S")).select(F.col(ident).alias("k"), F.col(source).alias("source"), t.alias("t"), F.col(label).cast("string").alias("label"), F.col(tokens).cast("int").alias("tokens"))
-    return _verdict(spread(rows)).select(F.col("k").alias(ident))
+    found, _, _ = _judged(_texts(df, ident, text, source, label, tokens))
+    return found.where("odds >= 1").select(F.col("k").alias(ident))
 
 
-def by_source(df: DataFrame, cut: DataFrame, ident: str, source: str) -> DataFrame:
-    """source, rows, cut, share: how often each source truncates."""
-    flags = df.select(ident, source).join(cut.select(ident).distinct().withColumn("hit", F.lit(1)), ident, "left")
-    return flags.groupBy(source).agg(F.count("*").alias("rows"), F.count("hit").alias("cut")).withColumn("share", F.col("cut") / F.col("rows"))
+def by_source(df: DataFrame, ident: str, text: str, source: str, label: str, tokens: str) -> DataFrame:
+    """How often each source truncates: source, rows, cut, share, baseline, and the cut rows by their evidence.
+
+    baseline is the share of a source's complete texts (prose; bare values left out) that have no terminator.
+    by_structure: something open, half an escape or character, a mark or a dangling comma; by_terminator: words
+    that hardly end a text of that source; by_limit: they might, but a limit of the source was reached;
+    by_word: a word broken off; by_length: too short for the model's tokens. Null texts count as rows.
+    """
+    found, prior, scan = _judged(_texts(df, ident, text, source, label, tokens))
+    kinds = ["structure", "terminator", "limit", "word", "length"]
+    n = lambda c: F.count(F.when(c, True))
+    cut = F.col("odds") >= 1
+    open_ = found.groupBy("source").agg(n(cut).alias("cut"), n(~cut).alias("left"), *[n(cut & (F.col("why") == k)).alias(f"by_{k}") for k in kinds])
+    full = scan.where("kind = 'size' and word = 'chars'").groupBy("source").agg(F.sum("n").alias("full"))
+    rows = df.groupBy(F.col(source).alias("of")).agg(F.count("*").alias("rows"))
+    same = lambda o: F.col("of").eqNullSafe(o["source"])
+    out = rows.join(open_, same(open_), "left").drop("source").join(full, same(full), "left").drop("source")
+    left, done = F.coalesce("left", F.lit(0)), F.coalesce("full", F.lit(0))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ["cut", *[f"by_{k}" for k in kinds]]]
+    baseline = F.when(left + done > 0, left / (left + done))
+    return out.select(F.col("of").alias(source), "rows", *counts, (F.coalesce("cut", F.lit(0)) / F.col("rows")).alias("share"), baseline.alias("baseline"))
