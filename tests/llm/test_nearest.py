@@ -43,6 +43,31 @@ def test_many_equal_vectors():
     assert p[0].tolist() == list(range(10)) and p[1].tolist() == list(range(200, 210))
 
 
+@pytest.mark.parametrize("kind", ["signs", "integers", "units"])
+def test_ties_are_exact_at_factor_one(kind):
+    """Many different vectors of equal product: the tie goes by position, row by row."""
+    rng = np.random.default_rng(5)
+    n, dim = 4000, 16
+    x = {"signs": rng.choice([-1.0, 1.0], (n, dim)), "integers": rng.integers(-3, 4, (n, dim)), "units": np.eye(dim)[rng.integers(0, dim, n)]}[kind].astype(np.float32)
+    q = np.concatenate([np.eye(dim)[rng.integers(0, dim, 40)], rng.choice([-1.0, 1.0], (40, dim))]).astype(np.float32)
+    pos = rng.permutation(n)
+    x[~x.any(1)] = 1
+    p, s = nearest.search(q, pos, x, 10, factor=1.0)
+    exact = q.astype(float) @ x.astype(float).T
+    for i in range(len(q)):
+        want = np.lexsort((pos, -exact[i]))[:10]
+        assert p[i].tolist() == pos[want].tolist() and s[i].tolist() == exact[i][want].tolist()
+
+
+def test_a_floor_leaves_out_what_is_below():
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(3000, DIM)).astype(np.float32), rng.normal(size=(20, DIM)).astype(np.float32)
+    p, s = nearest.search(q, np.arange(3000), x, 10, factor=1.0)
+    some, t = nearest.search(q, np.arange(3000), x, 10, factor=1.0, floor=s[:, 4])
+    assert (some[:, :5] == p[:, :5]).all() and (some[:, 5:] == -1).all()
+    assert (nearest.search(q, np.arange(3000), x, 10, factor=1.0, floor=s[:, 0] + 1)[0] == -1).all()
+
+
 def test_bounds_never_exceed_distances():
     rng = np.random.default_rng(1)
     y, z = rng.normal(size=(700, 4)).astype(np.float32), rng.normal(size=(30, 4)).astype(np.float32)
