@@ -54,6 +54,33 @@ def test_exact_complements():
         assert packing.assign(np.array(sizes * 3), 10).max() == 2
 
 
+def test_every_triple_is_found():
+    """The largest member is the smallest of many that fit."""
+    counts = np.zeros(1001, np.int64)
+    counts[[205, 203, 101]] = 1
+    counts[300:480] = 5
+    counts[[304, 306, 408]] = 0  # none of the others makes 509 with one or two more
+    s = packing.Sums(counts)
+    assert s.single(509) is None and s.pair(509) is None and sorted(s.triple(509)) == [101, 203, 205]
+    rng = random.Random(1)
+    for _ in range(200):
+        c = np.bincount([rng.randint(1, 40) for _ in range(8)], minlength=81)
+        s, sizes = packing.Sums(c), [k for k in range(1, 81) for _ in range(c[k])]
+        for gap in range(1, 81):
+            for n, find in ((2, s.pair), (3, s.triple)):
+                there = any(sum(x) == gap for x in itertools.combinations(sizes, n))
+                got = find(gap)
+                assert (got is not None) == there and (not got or sum(got) == gap and not Counter(got) - Counter(sizes))
+
+
+def test_the_packing_follows_from_the_rows(spark):
+    rows = [(k % 300, random.Random(k).randint(0, 40)) for k in range(900)] + [(5, 33)] * 400
+    tiers = spark.createDataFrame([("s", 16)], "tier string, capacity_tokens int")
+    df = spark.createDataFrame(rows, "id bigint, size int")
+    made = [sorted(map(tuple, packing.pack(d, "id", "size", tiers, group_rows=200).collect())) for d in (df.repartition(3), df.orderBy("size").coalesce(1))]
+    assert made[0] == made[1] and len({(r[1], r[2], r[3]) for r in made[0] if r[1][0] == "f"}) == sum(r[1][0] == "f" for r in made[0])
+
+
 def test_rows(spark):
     rows = [(k, random.Random(k).choice([0, 3, 5, 8, 21, 40, 7]), "x", 0) for k in range(500)] + [(900, None, "x", 0), (901, -4, "x", 0), (None, 5, "x", 0), (7, 8, "x", 0), (7, 8, "x", 0)]
     df = spark.createDataFrame(rows, "id bigint, size int, container string, g int")

@@ -58,6 +58,58 @@ def test_append_and_edit():
             break
 
 
+def test_an_edit_stops_where_the_tokens_agree():
+    v = tokens._vocabulary(PATH)
+    random.seed(4)
+    data = " ".join(random.choice(["key", "vector", "naïve", "鍵", "12", "softmax"]) for _ in range(6000)).encode()
+    table = tokens.PrefixTable(v).append(data)
+    for at in (10, 15_000, len(data) - 40):
+        while data[at] & 0xC0 == 0x80:
+            at += 1
+        data = data[:at] + b"abc" + data[at:]
+        table.replace(at, at, b"abc")
+        assert table.data == data and table.last == tokens.PrefixTable(v).append(data).last
+        assert table.encoded <= 3 + 3 * v.longest
+
+
+WORDS = st.sampled_from(["it", "'s", "'", "ve", "'ve", " ", "  ", "\n", "naïve", "鍵", "12", "...", "don't", "a" * 90, "é", "\t", "!?"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(WORDS, max_size=40), st.lists(WORDS, max_size=4), st.integers(0, 400), st.integers(0, 60))
+def test_encoding_again_near_an_edit(before, by, at, cut):
+    old = "".join(before)
+    at = min(at, len(old))
+    new = old[:at] + "".join(by) + old[at + cut :]
+    got, _ = tokens.reencode(old, ids(old), new, PATH)
+    assert got == ids(new)
+
+
+def test_only_pieces_near_an_edit_are_encoded():
+    old = "The mill lies above the river. " * 2000
+    for at in (0, 31_000, len(old) - 5):
+        new = old[:at] + "naïve " + old[at + 4 :]
+        got, n = tokens.reencode(old, ids(old), new, PATH)
+        assert got == ids(new) and n < 12
+    assert tokens.reencode(old, ids(old), old, PATH) == (ids(old), 0)
+
+
+def test_edited_rows(spark):
+    rows = [(1, "a cafe here", "a café here"), (2, "x", None), (3, None, "new"), (4, "", "now"), (5, "same", "same"), (5, "same", "same"), (6, "gone", "")]
+    df = spark.createDataFrame([(k, o, None if o is None else ids(o), n, 7) for k, o, n in rows], "doc_id bigint, old string, ids array<int>, new string, k int")
+    got = sorted((r.doc_id, r.ids) for r in tokens.edited_ids(df, "doc_id", "old", "ids", "new").collect())
+    assert got == sorted((k, ids(n) if n else []) for k, _, n in rows)
+    assert tokens.edited_ids(df.where("false"), "doc_id", "old", "ids", "new").count() == 0
+
+
+def test_restored_documents(spark, data):
+    from vecloom.llm import queries
+
+    fixed = {r.doc_id: r.restored for r in queries.p8_restored(spark, data).collect() if r.restored is not None}
+    got = {r.doc_id: r.ids for r in queries.p6_restored(spark, data).collect()}
+    assert got == {k: ids(t) for k, t in fixed.items()}
+
+
 def test_rows(spark):
     rows = [(1, None, "x", 1), (2, "", "x", 1), (3, "Hello world", "x", 1), (3, "Hello world", "x", 1), (None, "a", "x", 1), (5, "   ", "x", 1)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string, size int")

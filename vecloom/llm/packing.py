@@ -1,10 +1,11 @@
 """Problem 7: items into containers of fixed capacity, by exact-complement hashing and best fit.
 
 The items are spread by a hash over packing groups of bounded size; each group is packed by itself, from
-the counts of its sizes. A container is begun with the largest sizes at hand. As soon as one, two or three
-items can close its gap exactly, sizes whose single, pair or triple sum is the gap are looked up under the
-counts still available, and the combination is used for as many containers as the counts allow. Gaps
-without an exact complement take the largest item that fits, again and again (best fit).
+the counts of its sizes. Singles are indexed by their size, pairs by their sum, and triples as a single and the index
+of pairs at what is left. A container is begun with the largest sizes at hand. As soon as one, two or three
+items can close its gap exactly, the index is asked for sizes of that sum under the counts still available, and the
+combination is used for as many containers as the counts allow. Gaps without an exact complement take the
+largest item that fits, again and again (best fit).
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ from vecloom.sources import ensure_checkpoint_dir
 
 #: Rows that one packing group holds on average. It bounds a task's memory; a group wastes at most about one container.
 GROUP_ROWS = 40_000
+#: Copies of a row that are numbered at a time.
+PORTION = 100_000
 
 
 class Sums:
     """Sizes that are available, and lookups of one, two or three of them by their sum.
 
-    count is addressed by the size itself: whether a sum's complement is there is one array access, and the
-    complements of all sizes are one vectorised access.
+    count is addressed by the size itself. summed[g] tells whether two sizes may add up to g; counts only fall, so a sum
+    that is found to be used up is struck out once and for all, and nothing else is ever entered.
     """
 
     def __init__(self, counts: np.ndarray):
@@ -32,6 +35,10 @@ class Sums:
         self.count[0] = 0  # size 0 isn't packed
         self.left = int(self.count.sum())
         self.sizes = np.flatnonzero(self.count)  # rising; may hold sizes that have just run out
+        self.summed = np.zeros(len(counts), bool)
+        for a in self.sizes.tolist():
+            fits = self.sizes[: int(np.searchsorted(self.sizes, len(counts) - a))]
+            self.summed[a + fits] = True
 
     def hold(self, s: int, n: int = 1) -> None:
         self.count[s] -= n
@@ -52,24 +59,32 @@ class Sums:
 
     def pair(self, gap: int) -> list[int] | None:
         """The pair of sum gap with the largest member."""
+        if gap >= len(self.summed) or not self.summed[gap]:
+            return None
+        found = self._pair(gap)
+        self.summed[gap] = found is not None
+        return found
+
+    def _pair(self, gap: int) -> list[int] | None:
         k = int(np.searchsorted(self.sizes, gap))
         a = self.sizes[int(np.searchsorted(self.sizes, -(-gap // 2))) : k]
         hit = a[(self.count[a] > 0) & (self.count[gap - a] > (2 * a == gap))]
         return [int(hit[-1]), int(gap - hit[-1])] if len(hit) else None
 
-    def triple(self, gap: int, tries: int) -> list[int] | None:
-        """A triple of sum gap whose largest member is among the tries largest that fit."""
+    def triple(self, gap: int) -> list[int] | None:
+        """The triple of sum gap with the largest member."""
         a = self.sizes[int(np.searchsorted(self.sizes, -(-gap // 3))) : int(np.searchsorted(self.sizes, gap))]
-        for s in a[self.count[a] > 0][::-1][:tries].tolist():
+        for s in a[(self.count[a] > 0) & self.summed[gap - a]][::-1].tolist():
             self.count[s] -= 1
-            rest = self.pair(gap - s)
+            rest = self._pair(gap - s)
             self.count[s] += 1
             if rest:
                 return [s, *rest]
+            self.pair(gap - s)  # strikes the sum out, unless it only lacked the s that was held
         return None
 
 
-def plan(counts: np.ndarray, capacity: int, tries: int = 24) -> list[tuple[list[int], int]]:
+def plan(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
     """Patterns (sizes of a container, number of such containers) that use up the counts by size 1..capacity."""
     s, out = Sums(counts), []
     while s.left:
@@ -78,7 +93,7 @@ def plan(counts: np.ndarray, capacity: int, tries: int = 24) -> list[tuple[list[
         while gap and s.left:
             close = None
             if gap <= 3 * int(s.sizes[-1]):
-                close = s.single(gap) or s.pair(gap) or s.triple(gap, tries)
+                close = s.single(gap) or s.pair(gap) or s.triple(gap)
             for x in close or [s.best_fit(gap)]:
                 if x:
                     s.hold(x)
@@ -119,29 +134,35 @@ def pack(df: DataFrame, ident: str, size: str, tiers: DataFrame, group_rows: int
     full pieces of that size, each a container, and a remainder that is packed like an item; pieces count
     from 0. A null or negative size counts as 0; items of size 0 are put where there is a container.
     A tier whose capacity is null or below 1 is left out. Repeated rows are items of their own. Container
-    names are unique within a tier. An empty table gives an empty result.
+    names are unique within a tier, and with the packing they follow from the rows alone, however these are
+    partitioned. An empty table gives an empty result.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    # Written once: the row numbers that spread the items must be the same in every use and after a lost executor.
-    items = df.select(F.col(ident).alias("k"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("s")).checkpoint()
+    # Equal rows are counted and numbered again, in portions, so that neither a hot identifier nor its number of copies is in one task.
+    counted = df.select(F.col(ident).alias("k"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("s")).groupBy("k", "s").agg(F.count("*").alias("n"))
+    portion = F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {PORTION}")))
+    counted = counted.withColumn("portion", portion)
+    last = F.least(F.col("n"), (F.col("portion") + 1) * PORTION) - 1
+    items = counted.select("k", "s", F.explode(F.sequence(F.col("portion") * PORTION, last)).alias("copy")).checkpoint()
     groups = max(1, -(-items.count() // group_rows))
-    items = items.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
+    items = items.withColumn("g", F.pmod(F.xxhash64("k", "s", "copy"), F.lit(groups)).cast("int"))
     caps = [(r[0], int(r[1])) for r in tiers.where(F.col("capacity_tokens") >= 1).select("tier", "capacity_tokens").distinct().collect()]
     cap = F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(c).alias("c")) for t, c in caps]))
     if not caps:
         return df.sparkSession.createDataFrame([], f"tier string, container string, {ident} {df.schema[ident].dataType.simpleString()}, piece int, size int")
-    each = items.select("k", "s", "g", cap.alias("v")).select("k", "s", "g", "v.tier", "v.c")
+    each = items.select("k", "s", "copy", "g", cap.alias("v")).select("k", "s", "copy", "g", "v.tier", "v.c")
     full = F.expr("s div c").cast("int")
     cut = each.withColumn("full", F.when(F.col("s") > F.col("c"), full).otherwise(F.lit(0))).withColumn("rest", (F.col("s") - F.col("full") * F.col("c")).cast("int"))
     # Full pieces are containers already. Their names come from the row, so nothing is shuffled for them.
-    row = F.monotonically_increasing_id()
+    name = F.concat_ws("-", F.lit("f"), "copy", "s", "piece", F.coalesce(F.concat(F.lit("="), F.col("k").cast("string")), F.lit("")))
     whole = (
-        cut.where("full > 0").withColumn("row", row).select("k", "tier", "c", "row", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece"))
-        .select("tier", F.concat_ws("-", F.lit("f"), "row", "piece").alias("container"), "k", "piece", F.col("c").cast("int").alias("size"))
+        cut.where("full > 0").select("k", "s", "copy", "tier", "c", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece"))
+        .select("tier", name.alias("container"), "k", "piece", F.col("c").cast("int").alias("size"))
     )
-    rest = cut.where("full = 0 or rest > 0").select("tier", "c", "g", "k", F.col("full").alias("piece"), F.col("rest").alias("size"))
+    rest = cut.where("full = 0 or rest > 0").select("tier", "c", "g", "k", "copy", F.col("full").alias("piece"), F.col("rest").alias("size"))
 
     def one(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["k", "copy", "piece"], ignore_index=True)
         box = pd.Series(assign(p["size"].to_numpy(), int(key[1])), p.index).astype(str)
         return p.assign(container=f"g{key[2]}-" + box)[["tier", "container", "k", "piece", "size"]]
 

@@ -66,6 +66,15 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p6_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of the garbled documents as restored, encoded again only near what was restored."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    fixed = p8_restored(spark, d).where(F.col("restored").isNotNull()).select("doc_id", "restored")
+    both = docs.join(fixed, "doc_id").checkpoint()
+    known = tokens.token_ids(both, "doc_id", "text")
+    return tokens.edited_ids(both.join(known, "doc_id"), "doc_id", "text", "ids", "restored")
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """Every document, or piece of one that exceeds the capacity, with its container in each tier."""
     sizes = tokens.token_sizes(table(spark, d, "documents"), "doc_id", "text")
@@ -86,4 +95,4 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_report, p5_percentiles, p5_sketch, p6_ids, p7_containers, p7_report, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_report, p5_percentiles, p5_sketch, p6_ids, p6_restored, p7_containers, p7_report, p8_found, p8_restored)}

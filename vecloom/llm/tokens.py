@@ -3,7 +3,8 @@
 A sequence of tokens is the BPE encoding of its bytes exactly if every two neighbours are the encoding of
 their own bytes. So every prefix of a piece has one last token that can follow the last token of what
 precedes it. That token is stored for each prefix: the ids are read off backwards, an append goes on where
-the table ends, and an edit needs the table only from the edited byte on.
+the table ends, and an edit needs the table only from the edited byte to where it agrees with the former one again.
+Of a text with known ids only the pieces round an edit are encoded again.
 """
 
 from __future__ import annotations
@@ -84,25 +85,45 @@ class PrefixTable:
         self.v, self.data, self.last = vocabulary, bytearray(), []
 
     def append(self, more: bytes) -> PrefixTable:
-        v, ranks, last = self.v, self.v.ranks, self.last
         begin = len(self.data)
         self.data += more
-        data = bytes(self.data)
-        for end in range(begin + 1, len(data) + 1):
-            for start in range(max(0, end - v.longest), end):
-                token = ranks.get(data[start:end])
-                if token is not None and (start == 0 or v.follows(last[start - 1], token)):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("a byte is missing in the vocabulary")
+        low = max(0, begin - self.v.longest)
+        window = bytes(self.data[low:])
+        for end in range(begin + 1, len(self.data) + 1):
+            self.last.append(self._token(window, low, end))
         return self
 
+    def _token(self, window: bytes, low: int, end: int) -> int:
+        """The last token of the prefix of length end; window are the bytes from low on."""
+        v, ranks, last = self.v, self.v.ranks, self.last
+        for start in range(max(0, end - v.longest), end):
+            token = ranks.get(window[start - low : end - low])
+            if token is not None and (start == 0 or v.follows(last[start - 1], token)):
+                return token
+        raise ValueError("a byte is missing in the vocabulary")
+
     def replace(self, at: int, until: int, by: bytes) -> PrefixTable:
-        """Replace data[at:until]. What precedes it stays as it is; the rest is encoded again."""
-        rest = bytes(self.data[until:])
+        """Replace data[at:until]. What precedes it stays as it is; what follows is encoded until it agrees again.
+
+        A last token depends on those of the prefixes that are shorter by at most the longest token. So if as many
+        in a row, all behind the edit, are what they were, so are all that follow.
+        """
+        former, rest = self.last[until:], bytes(self.data[until:])
         del self.data[at:], self.last[at:]
-        return self.append(by + rest)
+        self.append(by)
+        begin, agree = len(self.data), 0
+        low = max(0, begin - self.v.longest)
+        self.data += rest
+        window = bytes(self.data[low:])
+        for i in range(len(rest)):
+            token = self._token(window, low, begin + i + 1)
+            self.last.append(token)
+            agree = agree + 1 if token == former[i] else 0
+            if agree >= self.v.longest:
+                self.last += former[i + 1 :]
+                break
+        self.encoded = len(by) + (i + 1 if rest else 0)  # bytes whose last token was looked for
+        return self
 
     def ids(self) -> list[int]:
         out, end = [], len(self.last)
@@ -122,6 +143,11 @@ def _split(pattern: str):
     return regex.compile(pattern).findall
 
 
+@functools.lru_cache(2)
+def _matches(pattern: str):
+    return regex.compile(pattern).finditer
+
+
 def encode_texts(texts: list[str | None], path: str, pattern: str = PATTERN) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and ids of texts."""
     piece, split = _vocabulary(path).piece, _split(pattern)
@@ -137,6 +163,67 @@ def encode_texts(texts: list[str | None], path: str, pattern: str = PATTERN) ->
     return np.array(ends, np.int32), np.array(flat, np.int32)
 
 
+def reencode(old: str, ids: list[int], new: str, path: str, pattern: str = PATTERN) -> tuple[list[int], int]:
+    """The ids of new, of which old with its ids is a former state, and how many of its pieces were encoded.
+
+    The ids of the pieces before and behind the edited span are taken over. How a text is split from a boundary on
+    depends on what follows only, so it is split again from a little before the edit until a boundary behind it meets
+    one of the former text.
+    """
+    v, split = _vocabulary(path), _split(pattern)
+    most = min(len(old), len(new))
+    a = next((k for k in range(0, most, 4096) if old[k : k + 4096] != new[k : k + 4096]), most)
+    a = min(a, most)
+    while a < most and old[a] == new[a]:
+        a += 1
+    z = 0
+    while z < most - a and old[len(old) - 1 - z] == new[len(new) - 1 - z]:
+        z += 1
+    if a == len(old) == len(new):
+        return list(ids), 0
+    # Boundaries of the former pieces, in characters and in tokens.
+    ends, at_token = [0], [0]
+    done, n, token = 0, 0, 0
+    for p in split(old):
+        n += len(p.encode("utf-8", "replace"))
+        while done < n:
+            done += len(v.bytes_of[ids[token]])
+            token += 1
+        ends.append(ends[-1] + len(p))
+        at_token.append(token)
+    # Three pieces before the edit: where one ends may depend on a few characters behind it.
+    k = max(0, int(np.searchsorted(ends, a)) - 3)
+    out = list(ids[: at_token[k]])
+    former = {e + len(new) - len(old): t for e, t in zip(ends, at_token)}
+    at, count = ends[k], 0
+    for m in _matches(pattern)(new, at):
+        if at >= len(new) - z and at in former:
+            break
+        out += v.piece(m[0])
+        count += 1
+        at = m.end()
+    return out + list(ids[former[at] :]) if at < len(new) else out, count
+
+
+def edited_ids(df: DataFrame, ident: str, old: str, ids: str, new: str, folder: str = FOLDER, name: str = "byte_bpe_50k", pattern: str = PATTERN) -> DataFrame:
+    """ident and ids: the ids of the text new of each row, of which old has the given ids; only near edits is it encoded.
+
+    A null new text has the empty list, as in token_ids; where old or ids is null new is encoded whole. Repeated rows
+    come out as often as they come in; other columns are dropped.
+    """
+    path = f"{folder}/{name}.tiktoken"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for o, i, n in zip(*(b.column(c).to_pylist() for c in (1, 2, 3))):
+                made.append(reencode(o, i, n, path, pattern)[0] if n and o and i else encode_texts([n], path, pattern)[1].tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int32()))], ["k", "ids"])
+
+    rows = df.select(F.col(ident).alias("k"), F.col(old).cast("string").alias("o"), F.col(ids).cast("array<int>").alias("i"), F.col(new).cast("string").alias("n"))
+    return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, ids array<int>").withColumnRenamed("k", ident)
+
+
 def token_ids(df: DataFrame, ident: str, text: str, folder: str = FOLDER, name: str = "byte_bpe_50k", pattern: str = PATTERN) -> DataFrame:
     """ident and ids (array<int>): every row of df with the ids of its text, without special tokens.
 
