@@ -107,3 +107,34 @@ def test_two_byte_passages():
         if wrong.encode(read) == t.encode():
             assert G.restore_sequences(f"x {wrong} y") == (f"x {t} y", 1), (read, t)
     assert G.restore_sequences("the caf" + "é".encode().decode("gbk") + " is")[0] == "the café is"
+
+
+SAMPLES = {
+    "hebrew": "שלום עולם, זהו מסמך", "arabic": "مرحبا بالعالم هذا نص", "thai": "สวัสดีชาวโลก นี่คือ", "hindi": "नमस्ते दुनिया यह", "greek": "Καλημέρα κόσμε", "russian": "Привет мир, это текст", "french": "un café très fermé à Évry",
+    "polish": "Zażółć gęślą jaźń", "japanese": "これは日本語の文章です", "chinese": "这是一个中文句子", "korean": "안녕하세요 세계", "emoji": "good 👍 work 🎉 now",
+}
+#: What is found but not wholly restored, as another reading of a sequence comes first, and what is not found.
+PARTLY = {("polish", "cp1252"), ("polish", "cp1250"), ("polish", "cp1251"), ("hindi", "iso8859-2"), ("french", "iso8859-2"), ("french", "iso8859-15"), ("polish", "cp1257"), ("arabic", "cp866"), ("hebrew", "cp855"), ("french", "cp855"), ("polish", "cp855"), ("hindi", "iso8859-5")}
+MISSED = {("emoji", "cp866")}
+
+
+def test_every_script_in_every_encoding():
+    for e in G.READ_AS:
+        t = G._table(e)
+        for name, good in SAMPLES.items():
+            fixed, n = G.restore_sequences("".join(t[b] for b in good.encode()))
+            assert n or (name, e) in MISSED, (name, e)
+            assert fixed == good or (name, e) in PARTLY | MISSED, (name, e, fixed)
+    for good in SAMPLES.values():
+        assert G.restore_sequences(good) == (good, 0) and G.restore_sequences(good.upper()) == (good.upper(), 0)
+
+
+def test_quoted_phrases_and_many_misreadings():
+    for t in ('He wrote "cafÃ© crÃ¨me" in the report.', '"das cafÃ© am Platz" stand dort', "It reads «cafÃ©» there."):
+        assert G.restore_sequences(t) == (t, 0)
+    assert G.restore_sequences('The cafÃ© is "trÃ¨s bon" here.')[0] == 'The café is "très bon" here.'
+    assert G.restore_sequences('"das cafÃ© am Platz"')[0] == '"das café am Platz"'  # nothing quotes it
+    t = "café"
+    for _ in range(6):
+        t = t.encode().decode("latin-1")
+    assert G.restore_sequences(t)[0] == "café"

@@ -12,7 +12,8 @@ Three kinds of evidence, all for spans of a text, never for the text as a whole:
    Where a garbled form is frequent itself, its source and the other words of the text are heard as well.
 3. Marks of a failed decoding (U+FFFD), and letters that can't stand inside a word of their script.
 
-A span that a text only quotes - it stands alone between quotation marks - is no case.
+A span that a text only quotes is no case: it stands alone between quotation marks, or in a short quotation while
+nothing outside of quotations is garbled.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from vecloom.sources import ensure_checkpoint_dir, spread
 
 # Names of encodings.
 #: UTF-8 bytes were read in one of these.
-READ_AS = ["cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8-r", "iso8859-2", "iso8859-15"]
+READ_AS = ["cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8-r", "iso8859-2", "iso8859-15", "cp1257", "cp866", "cp855", "cp852", "iso8859-5", "iso8859-7"]
 #: Text of the first encoding was read in one of the others.
 ONE_BYTE = {
     "cp1252": ["cp437", "cp850", "mac_roman", "cp1251", "cp1250", "koi8-r", "iso8859-2"],
@@ -151,6 +152,8 @@ def sequences(text: str) -> list[tuple[int, int, str]]:
                 continue
         i, j = _run(best, k)
         whole = text[best[i][0] : best[j][1]]
+        if whole.isalpha() and whole.isupper() and "\u0370" <= whole[0] < "\u0530" and not _ascii_letter(text, best[i][0] - 1) and not _ascii_letter(text, best[j][1]):
+            continue  # a word in capitals
         if e - s == 2 and ord(ch) >= 0x180 and whole.isalpha() and (whole[1:].islower() or _rare(ch) and first.islower()):
             continue  # letters of a word, as in one-byte text that was read in another one-byte encoding
         if e - s == 2 and _rare(ch) and first.islower() and s not in sure:
@@ -159,7 +162,30 @@ def sequences(text: str) -> list[tuple[int, int, str]]:
             continue  # a drawing
         if not _quoted(text, best[i][0], best[j][1]):
             out.append((s, e, ch))
-    return out
+    return [] if out and _all_quoted(text, out) else out
+
+
+def _ascii_letter(text: str, at: int) -> bool:
+    return 0 <= at < len(text) and text[at].isascii() and text[at].isalpha()
+
+
+#: Words of a quotation that a text may quote for its garbled letters.
+QUOTED_WORDS = 6
+_QUOTATION = re.compile(r"(?<!\w)(?:\"[^\"\n]+\"|“[^“”\n]+”|«[^«»\n]+»|„[^„“”\n]+[“”]|‘[^‘’\n]+’|'[^'\n]+')(?!\w)")
+
+
+def _all_quoted(text: str, found: list[tuple[int, int, str]]) -> bool:
+    """Whether every match lies within a short quotation, and other text stands on the same line."""
+    if not any(q in text for q in QUOTES):
+        return False
+    spans = []
+    for m in _QUOTATION.finditer(text):
+        begin, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+        rest = text[begin : m.start()] + text[m.end() : end if end >= 0 else len(text)]
+        inside = any(s <= p < e for s, e, _ in found for p in (m.start(), m.end() - 1))
+        if not inside and len(m[0].split()) <= QUOTED_WORDS and len(rest.split()) > 1:
+            spans.append((m.start(), m.end()))
+    return all(any(a <= s and e <= z for a, z in spans) for s, e, _ in found)
 
 
 @functools.lru_cache(1)
@@ -391,10 +417,7 @@ def restore_sequences(text: str) -> tuple[str, int]:
     if not text.isascii():
         text, n = passages(text)
         total += n
-    for _ in range(3):
-        found = sequences(text)
-        if not found:
-            break
+    while found := sequences(text):  # each round makes the text shorter
         total += len(found)
         pieces, last = [], 0
         for s, e, ch in found:
