@@ -232,6 +232,9 @@ trait T { fn f(&self); fn g(&self) -> u8 { 1 } }
     assert "const C: Foo = { ... }" in out or "const C: Foo = Foo { ... };" in out
     assert "pub fn get(&self) -> u8 { ... }" in out and "fn set(&mut self) { ... }" in out and "self.x" not in out
     assert "assert!" not in out and "fn g(&self) -> u8 { ... }" in out and "fn f(&self);" in out
+    assert corpus.signatures("/* a /* b */ fn ghost() { 1 } c */\nfn x() { 2 }") == "/* a /* b */ fn ghost() { 1 } c */\nfn x() { ... }\n"
+    assert corpus.signatures('const A: [u8; 2] = [1, 2];\nstatic B: T = { 7 };\nfn c() { let s = r#"} { "# ; }\nmacro_rules! m { () => { 1 } }') == 'const A: [u8; 2] = [1, 2];\nstatic B: T = { ... };\nfn c() { ... }\nmacro_rules! m { () => { 1 } }\n'
+    assert corpus.signatures("#[cfg(not(test))]\nmod a { fn b() { 1 } }\n#[cfg(test)]\nmod t { fn c() { } }\nstruct S { x: u8 }") == "#[cfg(not(test))]\nmod a { fn b() { ... } }\nstruct S { x: u8 }\n"
     assert corpus.signatures("") == "\n" and corpus.signatures("fn broken( {") and "\n\n\n" not in out
 
 

@@ -13,25 +13,27 @@ from pyspark.sql import types as T
 
 
 def log_ndtr(x: np.ndarray) -> np.ndarray:
-    """ln of the standard normal distribution function, accurate far into both tails.
+    """ln of the standard normal distribution function, accurate far into both tails; whole arrays at a time.
 
-    From -1 up by log1p, down to y = -x / sqrt 2 = 4 by the complementary error function, beyond that by the
-    continued fraction of the scaled one.
+    With z = |x| / sqrt 2, the smaller tail is exp(-z^2) times a power series of positive terms taken from one half
+    (z < 2), or times a continued fraction (beyond).
     """
     x = np.asarray(x, np.float64)
-    erfc = np.vectorize(math.erfc, otypes=[np.float64])
-    y = -x / math.sqrt(2)
-    out = np.full(x.shape, np.nan)
-    a, b, c = x >= -1, (x < -1) & (y < 4), y >= 4
-    out[a] = np.log1p(-0.5 * erfc(x[a] / math.sqrt(2)))
-    out[b] = np.log(0.5 * erfc(y[b]))
-    z = y[c]
-    f = z.copy()
-    for k in range(60, 0, -1):
-        f = z + (k / 2) / f
-    out[c] = -z * z - np.log(f) - 0.5 * math.log(math.pi) - math.log(2)
-    out[np.isneginf(x)] = -np.inf
-    return out
+    z = np.where(np.isfinite(x), np.abs(x) / math.sqrt(2), 0.0)
+    near, far = np.minimum(z, 2.0), np.maximum(z, 2.0)
+    term = near * (2 / math.sqrt(math.pi))
+    series = term.copy()
+    for k in range(1, 48):
+        term = term * (2 * near * near / (2 * k + 1))
+        series += term
+    tail_near = np.log(0.5 - 0.5 * np.exp(-near * near) * series)
+    fraction = far.copy()
+    for k in range(90, 0, -1):
+        fraction = far + (0.5 * k) / fraction
+    tail_far = -far * far - np.log(fraction) - 0.5 * math.log(4 * math.pi)
+    tail = np.where(z < 2, tail_near, tail_far)
+    out = np.where(x > 0, np.log1p(-np.exp(tail)), tail)
+    return np.where(np.isnan(x), np.nan, np.where(np.isposinf(x), 0.0, np.where(np.isneginf(x), -np.inf, out)))
 
 
 @F.pandas_udf(T.DoubleType())

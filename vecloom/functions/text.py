@@ -13,8 +13,9 @@ def normalized(s: Column, compat: bool = True) -> Column:
 
     compat=False leaves out NFKC, which only the Python side has; ASCII text is the same either way.
     """
-    # Only text outside ASCII takes the way through Python.
-    t = F.when(s.rlike(r"^\p{ASCII}*$"), s).otherwise(nfkc(s)) if compat else s
+    # Python sees every row, but as null where the text is ASCII: only others are copied there and back.
+    plain = s.rlike(r"^\p{ASCII}*$")
+    t = F.when(plain, s).otherwise(nfkc(F.when(~plain, s))) if compat else s
     t = F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}_\s\x{85}\x{A0}]", " ")
     return F.trim(F.regexp_replace(t, r"[\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}]+", " "))
 
@@ -36,9 +37,21 @@ def f1(common: Column, n_gen: Column, n_ref: Column) -> Column:
 
 
 def token_f1(g: Column, r: Column) -> Column:
-    """F1 of the bags of words: each word counts as often as it is in both."""
-    count = lambda a, t: F.size(F.filter(a, lambda x: x == t))
-    common = F.aggregate(F.array_distinct(r), F.lit(0), lambda acc, t: acc + F.least(count(g, t), count(r, t)))
+    """F1 of the bags of words: each word counts as often as it is in both.
+
+    Both bags are sorted together, so that one walk counts each word on either side.
+    """
+    side = lambda a, k: F.transform(a, lambda w: F.struct(w.alias("w"), F.lit(k).alias("k")))
+    state = lambda w, a, b, c: F.struct(w.alias("w"), a.alias("a"), b.alias("b"), c.alias("c"))
+    closed = lambda s: s["c"] + F.least(s["a"], s["b"])
+
+    def step(s: Column, x: Column) -> Column:
+        a, b = (x["k"] == 0).cast("int"), (x["k"] == 1).cast("int")
+        same = s["w"].eqNullSafe(x["w"])
+        return state(x["w"], F.when(same, s["a"] + a).otherwise(a), F.when(same, s["b"] + b).otherwise(b), F.when(same, s["c"]).otherwise(closed(s)))
+
+    zero = F.lit(0)
+    common = F.aggregate(F.sort_array(F.concat(side(g, 0), side(r, 1))), state(F.lit(None).cast("string"), zero, zero, zero), step, closed)
     return f1(common.cast("double"), F.size(g), F.size(r))
 
 

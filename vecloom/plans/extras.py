@@ -26,14 +26,27 @@ def last_user_turn(spark: SparkSession, d: str) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.max(F.when(user, F.col("line"))).alias("split"), (F.max("line") + 1).alias("lines")).where("split is not null")
 
 
-@query(r"""SELECT doc_id, length(html) AS chars, length(html) - length(replace(html, '<code>', '')) AS code FROM (SELECT doc_id,
-  regexp_replace(regexp_replace(regexp_replace(text, '`([^`]+)`', '<code>\1</code>', 'g'), '\*\*([^*]+)\*\*', '<strong>\1</strong>', 'g'), '\[([^\]]+)\]\(([^)]+)\)', '<a href="\2">\1</a>', 'g') AS html FROM documents WHERE text IS NOT NULL)""")
+# What stands for code, bold and a link in running text, and the markup that it becomes ($1, $2: groups).
+MARKUP = [
+    ("`([^`]+)`", "<code>$1</code>"),
+    (r"\*\*([^*]+)\*\*", "<strong>$1</strong>"),
+    (r"\[([^\]]+)\]\(([^)]+)\)", '<a href="$2">$1</a>'),
+]
+
+
+def _marked_sql(text: str) -> str:
+    for pattern, made in MARKUP:
+        text = f"regexp_replace({text}, '{pattern}', '{made.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2')}', 'g')"
+    return text
+
+
+@query(f"SELECT doc_id, length(html) AS chars, length(html) - length(replace(html, '<code>', '')) AS code FROM (SELECT doc_id, {_marked_sql('text')} AS html FROM documents WHERE text IS NOT NULL)")
 def inline_markup(spark: SparkSession, d: str) -> DataFrame:
     """Texts with code, bold and links as HTML: their length and how much of it are code tags."""
-    t = F.regexp_replace("text", "`([^`]+)`", "<code>$1</code>")
-    t = F.regexp_replace(t, r"\*\*([^*]+)\*\*", "<strong>$1</strong>")
-    t = F.regexp_replace(t, r"\[([^\]]+)\]\(([^)]+)\)", '<a href="$2">$1</a>')
-    rows = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", t.alias("html"))
+    html = F.col("text")
+    for pattern, made in MARKUP:
+        html = F.regexp_replace(html, pattern, made)
+    rows = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", html.alias("html"))
     return rows.select("doc_id", F.length("html").cast("bigint").alias("chars"), (F.length("html") - F.length(F.replace("html", F.lit("<code>"), F.lit("")))).cast("bigint").alias("code"))
 
 
@@ -60,11 +73,11 @@ def projection_queries(spark: SparkSession, d: str) -> DataFrame:
     return out.select("q_row", "delta", _r(total(F.slice("v", 1, 16)), 5).alias("first"), _r(total(F.slice("v", 17, 16)), 5).alias("second"))
 
 
-@query("""WITH t AS (SELECT row_id, gen_seconds AS x, pow(2.0, floor(log2(abs(gen_seconds))) - 7) AS ulp FROM eval_rows WHERE gen_seconds IS NOT NULL AND NOT isnan(gen_seconds) AND NOT isinf(gen_seconds) AND gen_seconds <> 0)
+@query("""WITH t AS (SELECT row_id, gen_seconds AS x, CASE WHEN gen_seconds = 0 THEN 1.0 ELSE pow(2.0, floor(log2(CASE WHEN gen_seconds = 0 THEN 1.0 ELSE abs(gen_seconds) END)) - 7) END AS ulp FROM eval_rows WHERE gen_seconds IS NOT NULL AND NOT isnan(gen_seconds) AND NOT isinf(gen_seconds))
   SELECT row_id, round_even(x / ulp, 0) * ulp AS half FROM t""")
 def half_precision(spark: SparkSession, d: str) -> DataFrame:
     """Times rounded to the 8 bits of significand of bfloat16, half to even."""
     x = F.col("gen_seconds")
-    rows = table(spark, d, "eval_rows").where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))) & (x != 0))
-    ulp = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(x))).cast("double") - 7)
+    rows = table(spark, d, "eval_rows").where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    ulp = F.when(x == 0, 1.0).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.abs(x))).cast("double") - 7))
     return rows.select("row_id", (F.bround(x / ulp, 0) * ulp).alias("half"))
