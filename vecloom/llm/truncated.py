@@ -67,6 +67,7 @@ _TAGS = re.compile(r"<[^<>]{1,40}>")
 _BARE = re.compile(r"\W*(?:[^\W\d_]+:\s*)?\W*$")
 _OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“", "「": "」", "（": "）"}
 _CLOSE = {v: k for k, v in _OPEN.items()}
+_OPENERS, _WORDS = re.compile("[`*<(\\[{“«「（„\"]"), re.compile(r"\w")
 _STRUCT = re.compile(r"```|\*\*|<(/?)(\w+)>|[(\[{“«「（)\]}”»」）`]|(?<!\w)\"(?=\w)|(?<=[\w.!?])\"")
 
 
@@ -93,6 +94,8 @@ def _ends_sentence(between: str) -> bool:
 
 def open_at_end(text: str) -> str:
     """What the stack automaton holds at the end of the text: the openers without a closer, outermost first."""
+    if not _OPENERS.search(text):
+        return ""
     stack: list[str] = []
     for m in _STRUCT.finditer(text):
         s = m[0]
@@ -130,13 +133,15 @@ def count_text(text: str, counts: Counter, known: Counter) -> None:
         rest = found[-1][1]
         if "..." in rest or not any(t in rest for t in TERMINATORS):
             found.pop()
+    keys = []
     for word, between in found:
         c = shape(word)
-        end = _ends_sentence(between)
-        counts[a, b, c, end] += 1
+        end = between != " " and _ends_sentence(between)
+        keys.append((a, b, c, end))
         if c == "Name":
             known[word] += 1
         a, b = ("^", "^") if end else (b, c)
+    counts.update(keys)
 
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})*%[0-9A-Fa-f]{2}%?[0-9A-Fa-f]?$")
@@ -168,7 +173,7 @@ def tail(text: str) -> tuple[str, str, str, str, str, bool]:
     """
     body = text.rstrip()
     marked = False
-    if body.endswith("```") and body.count("```") % 2 == 0 or not re.search(r"\w", _TAGS.sub("", body) if "<" in body else body):
+    if body.endswith("```") and body.count("```") % 2 == 0 or not _WORDS.search(_TAGS.sub("", body) if "<" in body else body):
         return "bare", "", "", "", "", False
     if body[-1:] in _MARK_ENDS:
         while (m := _MARK.search(body)) and m.start() > 0:
