@@ -27,3 +27,9 @@ def data():
     if not os.path.isdir(DATA):
         pytest.skip(f"{DATA} isn't there")
     return DATA
+
+
+@pytest.fixture(scope="session")
+def medium_data():
+    d = "/root/testdata/sf0.01"
+    return d if os.path.isdir(d) else DATA

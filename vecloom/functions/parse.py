@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Context length from which the rotary scaling factor exceeds 1.
+#: Fixed value: context length from which the rotary scaling factor exceeds 1.
 BASE_CONTEXT = 262_144
 
 
@@ -46,6 +46,7 @@ def head_file(layer: Column, head: Column) -> Column:
 
 def parse_cell(s: Column) -> Column:
     """'L15H3' in either case to (layer, kv_head); null if it isn't one."""
+    # Fixed value: the format of a cell's name.
     pat = r"^[lL](\d+)[hH](\d+)$"
     t = F.trim(s)
     return F.when(t.rlike(pat), F.struct(F.regexp_extract(t, pat, 1).cast("int").alias("layer"), F.regexp_extract(t, pat, 2).cast("int").alias("kv_head")))
@@ -57,6 +58,7 @@ def shift_cut(cut: Column, shift: Column, n_keys: Column) -> Column:
     The part of a percentage is rounded half away from zero. A shift that is neither, or a fraction without
     the percent sign, gives null.
     """
+    # Fixed value: the format of a shift.
     pat = r"^([+-]?\d+(?:\.\d+)?)(%?)$"
     t = F.trim(shift)
     num, pct = F.regexp_extract(t, pat, 1), F.regexp_extract(t, pat, 2) == "%"
@@ -70,6 +72,16 @@ def ladder(low: Column, high: Column) -> Column:
     return F.filter(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda k: F.pow(F.lit(2.0), k).cast("bigint")), lambda x: (x >= low) & (x <= high))
 
 
+def eval_cuts(cuts: Column, shift: Column, n_keys: Column, kept: Column) -> Column:
+    """The cuts to evaluate, rising, each once: the given ones, each of them shifted, and the number of keys kept.
+
+    A shift that can't be read adds none; kept 0 or null adds none.
+    """
+    moved = F.transform(cuts, lambda c: shift_cut(c, shift, n_keys))
+    more = F.when(F.coalesce(kept, F.lit(0)) > 0, F.array(kept.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(cuts.cast("array<bigint>"), moved, more), lambda c: c.isNotNull())))
+
+
 def cache_key(*parts: Column) -> Column:
     """The first 16 hexadecimal digits of the SHA-1 of the parts joined by a bar; null parts are left out."""
     return F.left(F.sha1(F.concat_ws("|", *parts).cast("binary")), F.lit(16))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value evaluated once: Spark would compute it anew wherever, and as often as, a lambda names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product, summed from the first number to the last."""
     s = F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
@@ -23,16 +29,16 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return let(a, lambda v: F.sqrt(dot(v, v)))
 
 
 def scale(a: Column, k: Column) -> Column:
-    return F.transform(doubles(a), lambda x: x * k)
+    return let(k, lambda c: F.transform(doubles(a), lambda x: x * c))
 
 
 def unit(a: Column) -> Column:
     """a over its norm, the norm floored at 1e-30."""
-    return scale(a, F.lit(1.0) / F.greatest(norm(a), F.lit(1e-30)))
+    return let(a, lambda v: scale(v, F.lit(1.0) / F.greatest(norm(v), F.lit(1e-30))))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -49,8 +55,8 @@ def l2(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Null where either is the null vector or all zero."""
-    n = norm(a) * norm(b)
-    return F.when(n > 0, dot(a, b) / n)
+    of = lambda x, y: let(norm(x) * norm(y), lambda n: F.when(n > 0, dot(x, y) / n))
+    return let(a, lambda x: let(b, lambda y: of(x, y)))
 
 
 def rel_err(out: Column, exact: Column) -> Column:
@@ -60,7 +66,7 @@ def rel_err(out: Column, exact: Column) -> Column:
 
 def matvec(rows: Column, v: Column) -> Column:
     """Matrix (array of rows) times vector."""
-    return F.transform(rows, lambda r: dot(r, v))
+    return let(v, lambda x: F.transform(rows, lambda r: dot(r, x)))
 
 
 def ln(x: Column) -> Column:

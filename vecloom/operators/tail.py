@@ -7,6 +7,7 @@ rows that are added up in the tasks first; what is solved at last has a fixed si
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import vec
 from vecloom.functions.special import log_ndtr_col
-from vecloom.operators.search import matrix
+from vecloom.operators.search import SHARD_ROWS, by_blocks, exact_top_k, matrix, merge_partitions, merge_states, scores, softmax_states
 
 #: The grid of the mass factor, 0 to 1.5 in steps of 0.05.
 ALPHAS = [round(i * 0.05, 2) for i in range(31)]
@@ -98,22 +99,135 @@ def combine(n_top: Column, d_top: Column, u: Column, z: Column) -> Column:
     return F.when(z > 0, vec.scale(vec.add(n_top, vec.scale(u, z)), 1 / (d_top + z))).otherwise(vec.scale(n_top, 1 / d_top))
 
 
-def cut_sums(gathered: DataFrame, cuts: list[int], dim: int) -> DataFrame:
-    """q_row, cut, m, bnd, dt, nt: softmax sums over the best `cut` rows of each query, relative to its best logit m.
+def _ordered(s: np.ndarray, k: int) -> np.ndarray:
+    """The k first columns of each row by falling value, equal ones by rising column."""
+    n = s.shape[1]
+    if 4 * k >= n:
+        return np.argsort(-s, axis=1, kind="stable")[:, :k]
+    some = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    v = np.take_along_axis(s, some, 1)
+    tied = np.flatnonzero((s >= v.min(1)[:, None]).sum(1) > k)  # equal values on both sides of the edge
+    if len(tied):
+        some[tied] = np.argsort(-s[tied], axis=1, kind="stable")[:, :k]
+        v = np.take_along_axis(s, some, 1)
+    return np.take_along_axis(some, np.lexsort((some, -v), axis=1), 1)
 
-    gathered has q_row, rank, logit, value. bnd is the weakest logit kept; queries with fewer rows keep all.
+
+def apply(rows: DataFrame, live: DataFrame) -> DataFrame:
+    """q_row, lse, out: the kept keys of each query, with the tail where its head is active, merged with the live part.
+
+    rows have q_row, m, dt, nt, uh, z, alpha and active. A row that isn't active, or has no stand-in, passes through
+    untouched. Queries that only live has are kept.
+    """
+    on = F.coalesce(F.col("active") & F.col("uh").isNotNull() & F.col("z").isNotNull() & (F.coalesce("alpha", F.lit(1.0)) > 0), F.lit(False))
+    mass = F.when(on, F.col("z") * F.coalesce("alpha", F.lit(1.0)))
+    kept_lse, kept = F.col("m") + F.log("dt"), vec.scale(F.col("nt"), 1 / F.col("dt"))
+    part = rows.select("q_row", F.when(on, F.col("m") + F.log(F.col("dt") + mass)).otherwise(kept_lse).alias("lse"), F.when(on, combine(F.col("nt"), F.col("dt"), F.col("uh"), mass)).otherwise(kept).alias("out"))
+    return merge_partitions(part, live, ["q_row"]).select("q_row", "lse", "out")
+
+
+def cut_statistics(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, cut and the twelve statistics of a cut, from scored rows (train, u, uh, pred, z, d, dt, none_err, err).
+
+    Held-out rows: mean and 90th percentile of the error with the tail, mean without, how often worse, phi (the share of
+    the mass that is dropped), r2 of the map over the training mean of directions, the median ratio of masses and cosine;
+    const is the squared length of that mean, leftover (1 - const)(1 - r2), pred phi times its root.
     """
-    top = gathered.withColumn("m", F.max("logit").over(Window.partitionBy("q_row")))
-    each = top.withColumn("cut", F.explode(F.array(*[F.lit(c) for c in cuts]))).where(F.col("rank") <= F.col("cut"))
+    dim = F.size("u")
+    rows = rows.where(F.col("u").isNotNull()).withColumn("un", vec.unit(F.col("u")))
+    flat = rows.where("train").select(*by, "cut", F.posexplode("un").alias("i", "x")).groupBy(*by, "cut", "i").agg(F.avg("x").alias("x"))
+    mean = flat.groupBy(*by, "cut").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("mean_dir"))  # one number per dimension
+    held = rows.where("not train").join(mean, [*by, "cut"])
+    sq = lambda a, b: vec.let(vec.sub(a, b), lambda v: vec.dot(v, v))
+    left = F.col("d") - F.col("dt")
+    out = held.where(dim > 0).groupBy(*by, "cut").agg(
+        F.avg("err").alias("err_mean"), F.percentile("err", 0.9).alias("err_p90"), F.avg("none_err").alias("none_mean"), F.avg((F.col("err") > F.col("none_err")).cast("double")).alias("worse"), F.avg(left / F.col("d")).alias("phi"),
+        F.first(vec.dot(F.col("mean_dir"), F.col("mean_dir"))).alias("const"), (1 - F.sum(sq(F.col("un"), F.col("pred"))) / F.sum(sq(F.col("un"), F.col("mean_dir")))).alias("r2"),
+        F.percentile(F.col("z") / left, 0.5).alias("mass_ratio"), F.percentile(vec.cosine(F.col("uh"), F.col("u")), 0.5).alias("cos_median"), (F.avg("err") / F.avg("none_err")).alias("ratio"),
+    )
+    out = out.withColumn("leftover", (1 - F.col("const")) * (1 - F.col("r2")))
+    return out.withColumn("pred", F.col("phi") * F.sqrt("leftover"))
+
+
+def cut_scan(queries: DataFrame, keys: DataFrame, cell: list[str], cuts: list[int], scaling: float, dim: int, least: int = 1, by_hash: bool = False, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """q_row, cut, m, bnd, dt, nt, d, exact: softmax sums over the best `cut` keys of each query and over all, in one scan.
+
+    All sums are relative to the query's best logit m. bnd is the weakest logit kept, dt and nt the mass and the weighted
+    values of the kept keys, d the mass of all, exact their output. Cuts beyond the number of keys are left out,
+    those up to `least` keep all keys. by_hash takes the keys by the MD5 of their position in place of their score.
+    Only a row per query and cut leaves a block; cells of several shards are ranked over all shards instead and
+    summed between cuts.
+    """
+    cuts = sorted(set(cuts))
+
+    def run(q: pa.Table, x: pa.Table) -> pa.Table:
+        ids, pos = q.column("q_row").to_numpy(), x.column("pos").to_numpy()
+        parts: list[list[np.ndarray]] = [[] for _ in range(8)]
+        some = [c for c in cuts if c <= max(len(pos), least)] if len(pos) and len(ids) else []
+        if some:
+            o = np.argsort(pos)
+            key, value, qv = matrix(x.column("key"))[o], matrix(x.column("value"))[o], matrix(q.column("q"))
+            at = np.minimum(np.array(some), len(pos)) - 1
+            k = int(at.max()) + 1
+            if by_hash:
+                digest = [(hashlib.md5(str(v).encode()).hexdigest(), v) for v in pos[o].tolist()]
+                chosen = np.array(sorted(range(len(digest)), key=digest.__getitem__))[:k]
+            step = max(1, 1_000_000 // max(k, len(pos) // 8))
+            for a in range(0, len(ids), step):
+                s = qv[a : a + step] @ key.T * scaling
+                m = s.max(1)
+                w = np.exp(s - m[:, None])
+                d = w.sum(1)
+                top = np.broadcast_to(chosen, (len(s), k)) if by_hash else _ordered(s, k)
+                wt = np.take_along_axis(w, top, 1)
+                nt = np.cumsum(wt[:, :, None] * value[top], 1)[:, at]
+                bnd = np.minimum.accumulate(np.take_along_axis(s, top, 1), 1)[:, at]
+                n = len(at)
+                made = [np.repeat(ids[a : a + step], n), np.tile(some, len(s)), np.repeat(m, n), bnd.ravel(), np.cumsum(wt, 1)[:, at].ravel(), nt.reshape(-1, dim), np.repeat(d, n), np.repeat(w @ value / d[:, None], n, 0)]
+                for got, v in zip(parts, made):
+                    got.append(v)
+        names = ["q_row", "cut", "m", "bnd", "dt", "nt", "d", "exact"]
+        flat = [np.concatenate(v) if v else np.zeros((0, dim) if c in ("nt", "exact") else 0) for c, v in zip(names, parts)]
+        lists = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, dim, dtype=np.int32)), pa.array(v.ravel().astype(np.float64)))
+        types = {"q_row": np.int64, "cut": np.int32}
+        return pa.table({c: lists(v) if c in ("nt", "exact") else pa.array(v.astype(types.get(c, np.float64))) for c, v in zip(names, flat)})
+
+    schema = "q_row bigint, cut int, m double, bnd double, dt double, nt array<double>, d double, exact array<double>"
+    sizes = keys.groupBy(*cell).agg(F.count("*").alias("_n"))
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    if most <= shard_rows:
+        return by_blocks(queries, keys, cell, run, schema, shard_rows=shard_rows)
+    small = keys.join(sizes.where(F.col("_n") <= shard_rows), cell, "left_semi")
+    large = keys.join(sizes.where(F.col("_n") > shard_rows), cell, "left_semi")
+    return by_blocks(queries, small, cell, run, schema, shard_rows=shard_rows).unionByName(_cut_scan_large(queries, large, cell, cuts, scaling, dim, by_hash, shard_rows, sizes, least))
+
+
+def _cut_scan_large(queries: DataFrame, keys: DataFrame, cell: list[str], cuts: list[int], scaling: float, dim: int, by_hash: bool, shard_rows: int, sizes: DataFrame, least: int) -> DataFrame:
+    """cut_scan of cells of several shards: the best max(cuts) keys of all shards, summed between neighbouring cuts, then added up."""
+    k = cuts[-1]
+    if by_hash:
+        rank = F.row_number().over(Window.partitionBy(*cell).orderBy(F.md5(F.col("pos").cast("string").cast("binary")), "pos"))
+        some = keys.withColumn("rank", rank).where(F.col("rank") <= k)
+        top = scores(queries, some, cell, shard_rows=shard_rows).join(queries.select("q_row", *cell), "q_row").join(some.select(*cell, "pos", "rank", "value"), [*cell, "pos"])
+    else:
+        top = exact_top_k(queries, keys, cell, k, shard_rows=shard_rows).join(queries.select("q_row", *cell), "q_row").join(keys.select(*cell, "pos", "value"), [*cell, "pos"])
+    full = softmax_states(queries, keys, cell, scaling, shard_rows=shard_rows)
+    best = full.groupBy("q_row").agg(F.max("m").alias("m"))
+    whole = merge_states(full, ["q_row"], dim).join(best, "q_row").select("q_row", "m", F.exp(F.col("lse") - F.col("m")).alias("d"), F.col("out").alias("exact"))
+    cut = F.array_min(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= F.col("rank")))
+    rows = top.select("q_row", "rank", (F.col("score") * scaling).alias("logit"), "value").join(best, "q_row").withColumn("cut", cut)
     w = F.exp(F.col("logit") - F.col("m"))
-    sums = each.groupBy("q_row", "cut").agg(F.first("m").alias("m"), F.min("logit").alias("bnd"), F.sum(w).alias("dt"), *[F.sum(w * F.col("value")[i]).alias(f"n{i}") for i in range(dim)])
-    return sums.select("q_row", "cut", "m", "bnd", "dt", F.array(*[F.col(f"n{i}") for i in range(dim)]).alias("nt"))
+    between = rows.groupBy("q_row", "cut").agg(F.min("logit").alias("bnd"), F.sum(w).alias("dt"), *[F.sum(w * F.col("value")[i]).alias(f"n{i}") for i in range(dim)])
+    upto = Window.partitionBy("q_row").orderBy("cut").rowsBetween(Window.unboundedPreceding, 0)  # one row per cut
+    sums = between.select("q_row", "cut", F.min("bnd").over(upto).alias("bnd"), F.sum("dt").over(upto).alias("dt"), F.array(*[F.sum(f"n{i}").over(upto) for i in range(dim)]).alias("nt"))
+    fits = queries.select("q_row", *cell).join(sizes, cell).select("q_row", "_n")
+    out = sums.join(whole, "q_row").join(fits, "q_row").where(F.col("cut") <= F.greatest("_n", F.lit(least)))
+    return out.select("q_row", "cut", "m", "bnd", "dt", "nt", "d", "exact")
 
 
-def with_full(sums: DataFrame, full: DataFrame) -> DataFrame:
-    """sums with d (all keys' mass relative to m), exact (their output), none_err (error of the kept keys alone)."""
-    both = sums.join(full.select("q_row", "lse", F.col("out").alias("exact")), "q_row").withColumn("d", F.exp(F.col("lse") - F.col("m")))
-    return both.withColumn("none_err", vec.rel_err(vec.scale(F.col("nt"), 1 / F.col("dt")), F.col("exact")))
+def kept_error() -> Column:
+    """Error of the kept keys alone, in the rows of cut_scan."""
+    return vec.rel_err(vec.scale(F.col("nt"), 1 / F.col("dt")), F.col("exact"))
 
 
 def true_tail(rows: DataFrame) -> DataFrame:
@@ -149,14 +263,23 @@ def ridge_map(rows: DataFrame, by: list[str], dim_q: int, dim_v: int, ridge: flo
     return maps.join(train.groupBy(*by).agg(F.percentile(vec.norm(F.col("u")), 0.5).alias("scale")), by)
 
 
-def scored_tail(rows: DataFrame, maps: DataFrame, moms: DataFrame, cell: list[str], scaling: float) -> DataFrame:
-    """rows (cell, cut, q, m, bnd, dt, nt, exact) with uh, the stand-in, and z, the estimated mass relative to m."""
-    both = rows.join(maps, [*cell, "cut"]).join(moms, cell)
+def query_terms(queries: DataFrame, moms: DataFrame, cell: list[str], scaling: float) -> DataFrame:
+    """q_row, mu, var, n_keys: what a query's tail mass needs of its cell's moments, once per query whatever the cuts."""
+    both = queries.join(moms, cell)
     mu, var = mass_terms(F.col("q"), F.col("mean"), F.col("cov"), scaling)
-    both = both.withColumn("mu", mu).withColumn("var", var)
-    both = both.withColumn("ln_z", tail_mass(F.col("mu"), F.col("var"), F.col("n_keys"), F.col("bnd")))
-    both = both.withColumn("z", F.exp(F.col("ln_z") - F.col("m"))).withColumn("uh", standin(F.col("q"), F.col("weight"), F.col("bias"), F.col("scale")))
-    return both.drop("weight", "bias", "mean", "cov")
+    return both.select("q_row", mu.alias("mu"), var.alias("var"), "n_keys")
+
+
+def scored_tail(rows: DataFrame, maps: DataFrame, terms: DataFrame, cell: list[str]) -> DataFrame:
+    """rows (cell, cut, q, m, bnd, dt, nt, exact) with uh, the stand-in, and z, the estimated mass relative to m.
+
+    A row whose cell and cut have no map keeps a null uh and z: nothing is known of its tail.
+    """
+    both = rows.join(maps, [*cell, "cut"], "left").join(terms, "q_row")
+    ln_z = tail_mass(F.col("mu"), F.col("var"), F.col("n_keys"), F.col("bnd"))
+    pred = vec.add(vec.matvec(F.col("weight"), vec.unit(F.col("q"))), F.col("bias"))
+    both = both.withColumn("pred", pred).withColumn("z", F.when(F.col("weight").isNotNull(), F.exp(ln_z - F.col("m"))))
+    return both.withColumn("uh", vec.scale(vec.unit(F.col("pred")), F.col("scale"))).drop("weight", "bias", "mean", "cov")
 
 
 def with_alpha(rows: DataFrame, alpha: Column) -> Column:

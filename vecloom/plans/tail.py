@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.functions import vec
+from vecloom.functions import parse, vec
 from vecloom.operators import search, tail
-from vecloom.plans.attention import _full_out, _gathered, _live_out
+from vecloom.plans.attention import _live_out
 from vecloom.plans.registry import KEYS, SCORED, query
 from vecloom.sources import ensure_checkpoint_dir, views
 from vecloom.sources.views import CELL, KEY_DIM, SCALING, VALUE_DIM
 
-CUTS = [1, 2, 4, 8, 16]
-KEEP = 16
+#: The ladder of cuts, and how many keys retrieval keeps.
+CUTS, KEEP = [2**i for i in range(13)], 16
+#: The shift of a chosen cut, and what is evaluated for it.
+SHIFT = "10%"
+BUILD_CUTS = sorted({*CUTS, KEEP, *(max(1, int(c * 1.1 + 0.5)) for c in CUTS)})
 
 
 def _r(c, n: int = 6):
@@ -24,17 +27,25 @@ def _moments(spark: SparkSession, d: str) -> DataFrame:
     return tail.moments(views.keys(spark, d), CELL, KEY_DIM)
 
 
-def _cuts(spark: SparkSession, d: str) -> DataFrame:
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    return tail.query_terms(views.queries(spark, d), _moments(spark, d), CELL, SCALING)
+
+
+def _scan(spark: SparkSession, d: str, cuts: list[int] = CUTS) -> DataFrame:
+    return tail.cut_scan(views.queries(spark, d), views.keys(spark, d), CELL, cuts, SCALING, VALUE_DIM, KEEP)
+
+
+def _cuts(spark: SparkSession, d: str, cuts: list[int] = CUTS) -> DataFrame:
     """Sums at every cut with the exact output, by query; the query's cell, vector and half of the data."""
-    sums = tail.with_full(tail.cut_sums(_gathered(spark, d), CUTS, VALUE_DIM), _full_out(spark, d))
     train = F.pmod(F.floor(F.col("q_row") / 100), F.lit(2)) == 0
-    return sums.join(views.queries(spark, d).select("q_row", *CELL, "session_id", "q", train.alias("train")), "q_row")
+    rows = _scan(spark, d, cuts).withColumn("none_err", tail.kept_error())
+    return rows.join(views.queries(spark, d).select("q_row", *CELL, "session_id", "q", train.alias("train")), "q_row")
 
 
-BASE = f"""{SCORED}, lg AS (SELECT *, score * {SCALING} AS logit, max(score * {SCALING}) OVER (PARTITION BY q_row) AS m, row_number() OVER (PARTITION BY q_row ORDER BY score DESC, pos) AS rank FROM scored),
+BASE = f"""{SCORED}, lg AS (SELECT *, score * {SCALING} AS logit, max(score * {SCALING}) OVER (PARTITION BY q_row) AS m, row_number() OVER (PARTITION BY q_row ORDER BY score DESC, pos) AS rank, count(*) OVER (PARTITION BY q_row) AS n FROM scored),
   cuts AS (SELECT unnest({CUTS}) AS cut), i8 AS (SELECT unnest(range({VALUE_DIM})) AS i),
   s AS (SELECT q_row, cache_id, layer, kv_head, cut, i, any_value(m) AS m, sum(CASE WHEN rank <= cut THEN exp(logit - m) ELSE 0 END) AS dt, sum(CASE WHEN rank <= cut THEN exp(logit - m) * value[i + 1] ELSE 0 END) AS nt,
-    sum(exp(logit - m)) AS dd, sum(exp(logit - m) * value[i + 1]) AS nn, min(CASE WHEN rank <= cut THEN logit END) AS bnd FROM lg, cuts, i8 GROUP BY q_row, cache_id, layer, kv_head, cut, i),
+    sum(exp(logit - m)) AS dd, sum(exp(logit - m) * value[i + 1]) AS nn, min(CASE WHEN rank <= cut THEN logit END) AS bnd FROM lg, cuts, i8 WHERE cut <= greatest(n, {KEEP}) GROUP BY q_row, cache_id, layer, kv_head, cut, i),
   e AS (SELECT q_row, cache_id, layer, kv_head, cut, sqrt(sum(pow(nt / dt - nn / dd, 2))) / sqrt(sum(pow(nn / dd, 2))) AS err FROM s GROUP BY ALL)"""
 
 
@@ -48,7 +59,7 @@ def key_cov(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {BASE} SELECT q_row, cut, CAST(i AS INTEGER) AS i, round(dt, 6) + 0.0 AS dt, round(nt, 6) + 0.0 AS nt, round(bnd, 6) + 0.0 AS bnd FROM s")
 def cut_sums(spark: SparkSession, d: str) -> DataFrame:
-    s = tail.cut_sums(_gathered(spark, d), CUTS, VALUE_DIM)
+    s = _scan(spark, d)
     return s.select("q_row", "cut", _r("dt").alias("dt"), _r("bnd").alias("bnd"), F.posexplode("nt").alias("i", "nt")).withColumn("nt", _r("nt"))
 
 
@@ -112,7 +123,7 @@ def tail_standin(spark: SparkSession, d: str) -> DataFrame:
   SELECT q_row, CAST(i AS INTEGER) AS i, round((nt + z * exp(-m) * u) / (dt + z * exp(-m)), 6) + 0.0 AS out FROM s JOIN z USING (q_row) JOIN av USING (cache_id, layer, kv_head, i) WHERE cut = 16""")
 def tail_merge(spark: SparkSession, d: str) -> DataFrame:
     """The kept keys merged with one pseudo-key: the mean value of the cell with the mass of all its keys."""
-    sums = tail.cut_sums(_gathered(spark, d), [KEEP], VALUE_DIM).join(views.queries(spark, d).select("q_row", *CELL, "q"), "q_row")
+    sums = _scan(spark, d, [KEEP]).join(views.queries(spark, d).select("q_row", *CELL, "q"), "q_row")
     av = views.keys(spark, d).groupBy(*CELL).agg(F.array(*[F.avg(F.col("value")[i]) for i in range(VALUE_DIM)]).alias("u"))
     both = sums.join(_moments(spark, d), CELL).join(av, CELL)
     mu, var = tail.mass_terms(F.col("q"), F.col("mean"), F.col("cov"), SCALING)
@@ -132,9 +143,7 @@ def _erfc_sql(y: str) -> str:
   SELECT q_row, cut, round(base + ln(({_erfc_sql('y')}) / 2), 5) + 0.0 AS ln_mass FROM y""")
 def tail_mass(spark: SparkSession, d: str) -> DataFrame:
     """Log mass of the keys below the weakest kept one, at every cut."""
-    sums = tail.cut_sums(_gathered(spark, d), CUTS, VALUE_DIM).join(views.queries(spark, d).select("q_row", *CELL, "q"), "q_row").join(_moments(spark, d), CELL)
-    mu, var = tail.mass_terms(F.col("q"), F.col("mean"), F.col("cov"), SCALING)
-    rows = sums.withColumn("mu", mu).withColumn("var", var)
+    rows = _scan(spark, d).select("q_row", "cut", "bnd").join(_terms(spark, d), "q_row")
     return rows.select("q_row", "cut", _r(tail.tail_mass(F.col("mu"), F.col("var"), F.col("n_keys"), F.col("bnd")), 5).alias("ln_mass"))
 
 
@@ -144,7 +153,7 @@ def tail_mass(spark: SparkSession, d: str) -> DataFrame:
   SELECT layer, kv_head, CAST(arg_min(alpha, err) AS DOUBLE) AS alpha, round(min(err), 6) + 0.0 AS err FROM g GROUP BY layer, kv_head""")
 def alpha_grid(spark: SparkSession, d: str) -> DataFrame:
     """The mass factor of least error when the tail's value is the cell's mean and its mass that of all keys."""
-    sums = tail.with_full(tail.cut_sums(_gathered(spark, d), [KEEP], VALUE_DIM), _full_out(spark, d)).join(views.queries(spark, d).select("q_row", *CELL, "q"), "q_row")
+    sums = _scan(spark, d, [KEEP]).join(views.queries(spark, d).select("q_row", *CELL, "q"), "q_row")
     av = views.keys(spark, d).groupBy(*CELL).agg(F.array(*[F.avg(F.col("value")[i]) for i in range(VALUE_DIM)]).alias("uh"))
     both = sums.join(_moments(spark, d), CELL).join(av, CELL)
     mu, var = tail.mass_terms(F.col("q"), F.col("mean"), F.col("cov"), SCALING)
@@ -152,70 +161,91 @@ def alpha_grid(spark: SparkSession, d: str) -> DataFrame:
     return tail.fit_alpha(rows, ["layer", "kv_head"]).withColumn("err", _r("err"))
 
 
-def _maps(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+HEAD = ["layer", "kv_head"]
+#: What a chosen cut may err, by mean; what a gate tolerates.
+EPS, WORSE_TOL, P99_TOL = 0.5, 0.1, 1.5
+
+
+def _maps(rows: DataFrame) -> DataFrame:
     return tail.ridge_map(tail.true_tail(rows.where("train")), [*CELL, "cut"], KEY_DIM, VALUE_DIM, 1e-2)
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
+def _scored(spark: SparkSession, d: str, cuts: list[int] = CUTS) -> DataFrame:
     ensure_checkpoint_dir(spark)
-    rows = _cuts(spark, d).checkpoint()  # used to fit and to judge
-    return tail.scored_tail(rows, _maps(spark, d, rows), _moments(spark, d), CELL, SCALING)
+    rows = _cuts(spark, d, cuts).checkpoint()  # used to fit and to judge
+    return tail.scored_tail(rows, _maps(rows), _terms(spark, d), CELL).checkpoint()
 
 
 @query()
 def ridge_map(spark: SparkSession, d: str) -> DataFrame:
     """Weight, bias and scale of the ridge map of every cell and cut."""
-    return _maps(spark, d, _cuts(spark, d))
+    ensure_checkpoint_dir(spark)
+    return _maps(_cuts(spark, d).checkpoint())
+
+
+def _stats(scored: DataFrame) -> DataFrame:
+    rows = tail.true_tail(scored)
+    return tail.cut_statistics(rows.withColumn("err", tail.with_alpha(rows, F.lit(1.0))), HEAD)
 
 
 @query()
 def cut_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out statistics of every head and cut, with and without the tail."""
-    rows = tail.true_tail(_scored(spark, d).where("not train"))
-    e, n = tail.with_alpha(rows, F.lit(1.0)), F.col("none_err")
-    left = F.col("d") - F.col("dt")
-    return rows.withColumn("err", e).groupBy("layer", "kv_head", "cut").agg(
-        F.avg("err").alias("err_mean"), F.percentile("err", 0.9).alias("err_p90"), F.avg(n).alias("none_mean"), F.avg((F.col("err") > n).cast("double")).alias("worse"),
-        F.avg(left / F.col("d")).alias("phi"), F.percentile(F.col("z") / left, 0.5).alias("mass_ratio"), F.percentile(vec.cosine(F.col("uh"), F.col("u")), 0.5).alias("cos_median"), (F.avg("err") / F.avg(n)).alias("ratio"),
-    )
+    """The twelve held-out statistics of every head and cut, with and without the tail."""
+    return _stats(_scored(spark, d).where("uh is not null"))
 
 
-@query()
-def alpha_fit(spark: SparkSession, d: str) -> DataFrame:
-    """The mass factor of each head at the kept number of keys, fitted on the training half."""
-    return tail.fit_alpha(_scored(spark, d).where("train").where(F.col("cut") == KEEP), ["layer", "kv_head"])
+def _built(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The record of every head, and its rows at the kept number of keys with the stand-in of its fitted cut.
 
+    The chain: statistics of all cuts, the smallest cut of the ladder within EPS, its shift, the cut of the map (at least the
+    kept number of keys), and the mass factor of the training half at what retrieval keeps.
+    """
+    scored = _scored(spark, d, BUILD_CUTS)
+    stats = _stats(scored.where("uh is not null")).checkpoint()
+    chosen = tail.choose_cut(stats.where(F.col("cut").isin(CUTS)), HEAD, "err_mean", EPS)
+    keys = scored.groupBy(*HEAD).agg(F.min("n_keys").alias("n_keys"))
+    final = parse.shift_cut(F.col("cut"), F.lit(SHIFT), F.col("n_keys"))
+    heads = chosen.join(keys, HEAD).select(*HEAD, "n_keys", F.col("cut").alias("cut_detected"), F.col("reached").alias("eps_met"), final.alias("cut"), F.greatest(final, F.lit(KEEP)).alias("wanted"))
+    # A final cut that was pushed below the number of keys takes the deepest map at or below it.
+    there = stats.select(*HEAD, F.col("cut").alias("has"))
+    fit = heads.join(there, HEAD).where(F.col("has") <= F.col("wanted")).groupBy(*HEAD).agg(F.max("has").alias("fit_cut"))
+    heads = heads.drop("wanted").join(fit, HEAD, "left")
+    kept = scored.where(F.col("cut") == KEEP).drop("uh", "pred", "scale")
+    maps = scored.join(fit, HEAD).where(F.col("cut") == F.col("fit_cut")).select("q_row", "uh", "pred", "scale")
+    rows = kept.join(maps, "q_row", "left")
+    alpha = tail.fit_alpha(rows.where("train and uh is not null"), HEAD).select(*HEAD, "alpha")
+    return heads.join(alpha, HEAD, "left"), rows.join(alpha, HEAD, "left")
 
-def _fitted(spark: SparkSession, d: str) -> DataFrame:
-    """Scored rows at the kept number of keys with alpha, the mass factor that the training half gives their head."""
-    rows = _scored(spark, d).where(F.col("cut") == KEEP)
-    return rows.join(tail.fit_alpha(rows.where("train"), ["layer", "kv_head"]).select("layer", "kv_head", "alpha"), ["layer", "kv_head"])
+
+@query()
+def alpha_fit(spark: SparkSession, d: str) -> DataFrame:
+    """The mass factor of each head at the kept number of keys, fitted on the training half, with its cuts."""
+    return _built(spark, d)[0]
 
 
 @query()
 def runtime_stats(spark: SparkSession, d: str) -> DataFrame:
     """Held-out errors of each head at the fitted mass factor and at 1, and against the kept keys alone."""
-    rows = _fitted(spark, d).where("not train")
+    rows = _built(spark, d)[1].where("not train and uh is not null")
     rows = rows.withColumn("err", tail.with_alpha(rows, F.col("alpha"))).withColumn("err_one", tail.with_alpha(rows, F.lit(1.0)))
-    stats = [F.first("alpha").alias("alpha"), F.count("*").alias("rows_")]
+    stats = [F.first("alpha").alias("alpha"), F.count("*").alias("rows_"), F.avg("none_err").alias("none_mean")]
     for e, end in (("err", ""), ("err_one", "_one")):
         stats += [F.avg(e).alias(f"err_mean{end}"), F.percentile(e, 0.9).alias(f"err_p90{end}")]
         stats += [c.alias(f"{n}{end}") for c, n in zip(tail.ratio_stats(F.col(e), F.col("none_err")), ("worse", "ratio_med", "ratio_p99", "ratio_max"))]
-    return rows.groupBy("layer", "kv_head").agg(*stats)
+    return rows.groupBy(*HEAD).agg(*stats)
 
 
-@query()
-def tail_apply(spark: SparkSession, d: str) -> DataFrame:
-    """Retrieval with its tail (mass times the fitted factor) and the live part merged, against the same without a tail."""
-    rows = _fitted(spark, d).withColumn("z", F.col("z") * F.col("alpha"))
-    out = tail.combine(F.col("nt"), F.col("dt"), F.col("uh"), F.col("z"))
-    lse = F.col("m") + F.log(F.col("dt") + F.col("z"))
-    part = rows.select("q_row", lse.alias("lse"), out.alias("out"))
-    kept = rows.select("q_row", (F.col("m") + F.log("dt")).alias("lse"), vec.scale(F.col("nt"), 1 / F.col("dt")).alias("out"))
-    live = _live_out(spark, d)
-    whole = search.merge_partitions(part, live, ["q_row"]).select("q_row", "lse", "out")
-    plain = search.merge_partitions(kept, live, ["q_row"]).select("q_row", F.col("lse").alias("plain_lse"), F.col("out").alias("plain_out"))
-    return whole.join(plain, "q_row")
+def _validated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The gate of every head by its decode errors, the rows at the kept number of keys, and the live part."""
+    _, rows = _built(spark, d)
+    rows, live = rows.checkpoint(), _live_out(spark, d).checkpoint()
+    full = search.merge_partitions(rows.select("q_row", (F.col("m") + F.log("d")).alias("lse"), F.col("exact").alias("out")), live, ["q_row"]).select("q_row", F.col("out").alias("exact"))
+    with_tail = tail.apply(rows.withColumn("active", F.lit(True)), live).select("q_row", "out")
+    without = tail.apply(rows.withColumn("active", F.lit(False)), live).select("q_row", F.col("out").alias("plain"))
+    both = rows.where("uh is not null").select("q_row", *HEAD).join(with_tail, "q_row").join(without, "q_row").join(full, "q_row")
+    both = both.select(*HEAD, vec.rel_err(F.col("out"), F.col("exact")).alias("err"), vec.rel_err(F.col("plain"), F.col("exact")).alias("none"))
+    stats = both.groupBy(*HEAD).agg(F.count("*").alias("rows_"), F.avg("err").alias("err_mean"), F.avg("none").alias("none_mean"), *tail.ratio_stats(F.col("err"), F.col("none")), F.lit(None).cast("boolean").alias("sanity_pass"))
+    return tail.gate(stats, WORSE_TOL, P99_TOL), rows, live
 
 
 @query()
@@ -224,11 +254,30 @@ def decode_validation(spark: SparkSession, d: str) -> DataFrame:
 
     sanity_pass is null: the tables hold no recorded output to compare with, so the gate leaves it out.
     """
-    full = search.merge_partitions(_full_out(spark, d), _live_out(spark, d), ["q_row"]).select("q_row", F.col("out").alias("exact"))
-    rows = tail_apply(spark, d).join(full, "q_row").join(views.queries(spark, d).select("q_row", "layer", "kv_head"), "q_row")
-    rows = rows.select("layer", "kv_head", vec.rel_err(F.col("out"), F.col("exact")).alias("err"), vec.rel_err(F.col("plain_out"), F.col("exact")).alias("none"))
-    stats = rows.groupBy("layer", "kv_head").agg(F.count("*").alias("rows_"), F.avg("err").alias("err_mean"), F.avg("none").alias("none_mean"), *tail.ratio_stats(F.col("err"), F.col("none")), F.lit(None).cast("boolean").alias("sanity_pass"))
-    return tail.gate(stats, 0.1, 1.5)
+    return _validated(spark, d)[0]
+
+
+@query()
+def tail_apply(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieval merged with the live part: heads whose gate passed with their tail (mass times the fitted factor), others untouched."""
+    gates, rows, live = _validated(spark, d)
+    active = gates.select(*HEAD, F.col("gate_pass").alias("active"))
+    rows = rows.join(active, HEAD, "left").withColumn("active", F.coalesce("active", F.lit(False)))
+    flags = rows.select("q_row", "active")
+    return tail.apply(rows, live).join(flags, "q_row", "left").select("q_row", "lse", "out", F.coalesce("active", F.lit(False)).alias("active"))
+
+
+@query(f"""WITH {BASE}, mo AS (SELECT q_row, any_value(layer) AS layer, ln(count(*)) + avg(logit) + var_pop(logit) / 2 AS lnz FROM lg GROUP BY q_row), av AS (SELECT cache_id, layer, kv_head, i, avg(value[i + 1]) AS u FROM keys, i8 GROUP BY cache_id, layer, kv_head, i),
+  t AS (SELECT s.q_row, i, m, dt, nt, u, CASE WHEN s.layer % 2 = 0 THEN 0.5 * exp(lnz - m) ELSE 0 END AS z FROM s JOIN mo USING (q_row) JOIN av ON av.cache_id = s.cache_id AND av.layer = s.layer AND av.kv_head = s.kv_head AND av.i = s.i WHERE cut = {KEEP})
+  SELECT q_row, CAST(i AS INTEGER) AS i, round(m + ln(dt + z), 6) + 0.0 AS lse, round((nt + z * u) / (dt + z), 6) + 0.0 AS out FROM t""".replace("s.q_row, i, m", "s.q_row, s.i AS i, m"))
+def tail_apply_given(spark: SparkSession, d: str) -> DataFrame:
+    """Tails of given values (the mean of the cell, half of its mass) on the heads of even layers; the others pass through."""
+    sums = _scan(spark, d, [KEEP]).join(views.queries(spark, d).select("q_row", *CELL), "q_row").join(_terms(spark, d), "q_row")
+    av = views.keys(spark, d).groupBy(*CELL).agg(F.array(*[F.avg(F.col("value")[i]) for i in range(VALUE_DIM)]).alias("uh"))
+    z = F.exp(tail.mass_base(F.col("mu"), F.col("var"), F.col("n_keys")) - F.col("m"))
+    rows = sums.join(av, CELL).withColumn("z", z).withColumn("alpha", F.lit(0.5)).withColumn("active", F.col("layer") % 2 == 0)
+    none = rows.select("q_row", F.col("m").alias("lse"), F.col("exact").alias("out")).where("false")
+    return tail.apply(rows, none).select("q_row", _r("lse").alias("lse"), F.posexplode("out").alias("i", "out")).withColumn("out", _r("out"))
 
 
 @query(f"""WITH {BASE}, r AS (SELECT layer, kv_head, count(*) AS n, sum(err) AS total, sum(CASE WHEN err > 1 THEN 1 ELSE 0 END) AS worse FROM e WHERE cut = 16 GROUP BY layer, kv_head)
@@ -240,24 +289,32 @@ def check_rollup(spark: SparkSession, d: str) -> DataFrame:
     return head.rollup("layer").agg(F.sum("n").alias("n"), _r(F.sum("total"), 5).alias("total"), F.sum("worse").alias("worse"), F.max_by("kv_head", F.col("total") / F.col("n")).alias("worst_head"))
 
 
-CURVE_CUTS = [1, 2, 4, 8, 16, 32, 64]
+#: Numbers of keys of the error curve, evenly spaced in their logarithm; a cell takes those up to its number of keys.
+CURVE_CUTS = vec.log_spaced(4097, 30)
 
 
-@query(f"""WITH {SCORED}, lg AS (SELECT *, exp(score * {SCALING} - max(score * {SCALING}) OVER (PARTITION BY q_row)) AS e, row_number() OVER (PARTITION BY q_row ORDER BY score DESC, pos) AS top, row_number() OVER (PARTITION BY q_row ORDER BY md5(CAST(pos AS VARCHAR)), pos) AS rnd FROM scored),
+@query(f"""WITH {SCORED}, lg AS (SELECT *, exp(score * {SCALING} - max(score * {SCALING}) OVER (PARTITION BY q_row)) AS e, row_number() OVER (PARTITION BY q_row ORDER BY score DESC, pos) AS top, row_number() OVER (PARTITION BY q_row ORDER BY md5(CAST(pos AS VARCHAR)), pos) AS rnd, count(*) OVER (PARTITION BY q_row) AS n FROM scored),
   ks AS (SELECT unnest({CURVE_CUTS}) AS k), i8 AS (SELECT unnest(range({VALUE_DIM})) AS i),
-  s AS (SELECT q_row, layer, k, i, sum(e * value[i + 1]) / sum(e) AS f, sum(CASE WHEN top <= k THEN e * value[i + 1] ELSE 0 END) / sum(CASE WHEN top <= k THEN e ELSE 0 END) AS t, sum(CASE WHEN rnd <= k THEN e * value[i + 1] ELSE 0 END) / sum(CASE WHEN rnd <= k THEN e ELSE 0 END) AS r FROM lg, ks, i8 GROUP BY ALL)
+  s AS (SELECT q_row, layer, k, i, sum(e * value[i + 1]) / sum(e) AS f, sum(CASE WHEN top <= k THEN e * value[i + 1] ELSE 0 END) / sum(CASE WHEN top <= k THEN e ELSE 0 END) AS t, sum(CASE WHEN rnd <= k THEN e * value[i + 1] ELSE 0 END) / sum(CASE WHEN rnd <= k THEN e ELSE 0 END) AS r FROM lg, ks, i8 WHERE k <= n GROUP BY ALL)
   SELECT layer, CAST(k AS INTEGER) AS k, round(avg(pow(f - t, 2)), 6) + 0.0 AS mse, round(avg(pow(f - r, 2)), 6) + 0.0 AS mse_random FROM s GROUP BY layer, k""")
 def topk_mse_curve(spark: SparkSession, d: str) -> DataFrame:
     """Error of attention over the k best keys against all keys, and over k keys chosen by a hash, by layer and k."""
     q, kv = views.queries(spark, d), views.keys(spark, d)
-    full = _full_out(spark, d).select("q_row", F.col("out").alias("exact"))
-    some = search.sample_centroids(kv, CELL, CURVE_CUTS[-1]).select(*CELL, (F.col("cid") + 1).alias("rank"), F.col("centroid").alias("key"))
-    rnd = q.join(some, CELL).select("q_row", "rank", (vec.dot(F.col("q"), F.col("key")) * SCALING).alias("logit"), F.slice("key", VALUE_DIM + 1, VALUE_DIM).alias("value"))
+    diff = vec.sub(vec.scale(F.col("nt"), 1 / F.col("dt")), F.col("exact"))
     err = None
-    for name, rows in (("mse", _gathered(spark, d, CURVE_CUTS[-1])), ("mse_random", rnd)):
-        s = tail.cut_sums(rows.select("q_row", "rank", "logit", "value"), CURVE_CUTS, VALUE_DIM).join(full, "q_row")
-        diff = vec.sub(vec.scale(F.col("nt"), 1 / F.col("dt")), F.col("exact"))
+    for name, by_hash in (("mse", False), ("mse_random", True)):
+        s = tail.cut_scan(q, kv, CELL, CURVE_CUTS, SCALING, VALUE_DIM, by_hash=by_hash)
         e = s.select("q_row", F.col("cut").alias("k"), (vec.dot(diff, diff) / VALUE_DIM).alias(name))
         err = e if err is None else err.join(e, ["q_row", "k"])
     both = err.join(q.select("q_row", "layer"), "q_row")
     return both.groupBy("layer", "k").agg(_r(F.avg("mse")).alias("mse"), _r(F.avg("mse_random")).alias("mse_random"))
+
+
+@query(f"""WITH {KEYS}, n AS (SELECT layer, kv_head, count(*) AS n_keys FROM keys GROUP BY ALL), c AS (SELECT layer, kv_head, n_keys, unnest([8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096]) AS c FROM n),
+  e AS (SELECT layer, kv_head, c FROM c UNION SELECT layer, kv_head, CAST(least(greatest(c + round(c * 0.1), 1), n_keys - 1) AS BIGINT) FROM c UNION SELECT layer, kv_head, {KEEP} FROM n)
+  SELECT layer, kv_head, array_to_string(list_sort(list(c)), ',') AS cuts FROM e GROUP BY layer, kv_head""")
+def eval_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """Every cut that a head's build evaluates: the ladder, its shifted cuts, and what retrieval keeps."""
+    n = views.keys(spark, d).groupBy(*HEAD).agg(F.count("*").alias("n_keys"))
+    cuts = parse.eval_cuts(parse.ladder(F.lit(8), F.lit(4096)), F.lit(SHIFT), F.col("n_keys"), F.lit(KEEP))
+    return n.select(*HEAD, F.array_join(cuts.cast("array<string>"), ",").alias("cuts"))
