@@ -7,9 +7,12 @@ cached from the first step at which it qualifies. That step is an aggregate, so
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecloom.operators.search import by_blocks, matrix
 from vecloom.sources import ensure_checkpoint_dir
 
 #: Steps in a block of a running sum or a sliding window.
@@ -189,26 +192,54 @@ def meanfield(rows: DataFrame, group: int, heads: list[int], dim: int, width: in
     return q.groupBy("h").agg((F.sum(dropped) / n).alias("dropped"), (F.sum(error("")) / n).alias("in_step"), (F.sum(error("run_")) / n).alias("causal"), (F.sum(error("win_")) / n).alias("window"))
 
 
+def _nearest_cached(open_: DataFrame, cache: DataFrame, v: list[str], k: list[str]) -> DataFrame:
+    """h, shard, pos, step, sub: the values of the cached position nearest to each open one, of those cached by its step."""
+    cell = ["h", "layer", "heads"]  # the search has a column shard of its own
+    open_, cache = (x.withColumnRenamed("shard", "heads") for x in (open_, cache))
+    fields = [f"{c} {open_.schema[c].dataType.simpleString()}" for c in [*cell, "pos", "step"]]
+    q = open_.select(*cell, F.struct("pos", "step").alias("q_row"), F.array(*k, F.col("step").cast("double")).alias("q"))
+    kv = cache.select(*[F.col(c).alias(c) for c in cell], "pos", F.array(*[f"c{c}" for c in k], F.col("since").cast("double")).alias("key"), F.array(*[f"c{c}" for c in v]).alias("value"))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        n = a.num_rows
+        sub, dist, near = np.zeros((n, len(v))), np.full(n, np.inf), np.zeros(n, np.int64)
+        if n and b.num_rows:
+            order = np.argsort(b.column("pos").to_numpy())
+            x, y, pos, value = matrix(a.column("q")), matrix(b.column("key"))[order], b.column("pos").to_numpy()[order], matrix(b.column("value"))[order]
+            size = max(1, 2_000_000 // len(pos))
+            for i in range(0, n, size):
+                part = x[i : i + size]
+                d = sum((part[:, j, None] - y[None, :, j]) ** 2 for j in range(len(k)))
+                d = np.where(y[None, :, -1] <= part[:, -1, None], d, np.inf)
+                at = d.argmin(1)
+                sub[i : i + size], near[i : i + size], dist[i : i + size] = value[at], pos[at], d[np.arange(len(part)), at]
+        of = a.column("q_row").combine_chunks()
+        of = of.combine_chunks() if isinstance(of, pa.ChunkedArray) else of
+        cols = [a.column(c) for c in cell] + [of.field("pos"), of.field("step"), pa.array(dist), pa.array(near), pa.array(list(sub), pa.list_(pa.float64()))]
+        return pa.table(cols, [*cell, "pos", "step", "dist", "near", "sub"])
+
+    found = by_blocks(q, kv, cell, run, ", ".join(fields) + ", dist double, near bigint, sub array<double>")
+    # The nearest of all shards; a position with none cached yet has none.
+    best = found.where(F.col("dist") < float("inf")).groupBy(*cell, "pos", "step").agg(F.min_by("sub", F.struct("dist", "near")).alias("s"))
+    return best.select("h", "layer", F.col("heads").alias("shard"), "pos", "step", F.struct(*[F.col("s")[i].alias(c) for i, c in enumerate(v)]).alias("sub"))
+
+
 def cached_reuse(rows: DataFrame, group: int, heads: list[int], dim: int, asked: Column) -> DataFrame:
     """h, download, mse_drop, mse_mean, mse_cached: the h heaviest positions of a step join the shard's cache.
 
     Cached positions are used exactly. The others are dropped, replaced by their mean, or each by the value
-    of the cached position with the nearest key (ties: the smaller position). Errors are over the stated
-    steps (asked), against the whole cache; download relates the cache to all distinct positions.
-    rows have values v0.. and keys k0..
+    of the cached position with the nearest key (ties: the smaller position). Dropping and means are judged over
+    all steps, the nearest over the stated ones (asked), which are searched against the whole cache in blocks;
+    download relates the cache to all distinct positions. rows have values v0.. and keys k0..
     """
     v, k = _dims("v", dim), _dims("k", dim)
     rows = sharded(weighted(rows), group)
     every = rows.withColumn("h", F.explode(F.array(*[F.lit(h) for h in heads])))
     cache = every.where(F.col("rank") <= F.col("h")).groupBy("h", *SHARD, "pos").agg(F.min("step").alias("since"), *[F.first(c).alias(f"c{c}") for c in v + k])
-    use = every.where(asked).join(cache.select("h", *SHARD, "pos", "since"), ["h", *SHARD, "pos"], "left")
-    use = use.withColumn("cached", F.coalesce(F.col("since") <= F.col("step"), F.lit(False))).drop("since")
-    open_ = use.where(~F.col("cached")).select("h", *SHARD, "pos", "step", *k).distinct()
-    near = open_.join(cache.withColumnRenamed("pos", "cpos"), ["h", *SHARD]).where(F.col("since") <= F.col("step"))
-    # Partial aggregation keeps one candidate per task and open position; scalar columns stay in generated code.
-    dist = _sse([(F.col(c), F.col(f"c{c}")) for c in k])
-    near = near.groupBy("h", *SHARD, "pos", "step").agg(F.min_by(F.struct(*[F.col(f"c{c}").alias(c) for c in v]), F.struct(dist, "cpos")).alias("sub"))
-    use = use.join(near, ["h", *SHARD, "pos", "step"], "left")
+    use = every.join(cache.select("h", *SHARD, "pos", "since"), ["h", *SHARD, "pos"], "left")
+    use = use.withColumn("cached", F.coalesce(F.col("since") <= F.col("step"), F.lit(False))).drop("since").withColumn("asked", asked)
+    open_ = use.where(F.col("asked") & ~F.col("cached")).groupBy("h", *SHARD, "pos", "step").agg(*[F.first(c).alias(c) for c in k])
+    use = use.join(_nearest_cached(open_, cache, v, k), ["h", *SHARD, "pos", "step"], "left")
     q = use.groupBy("h", "layer", "q_head", "step").agg(
         F.sum(F.when(F.col("cached"), F.col("w")).otherwise(0.0)).alias("mass"), F.sum(F.when(F.col("cached"), 0).otherwise(1)).alias("n_open"),
         F.sum(F.when(F.col("cached"), 0.0).otherwise(F.col("w"))).alias("w_open"),
@@ -221,7 +252,8 @@ def cached_reuse(rows: DataFrame, group: int, heads: list[int], dim: int, asked:
     mean = _sse([(F.col(f"full_{c}"), F.col(f"kept_{c}") + F.col("w_open") * F.col(f"open_{c}") / F.greatest("n_open", F.lit(1))) for c in v])
     cached = _sse([(F.col(f"full_{c}"), F.col(f"sub_{c}")) for c in v])
     n = F.count("*") * dim
-    errors = q.groupBy("h").agg((F.sum(drop) / n).alias("mse_drop"), (F.sum(mean) / n).alias("mse_mean"), (F.sum(cached) / n).alias("mse_cached"))
+    stated = F.count(F.when(asked, 1)) * dim
+    errors = q.groupBy("h").agg((F.sum(drop) / n).alias("mse_drop"), (F.sum(mean) / n).alias("mse_mean"), (F.sum(F.when(asked, cached)) / stated).alias("mse_cached"))
     distinct = rows.select(*SHARD, "pos").distinct().agg(F.count("*").alias("n_all"))
     size = cache.groupBy("h").agg(F.count("*").alias("n"))
     return size.join(F.broadcast(distinct)).join(errors, "h", "left").select("h", (F.col("n") / F.col("n_all")).alias("download"), "mse_drop", "mse_mean", "mse_cached")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions import vec
+from vecloom.sources import partitions_for
 
 SHARD_ROWS, BLOCK_ROWS = 32_768, 4096
 
@@ -39,7 +40,7 @@ def by_blocks(queries: DataFrame, keys: DataFrame, cell: list[str], run: Callabl
     kv = keys.join(size, cell).select(*cell, "pos", "key", "value", part("pos", "shards").alias("shard"), upto("blocks").alias("block"))
     qs = queries.join(size, cell).select(*cell, "q_row", "q", part("q_row", "blocks").alias("block"), upto("shards").alias("shard"))
     by = [*cell, "shard", "block"]
-    parts = 2 * max(1, queries.sparkSession.sparkContext.defaultParallelism)
+    parts = partitions_for(queries, keys)
     return qs.repartition(parts, *by).groupBy(*by).cogroup(kv.repartition(parts, *by).groupBy(*by)).applyInArrow(run, schema)
 
 
@@ -65,6 +66,51 @@ def exact_top_k(queries: DataFrame, keys: DataFrame, cell: list[str], k: int, **
     return top_k(near, ["q_row"], k)
 
 
+def chunked_top_k(queries: DataFrame, keys: DataFrame, cell: list[str], chunk: int, k: int, **sizes: int) -> DataFrame:
+    """q_row, rank, pos, score: the k best of every chunk of positions, merged; each chunk is cut where it is scored."""
+
+    def run(q: pa.Table, x: pa.Table) -> pa.Table:
+        pos, ids = x.column("pos").to_numpy(), q.column("q_row").to_numpy()
+        rows, cols, best = [], [], []
+        if len(pos) and len(ids):
+            order = np.argsort(pos)
+            pos = pos[order]
+            s = matrix(q.column("q")) @ matrix(x.column("key"))[order].T
+            for own in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(pos // chunk)) + 1):
+                n = min(k, len(own))
+                at = np.argsort(-s[:, own], axis=1, kind="stable")[:, :n]
+                rows.append(np.repeat(ids, n))
+                cols.append(pos[own][at].ravel())
+                best.append(np.take_along_axis(s[:, own], at, 1).ravel())
+        join = lambda v, t: pa.array(np.concatenate(v).astype(t) if v else np.zeros(0, t))
+        return pa.table({"q_row": join(rows, np.int64), "pos": join(cols, np.int64), "score": join(best, np.float64)})
+
+    found = by_blocks(queries, keys, cell, run, "q_row bigint, pos bigint, score double", **sizes)
+    merged = top_k(found.withColumn("chunk", F.floor(F.col("pos") / chunk)), ["q_row", "chunk"], k).drop("rank")
+    return top_k(merged, ["q_row"], k)
+
+
+def retriever(kind: str, k: int = 16, nprobe: int = 8, lists: int = 16, centroids: DataFrame | None = None, assigned: DataFrame | None = None) -> Callable[[DataFrame, DataFrame, list[str]], DataFrame]:
+    """A function of (queries, keys, cell) that returns q_row, rank, pos, score, chosen by name.
+
+    "exact": the k best of all keys; "full": all keys in order; "ivf": the k best in the nprobe nearest of the inverted lists
+    (of the given centroids and assignment, else of `lists` sampled ones). Any other name is refused.
+    """
+    if kind == "exact":
+        return lambda q, kv, cell: exact_top_k(q, kv, cell, k)
+    if kind == "full":
+        rank = F.row_number().over(Window.partitionBy("q_row").orderBy(F.desc("score"), "pos"))
+        return lambda q, kv, cell: scores(q, kv, cell).select("q_row", rank.alias("rank"), "pos", "score")
+    if kind == "ivf":
+
+        def search_lists(q: DataFrame, kv: DataFrame, cell: list[str]) -> DataFrame:
+            cents = centroids if centroids is not None else sample_centroids(kv, cell, lists)
+            return ivf_top_k(q, assigned if assigned is not None else nearest_centroid(kv, cents, cell), cents, cell, k, nprobe)
+
+        return search_lists
+    raise ValueError(f"no retriever is called {kind!r}: exact, full or ivf")
+
+
 def top_k(scored: DataFrame, by: list[str], k: int, score: str = "score", pos: str = "pos") -> DataFrame:
     """by, rank, pos, score: the k largest scores of each group, ties by rising position."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), pos))
@@ -82,14 +128,24 @@ def scores(queries: DataFrame, keys: DataFrame, cell: list[str], **sizes: int) -
     return by_blocks(queries, keys, cell, run, "q_row bigint, pos bigint, score double", **sizes)
 
 
-def softmax_states(queries: DataFrame, keys: DataFrame, cell: list[str], scaling: float, **sizes: int) -> DataFrame:
-    """q_row, m, d, n of each shard: the largest logit, the sum of e^(logit - m), and the values summed with those weights."""
+def softmax_states(queries: DataFrame, keys: DataFrame, cell: list[str], scaling: float, causal: bool = False, **sizes: int) -> DataFrame:
+    """q_row, m, d, n of each shard: the largest logit, the sum of e^(logit - m), and the values summed with those weights.
+
+    causal: the last number of a query and of a key is its time; keys later than the query don't count, and a query
+    that sees no key of a shard has no row for it.
+    """
 
     def run(q: pa.Table, x: pa.Table) -> pa.Table:
         ids = q.column("q_row").to_numpy()
         if not (x.num_rows and len(ids)):
             return pa.table({"q_row": pa.array([], pa.int64()), "m": pa.array([], pa.float64()), "d": pa.array([], pa.float64()), "n": pa.array([], pa.list_(pa.float64()))})
-        s = matrix(q.column("q")) @ matrix(x.column("key")).T * scaling
+        a, b = matrix(q.column("q")), matrix(x.column("key"))
+        if causal:
+            s = np.where(b[None, :, -1] <= a[:, None, -1], a[:, :-1] @ b[:, :-1].T * scaling, -np.inf)
+            seen = np.isfinite(s).any(1)
+            s, ids = s[seen], ids[seen]
+        else:
+            s = a @ b.T * scaling
         m = s.max(1)
         w = np.exp(s - m[:, None])
         return pa.table({"q_row": pa.array(ids), "m": pa.array(m), "d": pa.array(w.sum(1)), "n": pa.array(list(w @ matrix(x.column("value"))), pa.list_(pa.float64()))})
@@ -206,7 +262,8 @@ def ivf_top_k(queries: DataFrame, assigned: DataFrame, cents: DataFrame, cell: l
     return exact_top_k(asked, assigned, [*cell, "cid"], k)
 
 
-def recall(found: DataFrame, exact: DataFrame, by: list[str]) -> DataFrame:
-    """by, recall: the share of a group's exact positions that were found. Groups without an exact row are absent: their recall is 1."""
+def recall(found: DataFrame, exact: DataFrame, by: list[str], groups: DataFrame | None = None) -> DataFrame:
+    """by, recall: the share of a group's exact positions that were found. Of the stated groups those without an exact row have 1."""
     hit = exact.select(*by, "pos").join(found.select(*by, "pos", F.lit(1).alias("hit")).distinct(), [*by, "pos"], "left")
-    return hit.groupBy(*by).agg((F.count("hit") / F.count("*")).alias("recall"))
+    out = hit.groupBy(*by).agg((F.count("hit") / F.count("*")).alias("recall"))
+    return out if groups is None else groups.select(*by).distinct().join(out, by, "left").withColumn("recall", F.coalesce("recall", F.lit(1.0)))

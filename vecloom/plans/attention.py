@@ -38,16 +38,17 @@ def _full_out(spark: SparkSession, d: str) -> DataFrame:
     return search.full_attention(views.queries(spark, d), views.keys(spark, d), CELL, SCALING, VALUE_DIM)
 
 
-def _live_scored(spark: SparkSession, d: str) -> DataFrame:
-    """Each query against the live keys of its session and KV head up to its own step, of the same query head."""
-    q, kv = views.queries(spark, d), views.live_rows(spark, d)
-    kv = kv.select("session_id", "layer", "kv_head", "q_head", F.col("step").alias("live_step"), "key", "value")
-    both = q.join(kv, ["session_id", "layer", "kv_head", "q_head"]).where(F.col("live_step") <= F.col("step"))
-    return both.select("q_row", "layer", "live_step", (vec.dot(F.col("q"), F.col("key")) * SCALING).alias("logit"), "value")
+def _live_states(spark: SparkSession, d: str) -> DataFrame:
+    """Softmax states of each query over the live keys of its session and head up to its own step, in blocks."""
+    cell = ["session_id", "layer", "kv_head", "q_head"]
+    timed = lambda v, step: F.concat(v, F.array(F.col(step).cast("double")))
+    q = views.queries(spark, d).withColumn("q", timed("q", "step"))
+    kv = views.live_rows(spark, d).withColumn("key", timed("key", "step")).withColumnRenamed("q_row", "pos")
+    return search.softmax_states(q, kv, cell, SCALING, causal=True)
 
 
 def _live_out(spark: SparkSession, d: str) -> DataFrame:
-    return search.attend(_live_scored(spark, d), ["q_row"], VALUE_DIM)
+    return search.merge_states(_live_states(spark, d), ["q_row"], VALUE_DIM)
 
 
 LIVE_SCORED = f"""{QS}, {LIVE}, lived AS (SELECT q_row, qs.layer, live_step, list_inner_product(q, key) * {SCALING} AS logit, value FROM qs JOIN live USING (session_id, layer, kv_head, q_head) WHERE live_step <= step)"""
@@ -74,9 +75,7 @@ def topk_boundary(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {TOP} SELECT q_row, CAST(rank AS INTEGER) AS rank, pos FROM topk")
 def topk_chunk_merge(spark: SparkSession, d: str) -> DataFrame:
     """The best of chunks of 64 positions, merged."""
-    all_ = search.scores(views.queries(spark, d), views.keys(spark, d), CELL).withColumn("chunk", F.floor(F.col("pos") / 64))
-    part = search.top_k(all_, ["q_row", "chunk"], K).drop("rank")
-    return search.top_k(part, ["q_row"], K).select("q_row", "rank", "pos")
+    return search.chunked_top_k(views.queries(spark, d), views.keys(spark, d), CELL, 64, K).select("q_row", "rank", "pos")
 
 
 @query(f"WITH {TOP}, {_attend_sql('topk', f'score * {SCALING}', 'att')} {OUT}, round(boundary, 6) + 0.0 AS boundary FROM att")
@@ -155,25 +154,36 @@ IVF = f"""{SCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY q_row O
 @query(f"""WITH {IVF}, top AS (SELECT r.q_row, r.score, r.rank, p.probe FROM ranked r JOIN a USING (cache_id, layer, kv_head, pos) JOIN probes p ON p.q_row = r.q_row AND p.cid = a.cid WHERE rank <= 16)
   SELECT CAST(nprobe AS INTEGER) AS nprobe, round(avg(hit), 6) + 0.0 AS recall FROM (SELECT q_row, nprobe, avg(CASE WHEN probe <= nprobe THEN 1.0 ELSE 0.0 END) AS hit FROM top, np GROUP BY q_row, nprobe) GROUP BY nprobe""")
 def ivf_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Recall of the 16 best keys by the number of inverted lists searched; with all lists it is 1."""
+    """Recall of the 16 best keys by the number of inverted lists searched; with all lists it is 1.
+
+    A best key is found if its list is searched, as none of the keys beside it can be better: one ranking of the lists
+    answers for every number of them. ivf_search runs such a search itself.
+    """
+    top = _top_with_probe(spark, d).withColumn("nprobe", F.explode(F.array(*[F.lit(n) for n in (1, 2, 4, 8, 16)])))
+    per = top.groupBy("q_row", "nprobe").agg(F.avg((F.col("probe") <= F.col("nprobe")).cast("double")).alias("recall"))
+    return per.groupBy("nprobe").agg(_r(F.avg("recall")).alias("recall"))
+
+
+def _top_with_probe(spark: SparkSession, d: str) -> DataFrame:
+    """The top k with the place of their list in the order in which their query would search the lists."""
     kv, q = views.keys(spark, d), views.queries(spark, d)
     cents = search.sample_centroids(kv, CELL, 16)
-    assigned, exact = search.nearest_centroid(kv, cents, CELL), _top(spark, d)
-    out = None
-    for n in (1, 2, 4, 8, 16):
-        r = search.recall(search.ivf_top_k(q, assigned, cents, CELL, K, n), exact, ["q_row"]).select(F.lit(n).alias("nprobe"), "recall")
-        out = r if out is None else out.unionByName(r)
-    return out.groupBy("nprobe").agg(_r(F.avg("recall")).alias("recall"))
+    top = _top(spark, d).join(q.select("q_row", *CELL), "q_row").join(search.nearest_centroid(kv, cents, CELL).select(*CELL, "pos", "cid"), [*CELL, "pos"])
+    return top.join(search.probe(q, cents, CELL), ["q_row", "cid"])
+
+
+@query(f"""WITH {IVF}, f AS (SELECT r.q_row, r.pos, row_number() OVER (PARTITION BY r.q_row ORDER BY r.score DESC, r.pos) AS rank FROM ranked r JOIN a USING (cache_id, layer, kv_head, pos) JOIN probes p ON p.q_row = r.q_row AND p.cid = a.cid WHERE p.probe <= 4)
+  SELECT q_row, CAST(rank AS INTEGER) AS rank, pos FROM f WHERE rank <= 16""")
+def ivf_search(spark: SparkSession, d: str) -> DataFrame:
+    """The 16 best keys in the four nearest of 16 inverted lists."""
+    return search.retriever("ivf", K, 4)(views.queries(spark, d), views.keys(spark, d), CELL).select("q_row", "rank", "pos")
 
 
 @query(f"""WITH {IVF}, top AS (SELECT r.q_row, r.layer, p.probe, exp(score * {SCALING} - max(score * {SCALING}) OVER (PARTITION BY r.q_row)) AS e FROM ranked r JOIN a USING (cache_id, layer, kv_head, pos) JOIN probes p ON p.q_row = r.q_row AND p.cid = a.cid WHERE rank <= 16)
   SELECT layer, CAST(nprobe AS INTEGER) AS nprobe, round(avg(share), 6) + 0.0 AS weight FROM (SELECT q_row, layer, nprobe, sum(CASE WHEN probe <= nprobe THEN e ELSE 0 END) / sum(e) AS share FROM top, np GROUP BY ALL) GROUP BY layer, nprobe""")
 def nprobe_recall_weight(spark: SparkSession, d: str) -> DataFrame:
     """Softmax weight of the 16 best keys whose cluster is among the nprobe nearest by inner product."""
-    kv, q = views.keys(spark, d), views.queries(spark, d)
-    cents = search.sample_centroids(kv, CELL, 16)
-    top = _top(spark, d).join(q.select("q_row", *CELL), "q_row").join(search.nearest_centroid(kv, cents, CELL).select(*CELL, "pos", "cid"), [*CELL, "pos"])
-    top = top.join(search.probe(q, cents, CELL), ["q_row", "cid"])
+    top = _top_with_probe(spark, d)
     s = F.col("score") * SCALING
     e = top.withColumn("e", F.exp(s - F.max(s).over(Window.partitionBy("q_row"))))
     e = e.withColumn("nprobe", F.explode(F.array(*[F.lit(n) for n in (1, 2, 4, 8, 16)])))
@@ -265,7 +275,7 @@ def proxy_recall(spark: SparkSession, d: str) -> DataFrame:
   SELECT layer, count(*) AS rows_, round(avg(live_top - top), 6) + 0.0 AS gap FROM (SELECT q_row, layer, max(score) * {SCALING} AS top FROM topk GROUP BY ALL) JOIN lv USING (q_row) GROUP BY layer""")
 def live_vs_retrieved(spark: SparkSession, d: str) -> DataFrame:
     """By how much the best live logit exceeds the best retrieved one, averaged by layer."""
-    live = _live_scored(spark, d).groupBy("q_row", "layer").agg(F.max("logit").alias("live_top"))
+    live = _live_states(spark, d).groupBy("q_row").agg(F.max("m").alias("live_top")).join(views.queries(spark, d).select("q_row", "layer"), "q_row")
     top = _top(spark, d, 1).select("q_row", (F.col("score") * SCALING).alias("top"))
     return live.join(top, "q_row").groupBy("layer").agg(F.count("*").alias("rows_"), _r(F.avg(F.col("live_top") - F.col("top"))).alias("gap"))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -61,12 +64,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Leave the cluster's shared checkpoint folder alone; set one only where none is named (tests, laptops)."""
+    """Leave the cluster's shared checkpoint folder alone; set one of this machine only in local mode (tests, laptops).
+
+    A cluster that names no folder is refused: one of the driver's own would be out of the executors' sight.
+    """
     sc = spark.sparkContext
     if sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
         return
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="vecloom-checkpoint-"))
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        folder = tempfile.mkdtemp(prefix="vecloom-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
+
+
+#: Bytes of stored input for one task of a shuffle whose work is heavier than its data, and the most tasks.
+TASK_BYTES, MOST_TASKS = 64 << 20, 100_000
+
+
+def partitions_for(*frames: DataFrame) -> int:
+    """Tasks for work on these frames: by the stored size of what they read, two per core at least.
+
+    The sizes are those that the optimizer knows of the tables; nothing is run.
+    """
+    size = 0
+    for df in frames:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        for i in range(leaves.size()):
+            known = int(str(leaves.apply(i).stats().sizeInBytes()))
+            size += known if known < 1 << 60 else 0  # a source without statistics
+    cores = max(1, frames[0].sparkSession.sparkContext.defaultParallelism)
+    return int(min(MOST_TASKS, max(2 * cores, -(-size // TASK_BYTES))))
 
 
 def scan_partitions(df: DataFrame) -> int:

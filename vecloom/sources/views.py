@@ -21,12 +21,12 @@ def usable(v: Column, dim: int = KEY_DIM) -> Column:
 
 
 def keys(spark: SparkSession, d: str) -> DataFrame:
-    """cell, pos, key, value: every usable key once, however often it was stored.
+    """cell, pos, key, value: every usable key once, however often it was stored (if with several vectors, the least).
 
     The kv table holds keys only; the value of a position is the second eight numbers of its key.
     """
     kv = table(spark, d, "kv").where(usable(F.col("key_vec")) & F.col("pos").isNotNull())
-    once = kv.groupBy(*CELL, "pos").agg(F.first("key_vec").alias("k"))
+    once = kv.groupBy(*CELL, "pos").agg(F.min("key_vec").alias("k"))
     key = F.col("k").cast("array<double>")
     return once.select(*CELL, "pos", key.alias("key"), F.slice(key, VALUE_DIM + 1, VALUE_DIM).alias("value"))
 
