@@ -152,3 +152,71 @@ def test_fitted_mass_factor_is_applied(spark, medium_data):
     for k, (m, dt, z, alpha, active) in part.items():
         lse = m + math.log(dt + (alpha * z if active and z is not None else 0))
         assert got[k] == pytest.approx(np.logaddexp(lse, lived[k]) if k in lived else lse)
+
+
+def test_needles_are_where_the_layout_says(spark):
+    df = spark.createDataFrame([(1, 300, 0.0, "77"), (2, 300, 0.99, "1234567"), (3, 40, 1.0, "x"), (4, 300, None, "y"), (5, 900, 0.5, "ü")], "idx int, bucket int, depth double, label string")
+    filler = "All is calm. "
+    for n in (1, 3):
+        rows = corpus.needles_in_filler(df, "idx", "bucket", "depth", "label", n, filler, "Number of %s: %s.", "Which number has %s?")
+        for r in rows.withColumn("text", corpus.needle_text(filler)).collect():
+            want = r.needles[r.target]
+            assert len(r.needles) == n and r.target == min(int((r.depth or 0) * n), n - 1) and want.value == r.label and want.key in r.question
+            assert len(r.text) == r.chars and r.text[r.offset :].startswith(f"Number of {want.key}: {r.label}.") and r.text.count("Number of") == n
+    assert corpus.needles_in_filler(df.where("false"), "idx", "bucket", "depth", "label", 2, filler, "%s %s", "%s").count() == 0
+
+
+def test_anchors_of_any_text(spark):
+    docs = spark.createDataFrame([("a", "the old mill, the old mill", 1), ("a", "no", 2), ("b", "see the old mill here", 3), ("b", None, 4), (None, "oak the old mill", 5), ("b", "xoldmillx", 6)], "tier string, text string, n int")
+    needles = spark.createDataFrame([(1, "the old mill"), (2, "e old m"), (3, "oak"), (4, ""), (5, None), (6, "absent thing"), (1, "the old mill"), (7, "old mill h")], "id int, anchor string")
+    got = {(r.id, r.tier): (r.n, r.offset) for r in corpus.anchor_offsets(needles, "id", "anchor", docs, "tier", "text").collect()}
+    assert got == {(1, "a"): (2, None), (1, "b"): (1, 4), (1, None): (1, 4), (2, "a"): (2, None), (2, "b"): (1, 6), (2, None): (1, 6), (3, None): (1, 0), (7, "b"): (1, 8)}
+
+
+def test_files_of_a_corpus(spark):
+    rows = [("lib/a/src/x.rs", True), ("lib/a/tests/x.rs", False), ("tests.rs", True), ("lib/a/x.txt", False), ("lib/api/made.rs", False), ("a/stop/x.rs", False), (None, False)]
+    df = spark.createDataFrame(rows, "rel string, want boolean")
+    for r in df.select("want", corpus.included(F.col("rel"), ".rs", ["tests"], ["made.rs"], ["/stop/"]).alias("got")).collect():
+        assert r.got == r.want
+    labels = spark.createDataFrame([("lib/a", 0), ("lib/a/b", 0), ("lib/ab", 1), ("lib", 1), ("src", 2), (None, 2)], "s string, want int")
+    assert all(r.got == r.want for r in labels.select("want", corpus.group_rank(F.col("s"), ["lib/a", "lib"]).alias("got")).collect())
+
+
+def test_choices_that_find_nothing_are_refused(spark, tmp_path):
+    from vecloom.functions import parse
+
+    rows = spark.createDataFrame([(3, 0, "s1"), (3, 1, "s2"), (3, 1, None)], "layer int, kv_head int, session_id string")
+    assert parse.cells(["L3H0", " l15h2 "]) == [(3, 0), (15, 2)]
+    assert status.select_cells(rows, [(3, 1)]).count() == 2 and status.select_cells(rows, [(3, 1), (9, 9)], strict=False).count() == 2
+    assert status.recorded_sessions(rows, "session_id").count() == 3 and status.recorded_sessions(rows, "session_id", ["s1"]).count() == 1
+    for bad in (lambda: parse.cells(["L3"]), lambda: status.select_cells(rows, [(9, 9)]), lambda: status.select_cells(rows, []), lambda: status.recorded_sessions(rows, "session_id", ["s1", "zz"]), lambda: search.retriever("best")):
+        with pytest.raises(ValueError):
+            bad()
+    assert stores.load_envelopes(spark, f"{tmp_path}/none").count() == 0
+    docs = status.envelope(rows.select("layer", "kv_head"), "x", {}, F.col("layer").cast("string"))
+    stores.save_envelopes(docs, f"{tmp_path}/env")
+    assert status.read_envelope(stores.load_envelopes(spark, f"{tmp_path}/env"), "kv_head: int").count() == 3
+    chunked = stores.upload_chunks(spark.range(10).withColumn("k", 9 - F.col("id")), ["k"], 4)
+    assert sorted((r.k, r.chunk) for r in chunked.collect()) == [(i, i // 4) for i in range(10)]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from vecloom.sources import ensure_checkpoint_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    empty = SimpleNamespace(isEmpty=lambda: True)
+    sc = SimpleNamespace(getConf=lambda: conf, master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: empty)))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+
+
+def test_retrievers_by_name(spark):
+    kv, q, _, _ = scan_rows(spark)
+    exact = sorted(map(tuple, search.retriever("exact", 5)(q, kv, ["c"]).collect()))
+    assert exact == sorted(map(tuple, search.retriever("ivf", 5, 99, 4)(q, kv, ["c"]).collect()))
+    full = search.retriever("full")(q, kv, ["c"])
+    assert sorted(map(tuple, full.where("rank <= 5").collect())) == exact and full.count() > len(exact)
+    none = search.recall(kv.select(F.lit(1).alias("g"), "pos").where("false"), kv.select(F.lit(1).alias("g"), "pos").where("false"), ["g"], spark.createDataFrame([(1,)], "g int"))
+    assert [tuple(r) for r in none.collect()] == [(1, 1.0)]

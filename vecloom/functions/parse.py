@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +54,17 @@ def parse_cell(s: Column) -> Column:
     return F.when(t.rlike(pat), F.struct(F.regexp_extract(t, pat, 1).cast("int").alias("layer"), F.regexp_extract(t, pat, 2).cast("int").alias("kv_head")))
 
 
+def cells(names: list[str]) -> list[tuple[int, int]]:
+    """Names such as 'L15H3' to (layer, kv_head); a name that is no cell is an error."""
+    out = []
+    for name in names:
+        m = re.fullmatch(r"[lL](\d+)[hH](\d+)", name.strip())
+        if not m:
+            raise ValueError(f"{name!r} is no cell: L<layer>H<head>")
+        out.append((int(m[1]), int(m[2])))
+    return out
+
+
 def shift_cut(cut: Column, shift: Column, n_keys: Column) -> Column:
     """cut moved by a shift such as '2000', '-16' or '10%', kept within 1 and n_keys - 1.
 

@@ -58,3 +58,8 @@ def token_f1(g: Column, r: Column) -> Column:
 def rouge_l(g: Column, r: Column) -> Column:
     """F1 of the longest common subsequence of words."""
     return f1(lcs_length(g, r).cast("double"), F.size(g), F.size(r))
+
+
+def content_parts(content: Column) -> Column:
+    """A message's text as a list of one typed part; null stays null."""
+    return F.when(content.isNotNull(), F.array(F.struct(F.lit("text").alias("type"), content.alias("text"))))

@@ -91,3 +91,34 @@ def read_envelope(docs: DataFrame, result_schema: str) -> DataFrame:
     """The rows of envelopes, with analysis and size; a document of another shape gives none."""
     schema = f"analysis string, params map<string,string>, size string, results array<struct<{result_schema}>>"
     return docs.select(F.from_json("json", schema).alias("e")).select("e.analysis", "e.size", F.explode("e.results").alias("r")).select("analysis", "size", "r.*")
+
+
+def in_order(rows: DataFrame, size: str, order: list[str]) -> DataFrame:
+    """rows whose size is in the order, with place, where it stands there (from 1)."""
+    at = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(size)).cast("int")
+    return rows.withColumn("place", at).where("place > 0")
+
+
+def select_cells(rows: DataFrame, cells: list[tuple[int, int]], strict: bool = True) -> DataFrame:
+    """rows (layer, kv_head) of the cells. A cell without a row is an error, unless strict is False; so is an empty choice."""
+    if not cells:
+        raise ValueError("no cell is chosen")
+    wanted = rows.sparkSession.createDataFrame(cells, "layer int, kv_head int")
+    if strict:
+        absent = [tuple(r) for r in wanted.join(rows.select("layer", "kv_head").distinct(), ["layer", "kv_head"], "left_anti").limit(5).collect()]
+        if absent:
+            raise ValueError(f"nothing is stored of {absent}")
+    return rows.join(wanted, ["layer", "kv_head"], "left_semi")
+
+
+def recorded_sessions(rows: DataFrame, session: str, wanted: list[str] | None = None) -> DataFrame:
+    """The rows of the wanted sessions, of all if none is named. A wanted session without a row is an error."""
+    if wanted is None:
+        return rows
+    if not wanted:
+        raise ValueError("no session is chosen")
+    some = rows.where(F.col(session).isin(wanted))
+    absent = sorted(set(wanted) - {r[0] for r in some.select(session).distinct().collect()})  # at most the wanted ones
+    if absent:
+        raise ValueError(f"nothing was recorded of {absent}")
+    return some

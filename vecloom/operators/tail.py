@@ -331,3 +331,14 @@ def status(cells: DataFrame, heads: DataFrame, by: list[str], n_retrieved: int)
         .when(F.col("n_retrieved") != n_retrieved, F.format_string("n_retrieved %d is not %d", "n_retrieved", F.lit(n_retrieved)))
     )
     return both.select(*by, why.isNull().alias("active"), why.alias("reason"))
+
+
+def layer_summary(rows: DataFrame, measure: str) -> DataFrame:
+    """layer, heads, active, keys_active, keys_off, off: of rows with layer, kv_head, active and a number of each head.
+
+    The means are null where no head is counted in them; off names the heads that are off, by rising number.
+    """
+    on = F.coalesce("active", F.lit(False))
+    off = F.sort_array(F.collect_list(F.when(~on, F.col("kv_head"))))  # heads of one layer, some tens
+    out = rows.groupBy("layer").agg(F.count("*").alias("heads"), F.count(F.when(on, 1)).alias("active"), F.avg(F.when(on, F.col(measure))).alias("keys_active"), F.avg(F.when(~on, F.col(measure))).alias("keys_off"), off.alias("o"))
+    return out.withColumn("off", F.array_join(F.transform("o", lambda h: F.format_string("L%dH%d", F.col("layer"), h)), " ")).drop("o")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import parse
 from vecloom.operators import status, tail
-from vecloom.plans.registry import KEYS, query
-from vecloom.sources import table, views
+from vecloom.plans import tail as tail_plans
+from vecloom.plans.registry import KEYS, SQL, query
+from vecloom.sources import stores, table, views
 
 CELL2 = ["layer", "kv_head"]
 
@@ -24,12 +25,15 @@ def session_identity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _heads(spark: SparkSession, d: str) -> DataFrame:
-    """One record per head that has stored keys; its numbers decide its gate, for want of fitted files."""
+    """One record per head that has stored keys, with the gate that its errors give it; a head without queries isn't validated."""
     n = views.keys(spark, d).groupBy(*CELL2).agg(F.count("*").alias("n_keys"))
-    return n.select(*CELL2, "n_keys", (F.col("n_keys") % 2 == 0).alias("gate_pass"), (F.col("n_keys") % 3 != 0).alias("validated"), F.when(F.col("layer") == 3, 16).otherwise(32).alias("n_retrieved"), F.when(F.col("n_keys") % 5 < 3, "worse 20.0% > 10%").otherwise("").alias("reason"))
+    gates = tail_plans.worse_gate(spark, d).withColumn("validated", F.lit(True))
+    both = n.join(gates, CELL2, "left")
+    false = F.lit(False)
+    return both.select(*CELL2, "n_keys", F.coalesce("gate_pass", false).alias("gate_pass"), F.coalesce("validated", false).alias("validated"), F.when(F.col("kv_head") < 3, tail_plans.KEEP).otherwise(32).alias("n_retrieved"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
-HEADS = f"{KEYS}, heads AS (SELECT layer, kv_head, n_keys, n_keys % 2 = 0 AS gate_pass, n_keys % 3 <> 0 AS validated, CASE WHEN layer = 3 THEN 16 ELSE 32 END AS n_retrieved, CASE WHEN n_keys % 5 < 3 THEN 'worse 20.0% > 10%' ELSE '' END AS reason FROM (SELECT layer, kv_head, count(*) AS n_keys FROM keys GROUP BY ALL)), cells AS (SELECT DISTINCT layer, kv_head FROM scan_hits)"
+HEADS = f"{KEYS}, gates AS ({SQL['worse_gate']}), heads AS (SELECT n.layer, n.kv_head, n_keys, coalesce(gate_pass, FALSE) AS gate_pass, g.layer IS NOT NULL AS validated, CASE WHEN n.kv_head < 3 THEN {tail_plans.KEEP} ELSE 32 END AS n_retrieved, coalesce(reason, '') AS reason FROM (SELECT layer, kv_head, count(*) AS n_keys FROM keys GROUP BY ALL) n LEFT JOIN gates g ON g.layer = n.layer AND g.kv_head = n.kv_head), cells AS (SELECT DISTINCT layer, kv_head FROM scan_hits)"
 
 
 @query(f"WITH {HEADS} SELECT layer, kv_head, n_keys, n_keys IS NULL AS missing FROM cells LEFT JOIN heads USING (layer, kv_head) UNION ALL SELECT layer, kv_head, n_keys, NULL FROM heads ANTI JOIN cells USING (layer, kv_head)")
@@ -49,6 +53,15 @@ def head_status(spark: SparkSession, d: str) -> DataFrame:
     return tail.status(table(spark, d, "scan_hits").select(*CELL2).distinct(), _heads(spark, d), CELL2, 16)
 
 
+@query(f"""WITH {STATUS} SELECT layer, count(*) AS heads, count(*) FILTER (WHERE st.reason IS NULL) AS active, round(avg(CASE WHEN st.reason IS NULL THEN n_keys END), 4) AS keys_active, round(avg(CASE WHEN st.reason IS NOT NULL THEN n_keys END), 4) AS keys_off,
+  coalesce(string_agg(CASE WHEN st.reason IS NOT NULL THEN 'L' || layer || 'H' || kv_head END, ' ' ORDER BY kv_head), '') AS off FROM st LEFT JOIN (SELECT layer, kv_head, n_keys FROM heads) h USING (layer, kv_head) GROUP BY layer""")
+def head_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Each layer's heads: how many there are and are active, their keys on average, and the names of those that are off."""
+    rows = head_status(spark, d).join(_heads(spark, d).select(*CELL2, "n_keys"), CELL2, "left")
+    out = tail.layer_summary(rows, "n_keys")
+    return out.withColumns({c: F.round(c, 4) for c in ("keys_active", "keys_off")})
+
+
 @query(f"WITH {STATUS} SELECT coalesce(reason, 'active') AS reason, count(*) AS n FROM st GROUP BY 1")
 def reason_counts(spark: SparkSession, d: str) -> DataFrame:
     return head_status(spark, d).groupBy(F.coalesce("reason", F.lit("active")).alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"))
@@ -122,8 +135,15 @@ def timers(spark: SparkSession, d: str) -> DataFrame:
 def envelope_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Results written as JSON envelopes, one per layer, and read again."""
     rows = table(spark, d, "scan_hits").groupBy("layer", "kv_head").agg(F.count("*").alias("n"), F.countDistinct("top_ix").alias("positions"))
-    docs = status.envelope(rows.select("layer", "kv_head", "n", "positions"), "hits", {"kept": "all"}, F.col("layer").cast("string"))
-    return status.read_envelope(docs, "kv_head: int, n: bigint, positions: bigint")
+    at = stores.scratch(spark)
+    stores.save_envelopes(status.envelope(rows.select("layer", "kv_head", "n", "positions"), "hits", {"kept": "all"}, F.col("layer").cast("string")), at)
+    return status.read_envelope(stores.load_envelopes(spark, at), "kv_head: int, n: bigint, positions: bigint")
+
+
+@query("""SELECT tier, capacity_tokens, CAST(list_position(['2k', '4k', '16k', '8k'], tier) AS INTEGER) AS place FROM tiers WHERE list_contains(['2k', '4k', '16k', '8k'], tier)""")
+def size_order(spark: SparkSession, d: str) -> DataFrame:
+    """The tiers in a fixed order; sizes that it doesn't name are left out."""
+    return status.in_order(table(spark, d, "tiers").select("tier", "capacity_tokens"), "tier", ["2k", "4k", "16k", "8k"])
 
 
 @query("""SELECT session_id, TRY_CAST(regexp_extract(session_id, '([0-9]+)$', 1) AS BIGINT) AS number, count(*) AS rows_, count(DISTINCT step) AS steps, s.session_id IS NOT NULL AND m.meta IS NOT NULL AS has_meta
@@ -139,7 +159,7 @@ def session_files(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH q AS (SELECT DISTINCT cache_id, layer, kv_head, q_head FROM decode_rows WHERE regexp_matches(printf('L%dH%d', layer, kv_head), '^L(3|15)H[0-9]+$'))
   SELECT cache_id, layer, kv_head, count(*) AS heads FROM q GROUP BY ALL""")
 def cell_selection(spark: SparkSession, d: str) -> DataFrame:
-    """Query heads of chosen cells; names that are no cell select nothing."""
-    wanted = spark.createDataFrame([("L3H0",), ("l3h1",), ("L15H0",), ("nonsense",)], "name string").select(parse.parse_cell(F.col("name")).alias("c")).where("c is not null").select("c.*")
-    rows = table(spark, d, "decode_rows").select(*views.CELL, "q_head").distinct().join(wanted, CELL2, "left_semi")
-    return rows.groupBy(*views.CELL).agg(F.count("*").alias("heads"))
+    """Query heads of chosen cells: some by name, the others all pairs of layers and heads. Cells that hold nothing select nothing."""
+    wanted = parse.cells(["L3H0", "l3h1"]) + [(15, h) for h in range(64)] + [(3, h) for h in range(2, 64)]
+    rows = table(spark, d, "decode_rows").select(*views.CELL, "q_head").distinct()
+    return status.select_cells(rows, sorted(set(wanted)), strict=False).groupBy(*views.CELL).agg(F.count("*").alias("heads"))

@@ -166,20 +166,84 @@ def code_signatures(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "source", corpus.signatures_udf("text").alias("signatures"))
 
 
-# The filler and the sentence of a needle. A token counts as four characters here.
+# The filler, the sentence of a needle and its question. A token counts as four characters here.
 FILLER = "The grass is green. The sky is blue. The sun is yellow. Here we go. There and back again. "
-NEEDLE = "The special magic number for {} is: {}."
+NEEDLE = "The special magic number for %s is: %s."
+QUESTION = "What is the special magic number for %s? Answer with just the number."
+N_KEYS = 4
 
 
-@query(f"""WITH e AS (SELECT DISTINCT bucket, idx, label, depth FROM eval_examples WHERE lang = 'niah' AND label IS NOT NULL), n AS (SELECT *, length('The special magic number for ' || idx || ' is: ' || label || '.') AS needle FROM e),
-  r AS (SELECT *, greatest((bucket - needle // 4) // 2 // {len(FILLER) // 4}, 1) AS reps FROM n)
-  SELECT bucket, idx, label, CAST(reps AS BIGINT) AS reps, CAST(reps * {len(FILLER)} AS BIGINT) AS "offset", CAST(2 * reps * {len(FILLER)} + needle + 1 AS BIGINT) AS chars FROM r""")
-def niah_layout(spark: SparkSession, d: str) -> DataFrame:
-    """Where the needle of each single-needle example stands in its filler, and how long the haystack is."""
+def niah_examples(spark: SparkSession, d: str, n_keys: int) -> DataFrame:
     e = table(spark, d, "eval_examples").where((F.col("lang") == "niah") & F.col("label").isNotNull()).select("bucket", "idx", "label", "depth").distinct()
-    needle = F.length(F.format_string(NEEDLE.replace("{}", "%s"), F.col("idx").cast("string"), "label"))
-    reps = F.greatest(F.floor(F.floor((F.col("bucket") - F.floor(needle / 4)) / 2) / (len(FILLER) // 4)), F.lit(1)).cast("bigint")
-    return e.select("bucket", "idx", "label", reps.alias("reps"), (reps * len(FILLER)).alias("offset"), (2 * reps * len(FILLER) + needle + 1).cast("bigint").alias("chars"))
+    return corpus.needles_in_filler(e, "idx", "bucket", "depth", "label", n_keys, FILLER, NEEDLE, QUESTION)
+
+
+_KEY_SQL = "concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32])"
+
+
+@query(f"""WITH e AS (SELECT DISTINCT bucket, idx, label, depth FROM eval_examples WHERE lang = 'niah' AND label IS NOT NULL), k AS (SELECT unnest([1, {N_KEYS}]) AS n_keys),
+  x AS (SELECT e.*, n_keys, least(CAST(floor(coalesce(depth, 0) * n_keys) AS INTEGER), n_keys - 1) AS target, {len(NEEDLE) - 4} + 36 AS frame FROM e, k),
+  l AS (SELECT *, frame + 7 AS other, frame + length(label) AS own FROM x), t AS (SELECT *, (n_keys - 1) * other + own AS total FROM l),
+  r AS (SELECT *, greatest((bucket - total // 4) // (n_keys + 1) // {len(FILLER) // 4}, 1) AS reps FROM t), q AS (SELECT *, md5(idx || '-' || target) AS h FROM r)
+  SELECT bucket, idx, CAST(n_keys AS INTEGER) AS n_keys, target, label, {_KEY_SQL} AS key, CAST(reps AS BIGINT) AS reps, CAST(reps * {len(FILLER)} * (target + 1) + target * (other + 1) AS BIGINT) AS "offset", CAST(reps * {len(FILLER)} * (n_keys + 1) + total + n_keys AS BIGINT) AS chars FROM q""")
+def niah_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Where the asked needle stands in its filler, by depth among one or several needles, and how long the haystack is."""
+    out = None
+    for n in (1, N_KEYS):
+        e = niah_examples(spark, d, n).select("bucket", "idx", F.lit(n).alias("n_keys"), "target", "label", F.col("needles")[F.col("target")]["key"].alias("key"), "reps", "offset", "chars")
+        out = e if out is None else out.unionByName(e)
+    return out
+
+
+_WORDS_SQL = corpus.WORDS.replace("\\", "\\")
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, greatest(coalesce(n_chars, 1), 1) AS s, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents WHERE text IS NOT NULL),
+  g AS (SELECT word, arg_min(doc_id, (h, doc_id)) AS gold FROM (SELECT DISTINCT doc_id, h, unnest(regexp_extract_all(text, '{corpus.WORDS}')) AS word FROM d) GROUP BY word),
+  r AS (SELECT *, sum(s) OVER (ORDER BY h, doc_id) - s AS begin_, sum(s) OVER () AS total FROM d),
+  a AS (SELECT DISTINCT bucket, idx, label, coalesce(depth, 0) AS depth FROM eval_examples WHERE lang = 'qa' AND length(label) > 0),
+  x AS (SELECT a.*, gold, CAST('0x' || left(md5(bucket || '-' || idx), 12) AS BIGINT) % CAST((SELECT any_value(total) FROM r) AS BIGINT) AS start FROM a JOIN g ON g.word = a.label),
+  n AS (SELECT x.*, r.doc_id, r.s, (CAST(begin_ AS BIGINT) - start + CAST(total AS BIGINT)) % CAST(total AS BIGINT) AS ahead FROM x, r WHERE r.doc_id <> gold AND NOT contains(r.text, label) AND (CAST(begin_ AS BIGINT) - start + CAST(total AS BIGINT)) % CAST(total AS BIGINT) < {2 * BUDGET}),
+  u AS (SELECT *, sum(s) OVER (PARTITION BY bucket, idx ORDER BY ahead, doc_id) AS used FROM n), t AS (SELECT bucket, idx, count(*) AS k, max(used) AS used FROM u WHERE used - s < {BUDGET} GROUP BY ALL)
+  SELECT x.bucket, x.idx, gold, coalesce(k, 0) AS distractors, CAST(coalesce(used, 0) AS BIGINT) AS used, CAST(floor(depth * coalesce(k, 0)) AS BIGINT) AS place FROM x LEFT JOIN t USING (bucket, idx)""")
+def qa_haystacks(spark: SparkSession, d: str) -> DataFrame:
+    """Questions with a document that holds the answer among others that don't, up to a budget of characters."""
+    e = table(spark, d, "eval_examples").where(F.col("lang") == "qa")
+    return corpus.gold_haystacks(e, ["bucket", "idx"], "label", "depth", table(spark, d, "documents"), "doc_id", "text", "n_chars", BUDGET)
+
+
+@query("""WITH w AS (SELECT DISTINCT doc_id, left(text, 40) AS a FROM documents WHERE starts_with(source, 'needle/') AND length(text) >= 40),
+  m AS (SELECT w.doc_id, d.source AS tier, (length(d.text) - length(replace(d.text, a, ''))) // length(a) AS n, instr(d.text, a) - 1 AS spot FROM w JOIN documents d ON contains(d.text, a))
+  SELECT doc_id, tier, CAST(sum(n) AS BIGINT) AS n, CASE WHEN sum(n) = 1 THEN CAST(min(spot) AS BIGINT) END AS "offset" FROM m GROUP BY doc_id, tier""")
+def needle_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """The first 40 characters of every needle text in the texts of every source."""
+    docs = table(spark, d, "documents")
+    needles = docs.where(F.col("source").startswith("needle/") & (F.length("text") >= 40)).select("doc_id", F.left("text", F.lit(40)).alias("anchor"))
+    return corpus.anchor_offsets(needles, "doc_id", "anchor", docs, "source", "text")
+
+
+#: Groups in the order in which a corpus takes them, folders that it skips, endings and parts of machine-made files.
+PRIORITY = ["lib/vellum", "lib/hasp", "lib/quorra", "lib/segmenta", "lib"]
+SKIPPED, MADE_ENDINGS, MADE_PARTS = ["tests", "benches", "examples", "target", ".git"], ["_7.rs", ".gen.rs"], ["/ledger_1"]
+
+
+@query(f"""WITH f AS (SELECT source, doc_id, rel FROM documents WHERE coalesce(ends_with(rel, '.rs') AND NOT list_has_any(string_split(rel, '/')[1:len(string_split(rel, '/')) - 1], {SKIPPED}) AND NOT ends_with(rel, '_7.rs') AND NOT ends_with(rel, '.gen.rs') AND NOT contains(rel, '/ledger_1'), FALSE)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_order_sql()}) AS turn, {'CASE ' + ' '.join(f"WHEN source = '{p}' OR starts_with(source, '{p}/') THEN {i}" for i, p in enumerate(PRIORITY)) + f' ELSE {len(PRIORITY)} END'} AS group_rank FROM f)
+  SELECT source, doc_id, turn, CAST(coalesce(group_rank, {len(PRIORITY)}) AS INTEGER) AS group_rank, row_number() OVER (ORDER BY turn, group_rank, source NULLS FIRST, doc_id) AS place FROM r""")
+def corpus_files(spark: SparkSession, d: str) -> DataFrame:
+    """The source files of a corpus in its order: every group's first file before any second one, groups by their priority."""
+    docs = table(spark, d, "documents").where(corpus.included(F.col("rel"), ".rs", SKIPPED, MADE_ENDINGS, MADE_PARTS)).select("source", "doc_id", "rel")
+    turns = corpus.round_robin(docs, "source", "rel", "doc_id").withColumn("group_rank", corpus.group_rank(F.col("source"), PRIORITY))
+    placed = corpus.ranked(turns.select("source", "doc_id", "turn", "group_rank"), [], [F.col("turn"), F.col("group_rank"), F.col("source"), F.col("doc_id")], "place")
+    return placed.select("source", "doc_id", "turn", "group_rank", "place")
+
+
+@query("""SELECT doc_id, 'user' AS role, 1 AS parts, 'text' AS kind, length(text) AS chars FROM documents WHERE starts_with(source, 'chat/') AND text IS NOT NULL""")
+def message_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Chats as messages whose content is a list of typed parts."""
+    docs = table(spark, d, "documents").where(F.col("source").startswith("chat/") & F.col("text").isNotNull())
+    m = docs.select("doc_id", F.lit("user").alias("role"), tx.content_parts(F.col("text")).alias("content"))
+    return m.select("doc_id", "role", F.size("content").alias("parts"), F.col("content")[0]["type"].alias("kind"), F.length(F.col("content")[0]["text"]).cast("bigint").alias("chars"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE text IS NOT NULL AND starts_with(source, 'chat/'))

@@ -68,6 +68,19 @@ def export_active(heads: DataFrame, path: str) -> None:
     heads.where(F.coalesce("gate_pass", F.lit(False))).write.mode("overwrite").partitionBy("layer").json(path)
 
 
+def save_envelopes(docs: DataFrame, path: str) -> None:
+    """Documents (size, json) as text, one folder per size."""
+    docs.select("size", "json").write.mode("overwrite").partitionBy("size").text(path)
+
+
+def load_envelopes(spark: SparkSession, path: str) -> DataFrame:
+    """json of stored documents; a folder that isn't there has none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "json string")
+    return spark.read.text(path, recursiveFileLookup=True).select(F.col("value").alias("json"))
+
+
 def read_context(spark: SparkSession, path: str) -> DataFrame:
     """path, text: whole files, one row each."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
@@ -79,6 +92,14 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("value").alias("prompt"), F.when(F.col("value").startswith("/"), "control").otherwise("prompt").alias("kind"))
 
 
-def upload_chunks(rows: DataFrame, order: str, size: int) -> DataFrame:
-    """rows with chunk, the number of the upload they go with: order is a dense number from 0."""
-    return rows.withColumn("chunk", F.floor(F.col(order) / size).cast("bigint"))
+def upload_chunks(rows: DataFrame, order: list[str], size: int) -> DataFrame:
+    """rows with chunk, the number of the upload they go with, `size` rows each in the given order, from 0.
+
+    Rows are numbered without one task seeing all of them; equal ones in any order. size must be at least 1.
+    """
+    from vecloom.operators.corpus import ranked
+
+    if size < 1:
+        raise ValueError("a chunk holds at least one row")
+    numbered = ranked(rows, [], [F.col(c) for c in order], "_place")
+    return numbered.withColumn("chunk", F.floor((F.col("_place") - 1) / size).cast("bigint")).drop("_place")
