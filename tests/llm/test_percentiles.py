@@ -58,3 +58,10 @@ def test_nothing(spark):
     assert P.percentiles(P.sketch(df, ["g"], ["x"]), ["g"], PS).count() == 0
     with pytest.raises(ValueError):
         P.percentiles(P.sketch(df, ["g"], ["x"]), ["g"], [1.5])
+
+
+def test_the_least_value_is_a_parameter(spark):
+    df = spark.createDataFrame([(1e-12,), (1e-12,), (5.0,)], "x double")
+    for least, want in ((P.LEAST, 0.0), (1e-15, 1e-12)):
+        got = P.percentiles(P.sketch(df, [], ["x"], least=least), [], [0.5]).first().value
+        assert abs(got - want) <= 0.01 * want

@@ -30,10 +30,10 @@ def _shift() -> int:
     return 1_000_000
 
 
-def bucket_of(x: Column, alpha: float = ALPHA) -> Column:
+def bucket_of(x: Column, alpha: float = ALPHA, least: float = LEAST) -> Column:
     """Signed bucket number; buckets sort as the values do. 0 is the zero bucket."""
     k = F.ceil(F.log(F.abs(x)) / F.lit(math.log(_gamma(alpha)))).cast("int") + _shift()
-    return F.when(F.abs(x) < LEAST, F.lit(0)).when(x > 0, k).otherwise(-k)
+    return F.when(F.abs(x) < least, F.lit(0)).when(x > 0, k).otherwise(-k)
 
 
 def value_of(bucket: Column, alpha: float = ALPHA) -> Column:
@@ -43,19 +43,19 @@ def value_of(bucket: Column, alpha: float = ALPHA) -> Column:
     return F.when(bucket == 0, F.lit(0.0)).when(bucket > 0, size).otherwise(-size)
 
 
-def sketch(df: DataFrame, keys: list[str], columns: list[str], alpha: float = ALPHA) -> DataFrame:
+def sketch(df: DataFrame, keys: list[str], columns: list[str], alpha: float = ALPHA, least: float = LEAST) -> DataFrame:
     """keys, column, bucket, count: the counts of the finite values of each column.
 
     Null, NaN and infinite values aren't counted; negative values are, in the buckets below zero. A null in
     a key is a key of its own. The counts are summed before the shuffle, so a hot key costs no more than its
-    buckets in each task.
+    buckets in each task. Values nearer to zero than `least` count as zero: there the relative bound doesn't hold.
     """
     one = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns]))
     x = F.col("v.x")
     return (
         df.select(*keys, one.alias("v"))
         .where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-        .groupBy(*keys, F.col("v.column").alias("column"), bucket_of(x, alpha).alias("bucket"))
+        .groupBy(*keys, F.col("v.column").alias("column"), bucket_of(x, alpha, least).alias("bucket"))
         .agg(F.count("*").alias("count"))
     )
 
