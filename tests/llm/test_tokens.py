@@ -120,6 +120,18 @@ def test_rows(spark):
     assert tokens.token_ids(df, "doc_id", "text").dtypes == [("doc_id", "bigint"), ("ids", "array<int>")]
 
 
+def test_the_vocabulary_is_sent(spark, tmp_path):
+    """Tasks read the file that was sent where its own path doesn't exist on their machine."""
+    import shutil
+
+    at = tmp_path / "own_vocabulary.tiktoken"
+    shutil.copy(PATH, at)
+    df = spark.createDataFrame([(1, "Hello world")], "doc_id bigint, text string")
+    lazy = tokens.token_ids(df, "doc_id", "text", str(tmp_path), "own_vocabulary")
+    at.rename(tmp_path / "moved")
+    assert lazy.first().ids == ids("Hello world")
+
+
 def test_round_trip(spark, medium):
     from vecloom.llm import queries
     from vecloom.sources import table

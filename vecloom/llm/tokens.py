@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.sources import spread
 
-#: Where the vocabulary files lie, the same on every machine of the cluster; a parameter everywhere.
+#: Where the vocabulary files lie on the driver's machine; a parameter everywhere. Executors that lack them are sent them.
 FOLDER = "/opt/tokenizers"
 #: Fixed value: the published pattern that splits a text into pieces before byte-level BPE.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -133,9 +135,25 @@ class PrefixTable:
         return out[::-1]
 
 
+def _send(spark: SparkSession, path: str) -> None:
+    """Send a vocabulary file to the executors, once per application; executors that start later get it too."""
+    sc = spark.sparkContext
+    sent = sc.__dict__.setdefault("_vecloom_vocabularies", {})
+    if sent.setdefault(os.path.basename(path), path) != path:
+        return  # another file of that name was sent before: this one is read at its path
+    if os.path.exists(path) and path not in sent.setdefault("", set()):
+        sc.addFile(path)
+        sent[""].add(path)
+
+
+def _here(path: str) -> str:
+    """The file on this machine: at its path, or as it was sent."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 @functools.lru_cache(2)
 def _vocabulary(path: str) -> Vocabulary:
-    return Vocabulary.load(path)
+    return Vocabulary.load(_here(path))
 
 
 @functools.lru_cache(2)
@@ -212,6 +230,7 @@ def edited_ids(df: DataFrame, ident: str, old: str, ids: str, new: str, folder:
     come out as often as they come in; other columns are dropped.
     """
     path = f"{folder}/{name}.tiktoken"
+    _send(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -239,6 +258,8 @@ def token_sizes(df: DataFrame, ident: str, text: str, folder: str = FOLDER, name
 
 
 def _encoded(df: DataFrame, ident: str, text: str, path: str, pattern: str, sizes: bool) -> DataFrame:
+    _send(df.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ends, flat = encode_texts(b.column(1).to_pylist(), path, pattern)
