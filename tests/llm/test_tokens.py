@@ -127,9 +127,10 @@ def test_the_vocabulary_is_sent(spark, tmp_path):
     at = tmp_path / "own_vocabulary.tiktoken"
     shutil.copy(PATH, at)
     df = spark.createDataFrame([(1, "Hello world")], "doc_id bigint, text string")
-    lazy = tokens.token_ids(df, "doc_id", "text", str(tmp_path), "own_vocabulary")
+    assert tokens.token_ids(df, "doc_id", "text", str(tmp_path), "own_vocabulary").first().ids == ids("Hello world")
+    assert tokens._here(str(at)) == str(at)
     at.rename(tmp_path / "moved")
-    assert lazy.first().ids == ids("Hello world")
+    assert tokens._here(str(at)) != str(at) and tokens.Vocabulary.load(tokens._here(str(at))).ranks == tokens._vocabulary(PATH).ranks
 
 
 def test_round_trip(spark, medium):
