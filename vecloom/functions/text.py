@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vecloom.functions.special import lcs_length, nfkc
+from vecloom.functions.special import common_words, lcs_length, nfkc
 
 
 def normalized(s: Column, compat: bool = True) -> Column:
@@ -37,27 +37,13 @@ def f1(common: Column, n_gen: Column, n_ref: Column) -> Column:
 
 
 def token_f1(g: Column, r: Column) -> Column:
-    """F1 of the bags of words: each word counts as often as it is in both.
-
-    Both bags are sorted together, so that one walk counts each word on either side.
-    """
-    side = lambda a, k: F.transform(a, lambda w: F.struct(w.alias("w"), F.lit(k).alias("k")))
-    state = lambda w, a, b, c: F.struct(w.alias("w"), a.alias("a"), b.alias("b"), c.alias("c"))
-    closed = lambda s: s["c"] + F.least(s["a"], s["b"])
-
-    def step(s: Column, x: Column) -> Column:
-        a, b = (x["k"] == 0).cast("int"), (x["k"] == 1).cast("int")
-        same = s["w"].eqNullSafe(x["w"])
-        return state(x["w"], F.when(same, s["a"] + a).otherwise(a), F.when(same, s["b"] + b).otherwise(b), F.when(same, s["c"]).otherwise(closed(s)))
-
-    zero = F.lit(0)
-    common = F.aggregate(F.sort_array(F.concat(side(g, 0), side(r, 1))), state(F.lit(None).cast("string"), zero, zero, zero), step, closed)
-    return f1(common.cast("double"), F.size(g), F.size(r))
+    """F1 of the bags of words: each word counts as often as it is in both."""
+    return f1(common_words(F.array_join(g, " "), F.array_join(r, " ")).cast("double"), F.size(g), F.size(r))
 
 
 def rouge_l(g: Column, r: Column) -> Column:
     """F1 of the longest common subsequence of words."""
-    return f1(lcs_length(g, r).cast("double"), F.size(g), F.size(r))
+    return f1(lcs_length(F.array_join(g, " "), F.array_join(r, " ")).cast("double"), F.size(g), F.size(r))
 
 
 def content_parts(content: Column) -> Column:
