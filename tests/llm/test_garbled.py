@@ -125,6 +125,10 @@ def test_every_script_in_every_encoding():
             fixed, n = G.restore_sequences("".join(t[b] for b in good.encode()))
             assert n or (name, e) in MISSED, (name, e)
             assert fixed == good or (name, e) in PARTLY | MISSED, (name, e, fixed)
+    for e in ("cp1252", "latin-1", "koi8-r", "cp437"):  # beyond the automaton
+        t = G._table(e)
+        for good in ("a 𠀋 b", "𠀋𡈽𡌛", "x 𠮷野家 y"):
+            assert G.restore_sequences("".join(t[b] if b > 127 else chr(b) for b in good.encode()))[0] == good
     for good in SAMPLES.values():
         assert G.restore_sequences(good) == (good, 0) and G.restore_sequences(good.upper()) == (good.upper(), 0)
 

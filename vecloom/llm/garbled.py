@@ -66,9 +66,9 @@ def _table(name: str) -> list[str]:
 
 
 def _characters() -> Iterator[int]:
-    """Code points whose sequences are looked for: controls that a first misreading leaves for a second, and all letters, marks, numbers, signs and formats."""
+    """Code points whose sequences are in the automaton: controls that a first misreading leaves for a second, and all letters, marks, numbers, signs and formats below U+20000."""
     yield from range(0x80, 0xA0)
-    for cp in range(0xA0, 0x32000):
+    for cp in range(0xA0, 0x20000):
         if unicodedata.category(chr(cp)) not in ("Cn", "Co", "Cs"):
             yield cp
 
@@ -115,11 +115,36 @@ def _quoted(text: str, start: int, end: int) -> bool:
     return 0 < start and end < len(text) and text[start - 1] in QUOTES and text[end] in QUOTES
 
 
+@functools.lru_cache(1)
+def _far_planes() -> re.Pattern:
+    """The rare ideographs from U+20000 on: four bytes, of which only the first two tell the plane, so classes of characters do."""
+    of = lambda t, a, z: "[" + "".join(re.escape(c) for c in dict.fromkeys(t[a : z + 1])) + "]"
+    return re.compile("|".join(f"(?P<_{k}>{of(t, 0xF0, 0xF0)}{of(t, 0xA0, 0xB3)}{of(t, 0x80, 0xBF)}{{2}})" for k, t in enumerate(map(_table, READ_AS))))
+
+
+@functools.lru_cache(1)
+def _far_start() -> re.Pattern:
+    """What any of those sequences begins like."""
+    return re.compile("[" + re.escape("".join(dict.fromkeys(_table(n)[0xF0] for n in READ_AS))) + r"][^\x00-\x7f]{3}")
+
+
+def _matches(text: str) -> Iterator[tuple[int, int, str]]:
+    """All sequences (start, end, character) of the text by their ends."""
+    found = [(last - n + 1, last + 1, ch) for last, (n, ch) in automaton().iter(text)]
+    far = []
+    for m in _far_planes().finditer(text) if _far_start().search(text) else ():
+        back = _ways_back()[int(m.lastgroup[1:])]
+        ch = bytes(back[c] for c in m[0]).decode("utf-8", "replace")
+        if len(ch) == 1 and ch != "\ufffd" and unicodedata.category(ch) not in ("Cn", "Co"):
+            far.append((m.start(), m.end(), ch))
+    return iter(sorted(found + far, key=lambda x: (x[1], -x[0])) if far else found)
+
+
 def sequences(text: str) -> list[tuple[int, int, str]]:
     """Matches (start, end, character) that don't overlap, longest first from the left, without quoted ones."""
     best: list[tuple[int, int, str]] = []
-    for last, (n, ch) in automaton().iter(text):
-        m = (last - n + 1, last + 1, ch)
+    for m in _matches(text):
+        n = m[1] - m[0]
         while best and best[-1][1] > m[0] and (best[-1][1] - best[-1][0]) < n:
             best.pop()
         if not best or best[-1][1] <= m[0]:

@@ -357,12 +357,12 @@ def _judged(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     structure = F.col("kind") != "open"
     sure = here.where(structure | (words >= SURE))
     out = here.withColumn("words", words)
-    gains = _limits(sure, scan).select(F.col("source").alias("of"), "unit", "size", "gain")
-    gained = [F.lit(1.0)]
-    for u in UNITS:
-        g = gains.where(F.col("unit") == u).select("of", F.col("size").alias(f"{u}_at"), F.col("gain").alias(f"{u}_gain"))
-        out = out.join(g, F.col("source").eqNullSafe(F.col("of")) & (F.col(u) == F.col(f"{u}_at")), "left").drop("of", f"{u}_at")
-        gained.append(F.coalesce(f"{u}_gain", F.lit(1.0)))
+    # The few lengths of a source that stand out travel as one row of the source.
+    at = lambda unit, size: F.concat_ws(" ", unit, size.cast("string"))
+    entry = F.struct(at(F.col("unit"), F.col("size")).alias("k"), "gain")
+    gains = _limits(sure, scan).groupBy(F.col("source").alias("of")).agg(F.map_from_entries(F.collect_list(entry)).alias("gains"))
+    out = out.join(gains, F.col("source").eqNullSafe(F.col("of")), "left")
+    gained = [F.lit(1.0), *[F.coalesce(F.try_element_at("gains", at(F.lit(u), F.col(u))), F.lit(1.0)) for u in UNITS]]
     odds = F.when(structure, F.lit(float("inf"))).otherwise(F.col("words") * F.greatest(*gained))
     why = F.when((F.col("why") == "terminator") & (F.col("words") < 1), "limit").otherwise(F.col("why"))
     return out.select("k", "source", "kind", why.alias("why"), odds.alias("odds")), prior, scan
