@@ -236,10 +236,11 @@ def _coherent(text: str, found: list[tuple[int, int, str]]) -> tuple[list[tuple[
         if k - own < 2:
             out += found[own:k]
             continue
+        used = set(r[0])
         for back in _ways_back():
-            data = [back.get(c) for c in r[0]]
-            if None in data:
+            if not used <= back.keys():
                 continue
+            data = [back[c] for c in r[0]]
             try:
                 got = bytes(data).decode()
             except UnicodeDecodeError:
@@ -282,10 +283,11 @@ def two_byte_line(line: str) -> str | None:
     """A line of kana and ideographs that was read one byte at a time, read back; None if it is no such line."""
     if len(_DENSE.findall(line)) < max(6, 0.25 * len(line)):
         return None
+    used = set(map(ord, set(line)))
     for back in _bytes_of():
-        data = [back.get(ord(c)) for c in line]
-        if None in data:
+        if not used <= back.keys():
             continue
+        data = [back[ord(c)] for c in line]
         for name in TWO_BYTE:
             try:
                 text = bytes(data).decode(name)
@@ -332,10 +334,11 @@ def two_byte_passage(run: str) -> str | None:
     boxes = sum(map(str.isalpha, outside)) < 2 or len(set(outside)) < 5
     odd = sum(not c.isalpha() and c not in _LOOSE and not (boxes and _BOXES.match(c)) for c in outside)
     names = TWO_BYTE if odd < max(1, 0.1 * len(outside)) else [*TWO_BYTE, *WIDE]
+    used = set(map(ord, set(outside)))
     for back in _bytes_of():
-        data = [ord(c) if c < "\x80" else back.get(ord(c)) for c in run]
-        if None in data:
+        if not used <= back.keys():
             continue
+        data = [ord(c) if c < "\x80" else back[ord(c)] for c in run]
         for name in names:
             try:
                 text = bytes(data).decode(name)
