@@ -99,6 +99,27 @@ def test_wrong_labels_are_outvoted(spark):
     assert np.allclose(m.scores(["the river"]), m.scores(["a canal", "the river"])[1:])
 
 
+def test_fit_counts_every_document_and_pair(spark, monkeypatch):
+    """Words that one text each holds, of more documents and pairs than a sample would take."""
+    from itertools import product
+
+    rows, ex, docs = tables(spark)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    seen = lambda m, w: (m.log[P._hashed([w])[0], m.langs.index("en")] > np.log(P.FLOOR) + 0.01).all()
+    in_docs = [f"{a}{b}q" for a, b in product(letters, letters)]
+    more = docs.unionByName(spark.createDataFrame([(f"the {w} runs past the old hall.", "en") for w in in_docs], docs.schema))
+    m = P.fit(more, "text", "lang")
+    assert m.langs == ["de", "en"] and all(seen(m, w) for w in in_docs)
+
+    got, fit = [], P.fit
+    monkeypatch.setattr(P, "fit", lambda *of: got.append(fit(*of)) or got[0])
+    in_pairs = [f"{a}{b}z" for a, b in product(letters, letters[:10])]
+    gen = "concat('The river runs past the ', if(id < 260, concat(substr('abcdefghijklmnopqrstuvwxyz', int(id / 10) + 1, 1), substr('abcdefghij', int(id % 10) + 1, 1), 'z'), 'old'), ' market hall.')"
+    many = spark.range(40_000).selectExpr("id row_id", "1 bucket", "1 idx", "'r' runner", f"{gen} gen", "'x' label", "5 gen_tokens")
+    P.defects(many, ex, docs)
+    assert all(seen(got[0], w) for w in in_pairs)
+
+
 def test_held_out_language_accuracy(spark, medium):
     """Labels of documents that the fit didn't see; a tenth of the labels are wrong or of another script."""
     from pyspark.sql import functions as F
