@@ -55,6 +55,58 @@ def test_prose():
     assert P.prose("アクセスコードは123です。その川は") == ["アクセスコードはです"]
 
 
+def test_prose_judges_a_word_once(monkeypatch):
+    """The work of a text is in its new words: one that a thousand sentences hold is looked at once in each place."""
+    looked, value = [], P._VALUE
+
+    class Counted:
+        def search(self, w):
+            looked.append(w)
+            return value.search(w)
+
+    monkeypatch.setattr(P, "_VALUE", Counted())
+    names = [f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcd"]
+    assert P.prose(" ".join(f"It’s the {n} market-hall, (x_1) they say." for n in names)) == [f"it's the {n} market-hall they say" for n in names]
+    assert 0 < len(looked) <= 6
+
+
+def test_prose_of_any_words():
+    """The rule word by word, on random sentences of odd words."""
+    import random
+
+    def kept(sentence):
+        keep = []
+        if sentence.isupper() and " " in sentence.strip():
+            sentence = sentence.lower()
+        for w in sentence.split():
+            w = w.strip(P._EDGES)
+            if w and (w.islower() or not keep and w[0].isupper() or not w.isascii() and w.lower() == w.upper()) and (w.isalpha() or not (w.isdigit() or P._VALUE.search(w))):
+                keep.append(w)
+        out = " ".join(keep).replace("’", "'").lower() if len(keep) > 1 else ""
+        return out if len(out) > 5 else ""
+
+    r = random.Random(5)
+    parts = ["The", "river", "Norvel", "it’s", "ΟΔΟΣ", "ΣΑΣ’Σ", "İstanbul", "강은", "ещё", "Река", "x_1", "12", "a/b", "(so)", "—", "naïve", "ǅ", "²", "OK", "e-mail", "«да»", "ﬁn", "\xa0", "…"]
+    for _ in range(3000):
+        t = " ".join(r.choices(parts, k=r.randint(0, 6)))
+        assert P._line(t) == kept(t), t
+
+
+def test_no_refusal_is_passed_over():
+    """What is told of many texts at once leaves out none in which a clause may decline."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(6)
+    parts = [*sorted(P.NEGATION), *sorted(P._HINTS), "so", "non", "答えられません", "无法回答", "the", "mill", "Fluss", "DON’T", "İ", "ＮＯＴ", "ſo", "answer", "know", "знаю", "risposta"]
+    texts = ["".join(x for w in r.choices(parts, k=r.randint(1, 4)) for x in (r.choice([w, w.upper(), w.title(), w + "x"]), r.choice([" ", "_", ".", "、", "é", "\n", "ʼ"]))) for _ in range(5000)] + ["The mill lies above the river.", "Река течёт мимо."]
+    may = P._may_refuse(pa.array(texts), list(map(P._folded, texts)))
+    for t, m in zip(texts, may):
+        assert m or not P._may_decline(t.lower().replace("’", "'"), P.words(t)), t
+    assert may[-2:] == [False, False]
+
+
 EN = ["The river runs past the old market hall of the town", "A canal near the harbour was drawn by a local mapmaker", "The weaving guild keeps the handwritten ledgers in the archive", "What is the stream below the mill called in the text"]
 DE = ["Der Fluss fließt an der alten Markthalle der Stadt vorbei", "Ein Kanal beim Hafen wurde von einem Kartenmacher gezeichnet", "Die Weberzunft bewahrt die Handschriften im Archiv auf", "Wie heißt der Bach unterhalb der Mühle in dem Text"]
 

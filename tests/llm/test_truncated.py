@@ -23,6 +23,46 @@ def test_shapes():
     assert [T.shape(t) for t in ("123", "7b48d-f42c", "lib/a/tail.rs", "lib/a", "Norvel", "Norvel-12", "slate", "1st")] == ["9:3", "hex5:4", "path.rs", "path.", "Name", "Name-9", "slate", "1st"]
 
 
+def test_contexts_of_many_texts_at_once(monkeypatch):
+    """The counts over texts together are those of a walk over each, whatever the sizes of portions and numbers."""
+    from collections import Counter
+
+    step = T.re.compile(rf"({T._TOKEN.pattern})([\W_]*)")
+
+    def walk(text, counts, known):
+        a, b, found = "#", "#", step.findall(text)
+        if found and ("..." in found[-1][1] or not any(t in found[-1][1] for t in T.TERMINATORS)):
+            found.pop()
+        for word, between in found:
+            c = T.shape(word)
+            end = "\n" in between or any(t in between for t in T.TERMINATORS)
+            counts[a, b, c, end] += 1
+            known.update([word] * (c == "Name"))
+            a, b = ("^", "^") if end else (b, c)
+
+    r = random.Random(4)
+    parts = ["the", "Norvel", "Jorova-12", "oak", "12", "5 %", "5%", "3\xa0%", "50%off", "lib/a.rs", "x.y", "7b48d-f42c", "鍵", "川は", "が 5%", "'s", "it’s", "a_b", "_", "ｆ", "𝒳y", "😀", "é", "\x00", "-", "..", "...", ".", "!", "？", "。", "\n", "a:", "%", " %", "река"]
+    texts = ["".join(x for w in r.choices(parts, k=r.randint(0, 12)) for x in (w, r.choice(["", " ", " ", ". ", "\xa0"]))) for _ in range(4000)] + ["", "a", ".", "Done.", "a.", "a..", "a...", "Norvel.", "%", "a%", "a %", "a ", "鍵。"]
+    counts, known = Counter(), Counter()
+    for t in texts:
+        walk(t, counts, known)
+    for portion, bits, held in ((1 << 19, 20, 300_000), (64, 20, 100), (64, 4, 100), (1, 9, 10), (1 << 19, 2, 10)):
+        for k, v in (("PORTION", portion), ("BITS", bits), ("HELD", held)):
+            monkeypatch.setattr(T, k, v)
+        got = T.Contexts()
+        for k in range(0, len(texts), 500):
+            got.add(texts[k : k + 500])
+            assert len(got) > 0
+        assert got.take() == (counts, known) and len(got) == 0
+
+
+def test_what_is_remembered_is_bounded():
+    seen = []
+    known = T.Remembered(lambda w: seen.append(w) or len(w), most=3, length=4)
+    assert [known[w] for w in ("a", "bb", "a", "ccccc", "ccccc", "ddd", "e", "a")] == [1, 2, 1, 5, 5, 3, 1, 1]
+    assert seen == ["a", "bb", "ccccc", "ccccc", "ddd", "e", "a"] and len(known) == 2
+
+
 def test_kinds():
     kind = lambda t: T.tail(t)[0]
     for t in ("Done.", "Really?", "“Done.”", "終わり。", "42", "Answer: oak", "**slate**\n", "<think>\n\n</think>", "```\ncode;\n```", "-", "[]"):

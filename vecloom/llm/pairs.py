@@ -18,10 +18,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm import truncated
+from vecloom.llm.truncated import Remembered, strings
 from vecloom.sources import ensure_checkpoint_dir, spread
 
 #: Hash buckets for character trigrams; documents that a language has at least.
@@ -36,7 +38,6 @@ MARGIN = 4.0
 SAME, BACK = 0.8, 0.6
 
 _FENCE = re.compile(r"```.*?(?:```|$)|`[^`]*`|“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"\n]*\"|<[^<>]{1,40}>", re.S)
-_FENCED = re.compile("[`\"<“«„]")  # what a fence begins with
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\n+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _NOT_CJK = re.compile(r"[^぀-ヿ㐀-鿿]+")
@@ -44,6 +45,7 @@ _EDGES = ".,;:!?…()[]{}*#>-–—_%±|\"'’‘“”«»¿¡=+/\\"
 _VALUE = re.compile(r"[\d_/\\]")
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
 _CONTENT = re.compile(r"[^\W_]")
+_ENTITY = re.compile(r"<[^<>]{1,40}>|&\w{2,8};")
 
 # The words of which refusals are made, by language (English, German, French, Spanish, Portuguese, Italian, Russian, Polish).
 #: Who speaks, or an impersonal subject; in languages without a pronoun, first persons of verbs.
@@ -121,30 +123,64 @@ _CLAUSE = re.compile(r"[.!?;:,…。！？、—–\n()]+|\s-\s")
 _TOKEN = re.compile(r"[^\W_]+(?:'t(?!\w))?")
 
 
-@functools.lru_cache(50_000)
-def _first_match(pattern: re.Pattern, word: str) -> bool:
-    return pattern.match(word) is not None
+_ANSWERS, _SOURCES, _STATES = (Remembered(lambda w, p=p: p.match(w) is not None) for p in (_ANSWERING, _SOURCE, _STATING))
 
 
-@functools.lru_cache(50_000)
-def _says(word: str) -> bool:
-    return bool(_ANSWERING.match(word) or _STATING.match(word))
+_NEGATES, _SAYS, _HINTS_AT, _SO, _NON = 1, 2, 4, 8, 16
+
+
+def _role(word: str) -> int:
+    """What a word can do in a clause that declines, as bits."""
+    says = _ANSWERING.match(word) or _STATING.match(word)
+    return _NEGATES * (word in NEGATION) | _SAYS * bool(says) | _HINTS_AT * (word[:5] in _HINTS or word[:4] in _HINTS) | _SO * (word == "so") | _NON * (word == "non")
+
+
+_ROLES = Remembered(_role)
 
 
 def _may_decline(low: str, w: list[str]) -> bool:
     """Whether a text, in lower case, with the words w, holds any word without which no clause of it declines."""
-    return (not NEGATION.isdisjoint(w) or "n't" in low) and any(map(_says, w)) or _hinted(w) or not low.isascii() and bool(_WIDE.search(low) and PHRASES.search(low))
+    roles = 0
+    for r in set(map(_ROLES.__getitem__, w)):
+        roles |= r
+    if roles & _HINTS_AT or roles & _SO and roles & _NON or roles & _SAYS and (roles & _NEGATES or "n't" in low):
+        return True
+    return not low.isascii() and bool(_WIDE.search(low) and PHRASES.search(low))
+
+
+#: ASCII in lower case, with blanks for what is in no word.
+_PLAIN = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else 32 for c in range(256))
+
+
+def _words(text: str) -> list[str]:
+    """The words of a text in lower case."""
+    return text.encode().translate(_PLAIN).decode().split() if text.isascii() else _WORD.findall(text)
+
+
+def _folded(text: str) -> str:
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).casefold()
 
 
 def words(text: str) -> list[str]:
-    if text.isascii():
-        return _WORD.findall(text.lower())
-    return _WORD.findall(unicodedata.normalize("NFKC", text).casefold())
+    return _words(_folded(text))
+
+
+#: What the folded text holds in which _may_decline finds a word: a negation or the beginning of a hint. What bounds a
+#: word here bounds more than the words of _WORD, so that none is missed.
+_BOUND = "[^a-z0-9à-öø-ÿа-яё]"
+_DECLINING_WORD = f"(?:^|{_BOUND})(?:(?:{'|'.join(sorted(NEGATION))})(?:{_BOUND}|$)|{'|'.join(sorted(_HINTS))})"
+#: And what the text itself holds in which it finds something else.
+_DECLINING_MARK = r"[nN]['’][tT]|[\x{2e80}-\x{d7ff}]"
+
+
+def _may_refuse(texts: pa.Array, folded: list[str]) -> list[bool]:
+    """False for texts that surely don't decline; told of all at once. folded are the texts as _folded gives them."""
+    return pc.or_(pc.match_substring_regex(pa.array(folded, pa.string()), _DECLINING_WORD), pc.match_substring_regex(texts, _DECLINING_MARK)).to_pylist()
 
 
 def is_empty(text: str | None) -> bool:
     """No letter or digit beyond markup and control marks."""
-    return not text or not _CONTENT.search(re.sub(r"<[^<>]{1,40}>|&\w{2,8};", "", text))
+    return not text or not _CONTENT.search(_ENTITY.sub("", text) if "<" in text or "&" in text else text)
 
 
 def declines(clause: str) -> bool:
@@ -161,11 +197,11 @@ def declines(clause: str) -> bool:
     lacking, declining = (hinted and any(h in clause for h in listed) for listed in (LACKING, DECLINING))
     if not (no or lacking or declining or "silent" in w) or len(w) > 24:
         return False
-    is_ = lambda p: [i for i, x in enumerate(w) if _first_match(p, x)]
+    is_ = lambda known: [i for i, x in enumerate(w) if known[x]]
     spoken = not SPEAKER.isdisjoint(w)
     if spoken and declining:
         return True
-    does, of = is_(_ANSWERING), is_(_SOURCE)
+    does, of = is_(_ANSWERS), is_(_SOURCES)
     if lacking and (spoken or len(w) <= 8) and (does or of):
         return True
     if not no:
@@ -173,22 +209,22 @@ def declines(clause: str) -> bool:
     # A speaker, a negation and a verb of answering near each other; or the negation begins the clause, as in "No answer can be given".
     if spoken and any(abs(i - j) <= 7 for i in no for j in does) or no[0] <= 1 and any(0 < j - no[0] <= 5 for j in does) and not w[no[0]] in ("ne", "n", "pas"):
         return True
-    return bool(of or w[0] in THAT and len(w) <= 10) and bool(is_(_STATING))
+    return bool(of or w[0] in THAT and len(w) <= 10) and bool(is_(_STATES))
 
 
-def is_refusal(text: str, label: str | None, question: str | None = None, said: list[str] | None = None) -> bool:
+def is_refusal(text: str, label: str | None, question: str | None = None, folded: str | None = None) -> bool:
     """A clause outside quotations declines, and no answer is given beside it.
 
     An answer is the right one (label), a value in a sentence that names what the question names, or, where there
-    is no label, any value. said are the words of the text, if they are known.
+    is no label, any value. folded is the text as _folded gives it, if it is known.
     """
-    if not _may_decline(text.lower().replace("’", "'"), words(text) if said is None else said):
+    if not _may_decline(text.lower().replace("’", "'"), words(text) if folded is None else _words(folded)):
         return False
     rest, found = [], False
     for s in _SENTENCE.split(_FENCE.sub(" ", text)):
         s = s.replace("’", "'")
         low = s.lower()
-        clauses = _CLAUSE.split(s) if _may_decline(low, _WORD.findall(low)) else []
+        clauses = _CLAUSE.split(s) if _may_decline(low, _words(low)) else []
         hit = [declines(c.lower()) for c in clauses]
         if any(hit):
             found = True
@@ -216,22 +252,30 @@ def _frames(w: list[str], label: set[str]) -> bool:
     return len(w) == 1 and w[0] in ANNOUNCING or len(w) <= 14 and not ABOUT.isdisjoint(w) and label.isdisjoint(w) and not any(x[0].isdigit() for x in w)
 
 
+#: Between sentences, lines behind a mark, and marks of quoting.
+_COPIED = re.compile(r"(?<=[.!?:。！？])\s+|\n\s*(?=\S)(?<=[?.!:]\n)|[*>#]+")
+
+
 @functools.lru_cache(50_000)
 def _asked(question: str) -> tuple[frozenset[str], frozenset[str]]:
     """The words of a question up to its question mark, and all of them."""
     return frozenset(words(re.split(r"(?<=[?？])", question)[0])), frozenset(words(question))
 
 
-def is_copy(text: str, question: str, label: str | None = None, said: list[str] | None = None) -> bool:
+def is_copy(text: str, question: str, label: str | None = None, folded: str | None = None) -> bool:
     """Every sentence repeats the question or speaks about it, and most of the question comes back.
 
-    The right answer must not be among what is said besides. said are the words of the text, if they are known.
+    The right answer must not be among what is said besides. folded is the text as _folded gives it, if it is known.
     """
     main, have = _asked(question)
-    if not main or len(main.intersection(words(text) if said is None else said)) < BACK * len(main):
+    if not main:
+        return False
+    folded = _folded(text) if folded is None else folded
+    # Words that aren't even somewhere inside the text needn't be looked for among its words.
+    if sum(map(folded.__contains__, main)) < BACK * len(main) or len(main.intersection(_words(folded))) < BACK * len(main):
         return False
     other, seen = set(words(label or "")) - have, set()
-    for s in re.split(r"(?<=[.!?:。！？])\s+|\n\s*(?=\S)(?<=[?.!:]\n)|[*>#]+", text):
+    for s in _COPIED.split(text):
         w = words(s)
         if not w:
             continue
@@ -261,20 +305,31 @@ def _sentences(text: str) -> list[str]:
     return text.split("\n")
 
 
+def _kept(word: str, begins: bool) -> str:
+    """What prose keeps of a word, of the first that it keeps of a sentence (begins) or of another."""
+    w = word.strip(_EDGES)
+    if w and (w.islower() or begins and w[0].isupper() or not w.isascii() and w.lower() == w.upper()) and (w.isalpha() or not (w.isdigit() or _VALUE.search(w))):
+        return w.replace("’", "'").lower()
+    return ""
+
+
+_BEGIN, _GO_ON = Remembered(lambda w: _kept(w, True)), Remembered(lambda w: _kept(w, False))
+
+
 def _line(s: str) -> str:
     """What prose keeps of a sentence; nothing where that is too little."""
     if not s.isascii() and _CJK.search(s):
         s = _NOT_CJK.sub("", s)
         return s if len(s) > 5 else ""
-    keep = []
     if s.isupper() and " " in s.strip():
         s = s.lower()
-    for w in s.split():
-        w = w.strip(_EDGES)
-        if w and (w.islower() or not keep and w[0].isupper() or not w.isascii() and w.lower() == w.upper()) and (w.isalpha() or not (w.isdigit() or _VALUE.search(w))):
-            keep.append(w)
-    s = " ".join(keep).replace("’", "'").lower() if len(keep) > 1 else ""
-    return s if len(s) > 5 else ""
+    w = s.split()
+    for i, x in enumerate(w):
+        if begin := _BEGIN[x]:
+            keep = [begin, *filter(None, map(_GO_ON.__getitem__, w[i + 1 :]))]
+            s = " ".join(keep)
+            return s if len(keep) > 1 and len(s) > 5 else ""
+    return ""
 
 
 _remembered = functools.lru_cache(100_000)(_line)  # for sentences of up to 200 characters, so that it stays small
@@ -286,7 +341,7 @@ def prose(text: str) -> list[str]:
     A capital inside a sentence makes a name, unless all of it is in capitals; a digit, slash or underscore makes a
     value. Letters of scripts without case are words like others.
     """
-    if _FENCED.search(text):
+    if "`" in text or '"' in text or "<" in text or not text.isascii() and ("“" in text or "«" in text or "„" in text):
         text = _FENCE.sub(" ", text)
     return [x for s in _sentences(text) if (x := _remembered(s) if len(s) <= 200 else _line(s))]
 
@@ -316,9 +371,12 @@ def script(sentence: str) -> str:
     return max(n, key=n.get) if n else "LATIN"
 
 
+_script, _asked_in = Remembered(script, length=200), Remembered(lambda question: script(" ".join(prose(question))), length=500)
+
+
 def _hashed(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all trigrams, and where each sentence begins among them. A sentence has a blank at both ends."""
-    a = np.frombuffer("".join(f" {s} " for s in sentences).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    a = np.frombuffer(f" {'  '.join(sentences)} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
     n = np.fromiter(map(len, sentences), np.int64, len(sentences)) + 2
     begin = np.cumsum(n) - n
     h = a[:-2] * 0x9E3779B1 + a[1:-1] * 0x85EBCA77 + a[2:] * 0xC2B2AE3D
@@ -375,12 +433,12 @@ class NaiveBayes:
         return np.add.reduceat(self.scores([s for p in parts for s in p]), np.cumsum(n) - n, 0)
 
 
-_CODE, _MARKUP, _LABEL = re.compile(r"(?m)^.*[{}|;=].*$|^\W*\w+: ?"), re.compile("[{}|;=]"), re.compile(r"(?m)^\W*\w+: ?")
+_CODE, _LABEL = re.compile(r"(?m)^.*[{}|;=].*$|^\W*\w+: ?"), re.compile(r"(?m)^\W*\w+: ?")
 
 
 def _learnt(text: str) -> list[str]:
     """The prose of a text to learn from: without lines of code and tables, and without labels before a colon."""
-    if _MARKUP.search(text):
+    if "{" in text or "}" in text or "|" in text or ";" in text or "=" in text:
         text = _CODE.sub("", text)
     elif ":" in text:
         text = _LABEL.sub("", text)
@@ -392,7 +450,7 @@ def _lines(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lines = ["\n".join(_learnt(t)) or None for t in b.column(1).to_pylist()]
+            lines = ["\n".join(_learnt(t)) or None for t in strings(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lines, pa.string())], ["lang", "t"])
 
     return texts.mapInArrow(run, "lang string, t string").where("t is not null")
@@ -409,7 +467,7 @@ def _counts(texts: DataFrame, lines: Callable[[str], list[str]], model: NaiveBay
         sums: dict[str, np.ndarray] = {}
         n: dict[str, int] = {}
         for b in batches:
-            found = [(la, p) for la, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (p := lines(t))]
+            found = [(la, p) for la, t in zip(strings(b.column(0)), strings(b.column(1))) if (p := lines(t))]
             if model:
                 score = model.of_texts([p for _, p in found])
                 best = score.argmax(1).tolist()
@@ -494,8 +552,8 @@ def other_language(model: NaiveBayes, texts: list[str], questions: list[str | No
     for i, k in zip(at, begin.tolist()):
         p, q = parts[i], questions[i]
         if not (q.isascii() and all(map(str.isascii, p))):
-            own = script(" ".join(prose(q)))
-            other[k : k + len(p)] |= np.fromiter((script(x) != own for x in p), bool, len(p))
+            own = _asked_in[q]
+            other[k : k + len(p)] |= np.fromiter((_script[x] != own for x in p), bool, len(p))
     size = np.fromiter(map(len, lines), np.float64, len(lines))
     out[at] = np.add.reduceat(size * other, begin) > 0.5 * np.add.reduceat(size, begin)
     return out.tolist()
@@ -519,17 +577,17 @@ def defects(rows: DataFrame, examples: DataFrame, documents: DataFrame) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, asks, labels = (b.column(k).to_pylist() for k in (1, 2, 3))
+            texts, asks, labels = (strings(b.column(k)) for k in (1, 2, 3))
             empty = [is_empty(t) for t in texts]
             strange = other_language(model, ["" if e else t for t, e in zip(texts, empty)], asks)
+            folded = list(map(_folded, texts))
             out: list[list[str]] = []
-            for t, q, la, e, o in zip(texts, asks, labels, empty, strange):
+            for t, f, q, la, e, o, may in zip(texts, folded, asks, labels, empty, strange, _may_refuse(b.column(1), folded)):
                 if e:
                     out.append(["empty"])
                     continue
-                w = words(t)
-                d = ["refusal"] if is_refusal(t, la, q, w) else []
-                if q and is_copy(t, q, la, w):
+                d = ["refusal"] if may and is_refusal(t, la, q, f) else []
+                if q and is_copy(t, q, la, f):
                     d.append("copies_question")
                 out.append(d + ["other_language"] * o)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], ["row_id", "d"])

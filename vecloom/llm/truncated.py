@@ -21,8 +21,9 @@ from __future__ import annotations
 import functools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,9 +53,10 @@ _TERMINATOR_SET = set(TERMINATORS)
 #: Last characters that a mark behind a cut has.
 _MARK_ENDS = set("])>….�\x7f") | set(map(chr, [*range(9), *range(14, 32)]))
 _CLOSERS = "\"'”’»`*)]}」）"
+_BEHIND = _CLOSERS + " \n"
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+(?:[-/.'’_:][^\W_぀-ヿ㐀-鿿]+)*(?:[ \xa0]?%)?")
-#: A token and what stands between it and the next.
-_STEP = re.compile(rf"({_TOKEN.pattern})([\W_]*)")
+#: The same where all characters are ASCII.
+_ASCII_TOKEN = re.compile(r"[0-9A-Za-z]+(?:[-/.'_:][0-9A-Za-z]+)*(?: ?%)?")
 _ENDS = re.compile(rf"[{re.escape(_CLOSERS)}\s]*(?:[{TERMINATORS}]|\n|$)")
 _CJK, _CYRILLIC = re.compile("[぀-ヿ㐀-鿿]"), re.compile("[а-яё]")
 _DIGITS = re.compile(r"\d+")
@@ -67,11 +69,28 @@ _TAGS = re.compile(r"<[^<>]{1,40}>")
 _BARE = re.compile(r"\W*(?:[^\W\d_]+:\s*)?\W*$")
 _OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“", "「": "」", "（": "）"}
 _CLOSE = {v: k for k, v in _OPEN.items()}
-_OPENERS, _WORDS = re.compile("[`*<(\\[{“«「（„\"]"), re.compile(r"\w")
+_WORDS = re.compile(r"\w")
 _STRUCT = re.compile(r"```|\*\*|<(/?)(\w+)>|[(\[{“«「（)\]}”»」）`]|(?<!\w)\"(?=\w)|(?<=[\w.!?])\"")
 
 
-@functools.lru_cache(100_000)
+class Remembered(dict):
+    """Values of a function of short texts, each computed once; all are forgotten when there are `most`.
+
+    Read as a dictionary, so that a loop over words can be a map. Texts over `length` characters aren't kept.
+    """
+
+    def __init__(self, of: Callable[[str], object], most: int = 1 << 16, length: int = 40):
+        self.of, self.most, self.length = of, most, length
+
+    def __missing__(self, text: str) -> object:
+        value = self.of(text)
+        if len(text) <= self.length:
+            if len(self) >= self.most:
+                self.clear()
+            self[text] = value
+        return value
+
+
 def shape(token: str) -> str:
     """What stands for a token in a context: itself in lower case, or the shape of a number, a code, a path or a name."""
     if token[-1] == "%":
@@ -87,14 +106,19 @@ def shape(token: str) -> str:
     return token
 
 
-@functools.lru_cache(10_000)
-def _ends_sentence(between: str) -> bool:
-    return "\n" in between or any(t in between for t in TERMINATORS)
+_SHAPES = Remembered(shape)
+
+
+def _may_open(text: str) -> bool:
+    """Whether any character that opens something is in the text."""
+    if "`" in text or "*" in text or "<" in text or "(" in text or "[" in text or "{" in text or '"' in text:
+        return True
+    return not text.isascii() and ("“" in text or "«" in text or "「" in text or "（" in text or "„" in text)
 
 
 def open_at_end(text: str) -> str:
     """What the stack automaton holds at the end of the text: the openers without a closer, outermost first."""
-    if not _OPENERS.search(text):
+    if not _may_open(text):
         return ""
     stack: list[str] = []
     for m in _STRUCT.finditer(text):
@@ -118,30 +142,133 @@ def open_at_end(text: str) -> str:
     return " ".join(stack)
 
 
+def strings(column: pa.Array) -> list[str | None]:
+    """The values of a column of strings, faster than to_pylist."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "replace"))
+
+
 def script(text: str) -> str:
     return "latin" if text.isascii() else "cjk" if _CJK.search(text) else "cyrillic" if _CYRILLIC.search(text) else "latin"
 
 
-def count_text(text: str, counts: Counter, known: Counter) -> None:
-    """Add the contexts of a text: (three shapes, whether a sentence ended there), and the words seen in full.
+_W, _C, _JOINER, _BLANK, _PER, _TERM, _NEWLINE, _DOT = (1 << i for i in range(8))
+#: Characters of a portion; bits of a shape's number.
+PORTION, BITS = 1 << 19, 20
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """What each character is to _TOKEN and to the end of a sentence, as bits."""
+    out = np.zeros(0x110000, np.uint8)
+    all_ = "".join(map(chr, range(len(out))))
+    for bit, of in ((_W, r"[^\W_぀-ヿ㐀-鿿]+"), (_C, r"[぀-ヿ㐀-鿿]+")):
+        for m in re.finditer(of, all_):
+            out[m.start() : m.end()] |= bit
+    for bit, of in ((_JOINER, "-/.'’_:"), (_BLANK, " \xa0"), (_PER, "%"), (_TERM, TERMINATORS), (_NEWLINE, "\n"), (_DOT, ".")):
+        out[[ord(c) for c in of]] |= bit
+    return out
+
+
+class Contexts:
+    """Counts over texts of their contexts, (three shapes, whether a sentence ended there), and of the words seen in full.
 
     A text's last token counts only if a terminator follows it: where it stands alone its end is what is asked.
+    The tokens are those of _TOKEN, found in many texts at once; a context is the number of its shapes.
     """
-    a, b = "#", "#"
-    found = _STEP.findall(text)
-    if found:
-        rest = found[-1][1]
-        if "..." in rest or not any(t in rest for t in TERMINATORS):
-            found.pop()
-    keys = []
-    for word, between in found:
-        c = shape(word)
-        end = between != " " and _ends_sentence(between)
-        keys.append((a, b, c, end))
-        if c == "Name":
-            known[word] += 1
-        a, b = ("^", "^") if end else (b, c)
-    counts.update(keys)
+
+    def __init__(self):
+        self.known: Counter = Counter()
+        self.counts: Counter = Counter()  # those that numbers don't hold
+        self.ids = {"#": 0, "^": 1}
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def __len__(self) -> int:
+        if sum(len(k) for k, _ in self.held) > HELD and len(self.held) > 1:
+            keys, at = np.unique(np.concatenate([k for k, _ in self.held]), return_inverse=True)
+            self.held = [(keys, np.bincount(at, np.concatenate([n for _, n in self.held])).astype(np.int64))]
+        return sum(len(k) for k, _ in self.held) + len(self.counts) + len(self.known)
+
+    def add(self, texts: list[str]) -> None:
+        part, n = [], 0
+        for t in texts:
+            part.append(t)
+            n += len(t)
+            if n >= PORTION:
+                self._add(part)
+                part, n = [], 0
+        if part:
+            self._add(part)
+
+    def _add(self, texts: list[str]) -> None:
+        joined = "\0".join(texts) + "\0"
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        k = _classes()[points]
+        stop = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1  # behind each text
+        word, single = (k & _W) != 0, (k & _C) != 0
+        inside = word.copy()
+        inside[1:-1] |= ((k[1:-1] & _JOINER) != 0) & word[:-2] & word[2:]
+        begin = np.flatnonzero(inside & ~np.r_[False, inside[:-1]] | single)
+        end = np.flatnonzero(inside & ~np.r_[inside[1:], False] | single) + 1
+        if not len(begin):
+            return
+        percent = inside[begin] & ((k[end] & _PER) != 0)
+        blank = inside[begin] & ((k[end] & _BLANK) != 0) & ((k[np.minimum(end + 1, len(k) - 1)] & _PER) != 0)
+        end += percent + 2 * blank
+        of = np.searchsorted(stop, begin)
+        first = np.r_[True, of[1:] != of[:-1]]
+        last = np.r_[first[1:], True]
+        until = np.where(last, stop[of], np.r_[begin[1:], 0])
+        upto = lambda x: np.r_[0, np.cumsum(x, dtype=np.int64)]
+        n_end, n_term = upto((k & (_TERM | _NEWLINE)) != 0), upto((k & _TERM) != 0)
+        ends = n_end[until] > n_end[end]
+        dot = (k & _DOT) != 0
+        n_dots = upto(dot & np.r_[dot[1:], False] & np.r_[dot[2:], False, False])
+        dots = n_dots[np.maximum(until - 2, end)] > n_dots[end]
+        keep = ~(last & (dots | (n_term[until] == n_term[end])))
+
+        data, at = joined.encode(), np.stack([begin, end], 1).ravel()
+        if len(data) > len(k):
+            at = upto(1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF))[at]
+        cut = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data))
+        coded = cut.take(pa.array(np.arange(0, len(at) - 1, 2))).dictionary_encode()
+        which, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        shapes = [_SHAPES[w] for w in words]
+        for w, s, n in zip(words, shapes, np.bincount(which[keep], minlength=len(words)).tolist()):
+            if n and s == "Name":
+                self.known[w] += n
+        if len(self.ids) + len(words) > 1 << BITS:
+            self._decode()
+        ids = self.ids
+        c = np.fromiter((ids.setdefault(s, len(ids)) for s in shapes), np.int64, len(shapes))[which]
+        ended = np.r_[False, ends[:-1]]
+        b = np.where(first, 0, np.where(ended, 1, np.r_[0, c[:-1]]))
+        a = np.where(first, 0, np.where(ended, 1, np.r_[0, b[:-1]]))
+        if len(ids) > 1 << BITS:  # of this portion alone
+            names = list(ids)
+            self.counts.update((names[x], names[y], names[z], e) for x, y, z, e, x_keep in zip(a.tolist(), b.tolist(), c.tolist(), ends.tolist(), keep.tolist()) if x_keep)
+            self.ids = {"#": 0, "^": 1}
+        else:
+            self.held.append(np.unique(((((a << BITS | b) << BITS | c) << 1) | ends)[keep], return_counts=True))
+
+    def _decode(self) -> None:
+        """Write the numbers out as shapes."""
+        names, some = list(self.ids), (1 << BITS) - 1
+        for keys, n in self.held:
+            shapes = ([names[i] for i in (keys >> (1 + BITS * p) & some).tolist()] for p in (2, 1, 0))
+            for key, x in zip(zip(*shapes, (keys & 1).astype(bool).tolist()), n.tolist()):
+                self.counts[key] += x
+        self.held, self.ids = [], {"#": 0, "^": 1}
+
+    def take(self) -> tuple[Counter, Counter]:
+        """The contexts and the words so far, which are forgotten here."""
+        self._decode()
+        out = self.counts, self.known
+        self.counts, self.known = Counter(), Counter()
+        return out
 
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})*%[0-9A-Fa-f]{2}%?[0-9A-Fa-f]?$")
@@ -151,13 +278,15 @@ _JOINED = re.compile("[\u200d\ud800-\udbff]$")
 
 def broken_bytes(body: str) -> bool:
     """Whether a multibyte character stops half-way at the end: percent-encoded, read byte by byte, or a joined one."""
-    if m := _PERCENT.search(body):
+    if "%" in body and (m := _PERCENT.search(body)):
         try:
             bytes.fromhex(m[0].replace("%", "")[: 2 * m[0].count("%")]).decode()
         except UnicodeDecodeError as e:
             return e.reason == "unexpected end of data"
         except ValueError:
             return True  # half an escape
+    if body.isascii():
+        return False
     if _JOINED.search(body):
         return True
     m = _LEAD.search(body)
@@ -182,20 +311,20 @@ def tail(text: str) -> tuple[str, str, str, str, str, bool]:
                 break
             marked, body = True, body[: m.start()].rstrip()
     held = open_at_end(body)
-    if not held and body.rstrip(_CLOSERS + " \n")[-1:] in _TERMINATOR_SET:
+    if not held and body.rstrip(_BEHIND)[-1:] in _TERMINATOR_SET:
         return "done", "", "", "", "", False
-    tokens = list(_TOKEN.finditer(body))
+    tokens = list((_ASCII_TOKEN if body.isascii() else _TOKEN).finditer(body))
     if not tokens:
         return "bare", "", "", "", "", False
     end = body[tokens[-1].end() :]
-    rest = end.strip(_CLOSERS + " \n")
+    rest = end.strip(_BEHIND)
     begin = 0
     for k in range(len(tokens) - 1, 0, -1):
         between = body[tokens[k - 1].end() : tokens[k].start()]
         if any(t in between for t in TERMINATORS) or "\n" in between:
             begin = k
             break
-    last = [shape(t[0]) for t in tokens[max(begin, len(tokens) - 3) :]]
+    last = [_SHAPES[t[0]] for t in tokens[max(begin, len(tokens) - 3) :]]
     a, b, c = ((["#", "#"] if begin == 0 else ["^", "^"]) + last)[-3:]
     word = tokens[-1][0]
     if begin == 0 and not marked and not held and _BARE.match(body[: tokens[-1].start()]):
@@ -204,7 +333,7 @@ def tail(text: str) -> tuple[str, str, str, str, str, bool]:
         return "cut", a, b, c, word, begin > 0
     if rest and rest[-1] in TERMINATORS:
         return "done", a, b, c, word, begin > 0
-    if rest and rest not in ("%", "°", ";", "}", "-", "=") or _ESCAPE.search(body) or broken_bytes(body):
+    if rest and rest not in ("%", "°", ";", "}", "-", "=") or ("\\" in body or "&" in body) and _ESCAPE.search(body) or broken_bytes(body):
         return "cut", a, b, c, word, begin > 0  # a comma, a colon, a dash: more was to come
     if end.strip(" \n") in (";", "}", "`;"):
         return "done", a, b, c, word, begin > 0
@@ -228,10 +357,11 @@ def _scan(rows: DataFrame) -> DataFrame:
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("k", "source")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, known, ratios, sizes = Counter(), Counter(), Counter(), Counter()
+        contexts, ratios, sizes = Contexts(), Counter(), Counter()
         types: dict[str, pa.DataType] = {}
 
         def sums() -> pa.RecordBatch:
+            counts, known = contexts.take()
             by: dict[tuple, list[int]] = {}
             for (x, y, z, end), n in counts.items():
                 for key in ((x, y, z), (None, y, z), (None, None, z)):
@@ -243,7 +373,7 @@ def _scan(rows: DataFrame) -> DataFrame:
             out += [(None, "word", None, None, None, w, None, None, n, None) for w, n in known.items()]
             out += [(None, "ratio", None, None, None, None, r, k, n, None) for (k, r), n in ratios.items()]
             out += [(s, "size", None, None, None, u, v, None, n, None) for (s, u, v), n in sizes.items()]
-            for c in (counts, known, ratios, sizes):
+            for c in (ratios, sizes):
                 c.clear()
             col = list(zip(*out)) if out else [[]] * 10
             none = [None] * len(out)
@@ -253,27 +383,29 @@ def _scan(rows: DataFrame) -> DataFrame:
 
         for b in batches:
             types = {c: b.schema.field(c).type for c in ("k", "source")}
-            source, label, tokens = (b.column(c).to_pylist() for c in ("source", "label", "tokens"))
+            source, tokens = (b.column(c).to_pylist() for c in ("source", "tokens"))
+            label, texts = strings(b.column("label")), strings(b.column("t"))
             got, keep = [], []
-            for i, t in enumerate(b.column("t").to_pylist()):
-                count_text(t, counts, known)
+            contexts.add(texts)
+            for i, t in enumerate(texts):
                 g = tail(t)
                 if g[0] == "done":
-                    sizes.update([(source[i], "chars", len(t)), (source[i], "bytes", len(t.encode("utf-8", "replace")))])
+                    sizes[source[i], "chars", len(t)] += 1
+                    sizes[source[i], "bytes", _bytes(t)] += 1
                     if (n := tokens[i]) and n > 0:
                         sizes[source[i], "tokens", n] += 1
                         if len(t) >= LONG:
                             ratios[script(t), 50 * len(t) // n] += 1
                 elif g[0] != "bare":
                     part = bool(label[i]) and label[i] != g[4] and label[i].startswith(g[4])
-                    got.append((*g[:5], part, "list" if _LIST.match(t, t.rstrip().rfind("\n") + 1) else "prose" if g[5] else "single", len(t), len(t.encode("utf-8", "replace")), tokens[i], script(t)))
+                    got.append((*g[:5], part, "list" if _LIST.match(t, t.rstrip().rfind("\n") + 1) else "prose" if g[5] else "single", len(t), _bytes(t), tokens[i], script(t)))
                     keep.append(i)
             at = pa.array(keep, pa.int64())
             col = list(zip(*got)) if got else [[]] * 11
             of = [*[pa.string()] * 5, pa.bool_(), pa.string(), *[pa.int32()] * 3, pa.string()]
             none = pa.array([None] * len(got), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("k").take(at), b.column("source").take(at), *[pa.array(x, k) for x, k in zip(col, of)], none, none], ["k", "source", *_SCANNED])
-            if len(counts) + len(sizes) > HELD:
+            if len(contexts) + len(sizes) > HELD:
                 yield sums()
         if types:
             yield sums()
